@@ -70,7 +70,7 @@ def write(docs: DataFrame, place: str, path: str, end: int, key: str = "doc_id")
             store.move(f"{own}.{end_}", f"{name}.{end_}")
         yield pa.RecordBatch.from_arrays([pa.array([task.partitionId()], pa.int64()), pa.array([len(keys)], pa.int64()), pa.array([total], pa.int64())], names=["part", "docs", "ids"])
 
-    parts = sorted(ordered.mapInArrow(run, PART).collect())  # a row for each file
+    parts = sorted(C.map_arrow(ordered, run, PART).collect())  # a row for each file
     bases = np.concatenate([[0], np.cumsum([p.ids for p in parts])]).tolist()
     manifest = {"dtype": kind, "end": end, "parts": [{"name": f"part-{p.part:06d}", "docs": p.docs, "ids": p.ids, "base": int(b)} for p, b in zip(parts, bases, strict=False)]}
     with store.open_output_stream(f"{folder}/manifest.json") as f:
@@ -115,7 +115,7 @@ def digest(spark, place: str, manifest: dict, key: str = "doc_id") -> DataFrame:
                     [pa.array(keys, pa.int64(), mask=keys == NO_KEY), pa.array(base + offsets[:-1]), pa.array(np.diff(offsets)), pa.array(crc)], names=[key, "start", "n_tokens", "ids_crc32"]
                 )
 
-    return parts.mapInArrow(run, schema)
+    return C.map_arrow(parts, run, schema)
 
 
 def round_trip(docs: DataFrame, path: str, end: int = 2, key: str = "doc_id") -> DataFrame:

@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship
+
 #: Bytes of text that one pass of a kernel takes; a longer document is a chunk of its own.
 CHUNK_BYTES = 1 << 21
 WHITE = np.array([b == 0x20 or 0x09 <= b <= 0x0D for b in range(256)])
@@ -207,3 +209,9 @@ class HashTable:
             done[first] = True
             left = left[~done]
             at[left] = (at[left] + 1) & mask
+
+
+def map_arrow(df: DataFrame, run, schema) -> DataFrame:
+    """mapInArrow with this package on the executors."""
+    ship(df.sparkSession)
+    return df.mapInArrow(run, schema)

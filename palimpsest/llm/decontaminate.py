@@ -241,7 +241,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = 10, shard_words
                     names=["doc_id", "n_words", "longest", "items", "words"],
                 )
 
-        one = slim.mapInArrow(run, schema)
+        one = C.map_arrow(slim, run, schema)
         out = (1, one) if out is None else (out[0] + 1, out[1].unionByName(one))
     n, df = out
     if n > 1:  # every pass has each row once; rows of the same id and length are the same for a reader of hits
@@ -303,7 +303,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_s
                         batch = batch.set_column(k, batch.schema.field(k), pa.array(chars, batch.schema.field(k).type))
                 yield batch.filter(pa.array(keep, pa.bool_()))
 
-        docs = docs.mapInArrow(run, schema)
+        docs = C.map_arrow(docs, run, schema)
     return docs
 
 

@@ -33,7 +33,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = 2048, key: str = "doc_
             n = enc.counts(batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(C.flat(batch.column(1))[1])), pa.array(n), pa.array(n > limit)], names=schema.names)
 
-    return slim.mapInArrow(run, schema)
+    return C.map_arrow(slim, run, schema)
 
 
 def op5_token_counts(spark, sf_dir: str) -> DataFrame:
