@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from . import common as C
 
 #: Documents for each slice, and the most slices.
-SLICE_ROWS, MOST_SLICES = 100_000, 1 << 16
+SLICE_ROWS, MOST_SLICES = 4_000, 1 << 16
 
 
 def n_blank_words(text: Column) -> Column:
