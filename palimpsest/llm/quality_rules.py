@@ -84,13 +84,13 @@ def with_counts(docs: DataFrame) -> DataFrame:
 KEYS = "CASE WHEN lang IS NULL THEN 'n' ELSE concat('s', lang) END AS lk, CASE WHEN source IS NULL THEN 'n' ELSE concat('s', source) END AS sk"
 
 
-def _distance() -> str:
-    """Squared Mahalanobis distance of x1.. from m1.. by the lower Cholesky factor l11.., solved forwards."""
-    z: list[str] = []
+def _with_distance(source: str) -> str:
+    """SQL for source with d2, the squared Mahalanobis distance of x1.. from m1.. by the lower Cholesky factor l11.., solved forwards."""
+    out = source
     for i in range(1, D + 1):
-        left = "".join(f" - l{i}{j} * {z[j - 1]}" for j in range(1, i))
-        z.append(f"((x{i} - m{i}{left}) / l{i}{i})")
-    return " + ".join(f"{x} * {x}" for x in z)
+        left = "".join(f" - l{i}{j} * z{j}" for j in range(1, i))
+        out = f"(SELECT *, (x{i} - m{i}{left}) / l{i}{i} AS z{i} FROM {out} AS t{i})"
+    return f"(SELECT *, {' + '.join(f'z{i} * z{i}' for i in range(1, D + 1))} AS d2 FROM {out} AS t)"
 
 
 def _median(source: str, value: str) -> tuple[str, str]:
@@ -117,8 +117,8 @@ def _cholesky(source: str) -> str:
 def steps() -> list[tuple[str, str]]:
     """Names and SQL of the steps from {s}, the counted documents, to {model}: a row for each cell. {name} stands for an earlier step."""
     r, lower = range(1, D + 1), [(i, j) for i in range(1, D + 1) for j in range(1, i + 1)]
-    d2 = _distance()
-    bin_ = f"CAST(floor({FAR} * ln(1 + {d2})) AS BIGINT)"
+    bin_ = f"CAST(floor({FAR} * ln(1 + d2)) AS BIGINT)"
+    far = lambda k: _with_distance(f"(SELECT p.*, {', '.join(f'm{i}' for i in r)}, {', '.join(f'l{i}{j}' for i, j in lower)} FROM {{p}} AS p JOIN {{fit{k}}} AS f ON p.cell = f.cell)")
     out = [
         ("sizes", "SELECT lk, sk, count(*) AS n FROM {s} WHERE NOT base_failed GROUP BY lk, sk"),
         (
@@ -137,7 +137,7 @@ def steps() -> list[tuple[str, str]]:
     out.append(("fit0", f"SELECT cell, {first} FROM {{centre}} JOIN {{spread}} USING (cell)"))
     for k in range(STEPS + 1):
         part = HELD if k < STEPS else 0.5
-        out.append((f"hist{k}", f"SELECT cell, b, count(*) AS c FROM (SELECT cell, {bin_} AS b FROM {{p}} JOIN {{fit{k}}} USING (cell)) AS t GROUP BY cell, b"))
+        out.append((f"hist{k}", f"SELECT cell, b, count(*) AS c FROM (SELECT cell, {bin_} AS b FROM {far(k)} AS a) AS t GROUP BY cell, b"))
         out.append(
             (
                 f"edge{k}",
@@ -146,7 +146,7 @@ def steps() -> list[tuple[str, str]]:
         )
         if k == STEPS:
             break
-        held = f"(SELECT p.cell, {', '.join(f'x{i} - m{i} AS y{i}' for i in r)}, {', '.join(f'm{i}' for i in r)} FROM {{p}} AS p JOIN {{fit{k}}} AS f ON p.cell = f.cell JOIN {{edge{k}}} AS e ON p.cell = e.cell WHERE {bin_} <= edge) AS t"
+        held = f"(SELECT p.cell, {', '.join(f'x{i} - m{i} AS y{i}' for i in r)}, {', '.join(f'm{i}' for i in r)} FROM {far(k)} AS p JOIN {{edge{k}}} AS e ON p.cell = e.cell WHERE {bin_} <= edge) AS t"
         sums = f"SELECT cell, count(*) AS n, {', '.join(f'max(m{i}) AS o{i}, sum(y{i}) AS t{i}' for i in r)}, {', '.join(f'sum(y{i} * y{j}) AS q{i}{j}' for i, j in lower)} FROM {held} GROUP BY cell"
         scatter = f"SELECT cell, {', '.join(f'o{i} + t{i} / n AS m{i}' for i in r)}, " + ", ".join(f"q{i}{j} / n - t{i} / n * t{j} / n" + (f" + CAST({LEAST[i - 1] ** 2!r} AS DOUBLE)" if i == j else "") + f" AS s{i}{j}" for i, j in lower) + f" FROM ({sums}) AS u"
         out.append((f"fit{k + 1}", f"SELECT cell, {', '.join(f'm{i}' for i in r)}, {', '.join(f'l{i}{j}' for i, j in lower)} FROM ({_cholesky(scatter)}) AS v"))
@@ -155,9 +155,15 @@ def steps() -> list[tuple[str, str]]:
     return out
 
 
-def verdict() -> str:
-    """SQL for kept, of a counted document beside its cell's model (null where it has none)."""
-    return f"CASE WHEN base_failed THEN FALSE WHEN l11 IS NULL THEN TRUE ELSE {_distance()} <= {CUT!r} * scale END"
+VERDICT = f"CASE WHEN base_failed THEN FALSE WHEN l11 IS NULL THEN TRUE ELSE d2 <= {CUT!r} * scale END"
+
+
+def _judge(points: DataFrame, model: DataFrame) -> DataFrame:
+    """Adds kept: points beside their cell's model (null where it has none)."""
+    out = points.join(model, ["lk", "sk"], "left")
+    for i in range(1, D + 1):
+        out = out.withColumn(f"z{i}", F.expr(f"(x{i} - m{i}{''.join(f' - l{i}{j} * z{j}' for j in range(1, i))}) / l{i}{i}"))
+    return out.withColumn("d2", F.expr(" + ".join(f"z{i} * z{i}" for i in range(1, D + 1)))).withColumn("kept", F.expr(VERDICT))
 
 
 def _points(counted: DataFrame) -> DataFrame:
@@ -186,8 +192,7 @@ def judged(docs: DataFrame) -> DataFrame:
     """The documents' columns but for the text, with the counts, base_failed and kept."""
     held = [c for c in docs.columns if c != "text"]
     points = C.staged(_points(with_counts(docs)).drop("text"), "points")
-    out = points.join(fit(points).drop("cell", "n"), ["lk", "sk"], "left")
-    return out.select(*held, *COUNTS, "base_failed", F.expr(verdict()).alias("kept"))
+    return _judge(points, fit(points).drop("cell", "n")).select(*held, *COUNTS, "base_failed", "kept")
 
 
 def pass_rules(docs: DataFrame) -> DataFrame:
@@ -195,8 +200,8 @@ def pass_rules(docs: DataFrame) -> DataFrame:
     slim = docs.select("lang", "source", "text")
     model = fit(C.staged(_points(with_counts(slim)).drop("text", *COUNTS), "points")).drop("cell", "n")
     own = docs.select(F.struct(*docs.columns).alias("_row"), "lang", "source", "text")
-    counted = _points(with_counts(own)).where("NOT base_failed").select("_row", "base_failed", "lk", "sk", *[f"x{i}" for i in range(1, D + 1)])
-    return counted.join(model, ["lk", "sk"], "left").where(F.expr(verdict())).select("_row.*")
+    counted = _points(with_counts(own)).select("_row", "base_failed", "lk", "sk", *[f"x{i}" for i in range(1, D + 1)])
+    return _judge(counted, model).where("kept").select("_row.*")
 
 
 def op2_quality_rules(spark, sf_dir: str) -> DataFrame:
@@ -227,7 +232,8 @@ d AS (
     named = {name: name for name, _ in steps()} | {"s": "s"}
     for name, sql in steps():
         out += f", {name} AS MATERIALIZED (\n  {sql.format(**named)}\n)"
-    return out + f"\nSELECT doc_id, {', '.join(COUNTS)}, base_failed, {verdict()} AS kept FROM s LEFT JOIN model USING (lk, sk)"
+    far = _with_distance("(SELECT * FROM s LEFT JOIN model USING (lk, sk))")
+    return out + f"\nSELECT doc_id, {', '.join(COUNTS)}, base_failed, {VERDICT} AS kept FROM {far} AS f"
 
 
 OP2_SQL = _sql()
