@@ -7,6 +7,8 @@ a chance of about one in a million for each word compared, and every operator th
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import os
 import tempfile
 import uuid
@@ -20,7 +22,7 @@ from pyspark.sql import functions as F
 from ..session import ship
 
 #: Bytes of text that one pass of a kernel takes; a longer document is a chunk of its own.
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 19
 WHITE = np.array([b == 0x20 or 0x09 <= b <= 0x0D for b in range(256)])
 #: `[^\x20\x09-\x0D]+`
 BLANK_WORD = ~WHITE
@@ -70,8 +72,8 @@ def drop_staged(*dfs: DataFrame) -> None:
 
 
 def fold(key: str, n: int):
-    """crc32 of the key as text, modulo n."""
-    return F.crc32(F.col(key).cast("string").cast("binary")) % n
+    """crc32 of the key as text, modulo n; a null key is in fold 0."""
+    return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % n, F.lit(0))
 
 
 def splitmix(x: np.ndarray) -> np.ndarray:
@@ -211,7 +213,21 @@ class HashTable:
             at[left] = (at[left] + 1) & mask
 
 
+def release_memory() -> None:
+    """Gives what a task has freed back to the machine; workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def map_arrow(df: DataFrame, run, schema) -> DataFrame:
-    """mapInArrow with this package on the executors."""
+    """mapInArrow with this package on the executors, whose workers keep no more memory than they need between tasks."""
     ship(df.sparkSession)
-    return df.mapInArrow(run, schema)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release_memory()
+
+    return df.mapInArrow(task, schema)

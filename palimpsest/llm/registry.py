@@ -1,14 +1,17 @@
 """Queries and SQL of the operators, by name."""
 
-from . import binary, decontaminate, mixing, neardup, quality_rules, token_counts
+from . import binary, decontaminate, langid, lm, mixing, neardup, quality_model, quality_rules, token_counts
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
     "op2_quality_rules": quality_rules.op2_quality_rules,
+    "op3_quality_model": quality_model.op3_quality_model,
     "op4_fair_queue_mix": mixing.op4_fair_queue_mix,
     "op5_token_counts": token_counts.op5_token_counts,
+    "op6_language_id": langid.op6_language_id,
     "op7_binary_output": binary.op7_binary_output,
     "op8_near_duplicates": neardup.op8_near_duplicates,
+    "op10_context_mixing": lm.op10_context_mixing,
 }
 SQL = {
     "op1_decontaminate": decontaminate.OP1_SQL,
