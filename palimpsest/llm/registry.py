@@ -1,6 +1,6 @@
 """Queries and SQL of the operators, by name."""
 
-from . import binary, decontaminate, langid, lm, mixing, neardup, quality_model, quality_rules, token_counts
+from . import binary, decontaminate, langid, linedup, lm, mixing, neardup, quality_model, quality_rules, token_counts
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
@@ -11,6 +11,7 @@ QUERIES = {
     "op6_language_id": langid.op6_language_id,
     "op7_binary_output": binary.op7_binary_output,
     "op8_near_duplicates": neardup.op8_near_duplicates,
+    "op9_line_alignment": linedup.op9_line_alignment,
     "op10_context_mixing": lm.op10_context_mixing,
 }
 SQL = {
