@@ -7,6 +7,7 @@ import ipaddress
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 from ..schema import MODE_NAMES
 
@@ -64,7 +65,7 @@ def public_ipv4(c: Column) -> Column:
     return F.coalesce(c.rlike(pattern) & ~denied, F.lit(False))
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(BooleanType())
 def is_public(text: pd.Series) -> pd.Series:
     """The same for either version; a v4 address in a v6 one counts as itself."""
     v4, v6, all6 = [ipaddress.ip_network(x) for x in DENIED_V4], [ipaddress.ip_network(x) for x in DENIED_V6], ipaddress.ip_network(ALLOWED_V6)

@@ -7,6 +7,7 @@ import xml.etree.ElementTree as ET
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 from . import urls
 from .mime import media_type
@@ -48,7 +49,7 @@ def subscribed(df: DataFrame, key: str, body: str, url: str) -> DataFrame:
     return longest_runs(rows, key, "position", dated).select(key, (F.col("longest_run") >= 3).alias("is_feed"))
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(BooleanType())
 def is_atom(body: pd.Series) -> pd.Series:
     """Whether a body is well-formed XML with an Atom feed as its root."""
 

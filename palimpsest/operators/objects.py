@@ -11,19 +11,20 @@ from datetime import UTC, datetime
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, IntegerType, StructField, StructType
 
 from ..session import ship
 
 PLAIN, ZSTD = 0, 1
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(BinaryType())
 def blake2b_256(data: pd.Series) -> pd.Series:
     """The digest by which a body is known."""
     return data.map(lambda b: None if b is None else hashlib.blake2b(bytes(b), digest_size=32).digest())
 
 
-@F.pandas_udf("format int, data binary")
+@F.pandas_udf(StructType([StructField("format", IntegerType()), StructField("data", BinaryType())]))
 def encode(data: pd.Series) -> pd.DataFrame:
     """Compressed at level 3 where that is smaller."""
     import zstandard
@@ -36,7 +37,7 @@ def encode(data: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["format", "data"])
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(BinaryType())
 def decode(fmt: pd.Series, data: pd.Series, raw_bytes: pd.Series) -> pd.Series:
     """The body again; an error if its size isn't what it should be."""
     import zstandard
