@@ -119,7 +119,10 @@ def signatures(docs: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def _canopies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """bkey, rep, sketch in the order of bkey -> edges a, b. All buckets of a batch take their leaders at once."""
+    """bkey, rep, sketch in the order of bkey -> edges a, b. All buckets of a batch take their leaders at once.
+
+    Only what holds a bucket's canopies together is given out, so fewer edges than the bucket has texts.
+    """
     held: pa.RecordBatch | None = None
 
     def solve(t: pa.Table) -> pa.RecordBatch:
@@ -128,7 +131,7 @@ def _canopies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         bucket = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(key))))
         waits = np.ones(len(rep), bool)
-        a, b = [], []
+        part = np.arange(len(rep))  # the first row of each row's canopies so far
         live = np.arange(len(rep))
         while len(live):
             at = live[waits[live]]
@@ -138,14 +141,16 @@ def _canopies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             live = live[lead[bucket[live]] >= 0]
             if not len(live):
                 break
-            to = lead[bucket[live]]
-            far = np.bitwise_count(sk[live] ^ sk[to]).sum(axis=1, dtype=np.int64)
-            near = (far <= TAKES) & (live != to)
-            a.append(rep[to[near]])
-            b.append(rep[live[near]])
+            far = np.bitwise_count(sk[live] ^ sk[lead[bucket[live]]]).sum(axis=1, dtype=np.int64)
+            near = live[far <= TAKES]
+            low = np.full(len(start), len(rep))
+            np.minimum.at(low, bucket[near], part[near])
+            to = np.arange(len(rep))
+            to[part[near]] = low[bucket[near]]
+            part = to[part]
             waits[live[far <= LEADS]] = False
-        a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
-        pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1) if len(a) else np.zeros((2, 0), np.int64)
+        tied = np.flatnonzero(part != np.arange(len(rep)))
+        pairs = np.unique(np.stack([rep[part[tied]], rep[tied]]), axis=1)
         return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
 
     for batch in batches:
