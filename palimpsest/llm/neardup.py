@@ -331,7 +331,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, key: str = "doc_id") ->
     sizes = region.groupBy("region").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
     dealt = region.join(sizes, "region").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     texts = docs.select(F.col(key).alias("node"), F.col("text").cast("binary").alias("text"))
-    full = texts.join(dealt, "node")
+    full = texts.join(dealt.hint("merge"), "node")  # one plan at every size: the texts are shuffled once, by id
     solved = C.staged(C.map_arrow(full.select("region", "block", "node", "text").repartition("region", "block").sortWithinPartitions("region", "block", "node"), _solve(percent), "node long, root long"), "solved")
     large = sizes.where("blocks > 1")
     if large.limit(1).count():
@@ -347,7 +347,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, key: str = "doc_id") ->
 def without_near_duplicates(docs: DataFrame, percent: int = 85, key: str = "doc_id") -> DataFrame:
     """One document of each component, the one of the smallest id; all columns kept."""
     gone = near_duplicates(docs, percent, key).where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
-    left = docs.join(gone, F.col(key) == F.col("_gone"), "left_anti")
+    left = docs.join(gone.hint("merge"), F.col(key) == F.col("_gone"), "left_anti")
     return left.where(F.col(key).isNotNull()).dropDuplicates([key]).unionByName(left.where(F.col(key).isNull()))
 
 
