@@ -95,11 +95,12 @@ def mixed(docs: DataFrame, most: int = 3, seed: str = "", key: str = "doc_id", i
     """
     plan = mix(docs, most, seed, key=key)
     plan = plan.groupBy(F.col("doc_id").alias("_key")).agg(F.max("copies").alias("_copies"), F.max(F.when(F.col("target") > 0, F.col("upto") / F.col("target"))).alias("_first"), F.max(F.when(F.col("target") > 0, F.col("source_size") / F.col("target"))).alias("_turn"))
-    out = docs.join(plan.where("_copies > 0").hint("merge"), F.col(key).eqNullSafe(F.col("_key")))
-    if not in_order:
-        return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(docs.columns)
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col(key).alias("_own"))
+    out = rows.join(plan.where("_copies > 0").hint("merge"), F.col("_own").eqNullSafe(F.col("_key")))
     out = out.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.col("_copies") - 1)))
-    return out.withColumn("_finish", F.col("_first") + F.col("_copy") * F.col("_turn")).repartitionByRange("_finish").sortWithinPartitions("_finish").select(docs.columns)
+    if in_order:
+        out = out.withColumn("_finish", F.col("_first") + F.col("_copy") * F.col("_turn")).repartitionByRange("_finish").sortWithinPartitions("_finish")
+    return out.select("_row.*")
 
 
 def op4_fair_queue_mix(spark, sf_dir: str) -> DataFrame:

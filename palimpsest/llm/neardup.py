@@ -347,7 +347,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, key: str = "doc_id") ->
 def without_near_duplicates(docs: DataFrame, percent: int = 85, key: str = "doc_id") -> DataFrame:
     """One document of each component, the one of the smallest id; all columns kept."""
     gone = near_duplicates(docs, percent, key).where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
-    left = docs.join(gone.hint("merge"), F.col(key) == F.col("_gone"), "left_anti")
+    left = docs.join(gone.hint("merge"), docs[key] == gone["_gone"], "left_anti")
     return left.where(F.col(key).isNotNull()).dropDuplicates([key]).unionByName(left.where(F.col(key).isNull()))
 
 

@@ -190,7 +190,8 @@ def fit(points: DataFrame) -> DataFrame:
 
 def judged(docs: DataFrame) -> DataFrame:
     """The documents' columns but for the text, with the counts, base_failed and kept."""
-    held = [c for c in docs.columns if c != "text"]
+    held = [c for c in docs.columns if c not in ("text", *COUNTS, "base_failed", "kept")]
+    docs = docs.select("text", *held)
     points = C.staged(_points(with_counts(docs)).drop("text"), "points")
     return _judge(points, fit(points).drop("cell", "n")).select(*held, *COUNTS, "base_failed", "kept")
 
