@@ -325,7 +325,7 @@ def test_scores(spark, sf, texts):
 
 def test_probabilities_add_up(spark, docs):
     sums = common.staged(lm.gather(docs), "sums")
-    m = lm.train(sums)
+    m = lm.train(sums, lm.lesson(docs))
     before = np.uint64(int.from_bytes(b" the", "big")) << np.uint64(32)
     keys = before | (np.arange(256, dtype=np.uint64) << np.uint64(24))
     assert math.isclose((10 ** m.log10(keys)).sum(), 1, rel_tol=1e-9)
