@@ -331,6 +331,13 @@ def test_probabilities_add_up(spark, docs):
     assert math.isclose((10 ** m.log10(keys)).sum(), 1, rel_tol=1e-9)
 
 
+def test_all_training_texts_are_learned(spark):
+    rows = [(i, f"word {i % 97} of text {i}") for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    m = lm.train(common.staged(lm.gather(df), "sums"), lm.lesson(df))
+    assert math.isclose(m.seen.sum(), 8 * sum(len(t) + 1 for _, t in rows), rel_tol=1e-9)
+
+
 def test_score_edges(spark, edges, nothing):
     from pyspark.sql import functions as F
 
