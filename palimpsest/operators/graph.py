@@ -22,6 +22,7 @@ def chains(captures: DataFrame, roots: DataFrame, use: int, at: int, hops: int =
     table is made once, by page, and joined at each hop of one recursive query.
     """
     spark = captures.sparkSession
+    spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")  # hops bound the walk; by default a million rows would stop it
     hops = max(1, min(MOST_HOPS, hops))
     top = as_of(captures, use, at).select("page_id", "crawl_result_id", "status_code", F.col("redirected_to_page_id").alias("next_page"))
     sql = f"""WITH RECURSIVE walk (root, depth, page_id, crawl_result_id, status_code, next_page) AS (

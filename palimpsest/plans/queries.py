@@ -231,7 +231,7 @@ WALK = "walk AS (SELECT root, CAST(0 AS BIGINT) AS depth, t.page_id, t.crawl_res
 
 
 def _roots(s: SparkSession, d: str) -> DataFrame:
-    return history.eligible(src.captures(s, d), USE).where("status_code IN (30, 31) AND crawl_result_id % 50 = 0").select(F.col("crawl_result_id").alias("root"), F.col("page_id").alias("origin"), F.col("redirected_to_page_id").alias("page_id"), "status_code")
+    return history.eligible(src.captures(s, d), USE).where("status_code IN (30, 31)").select(F.col("crawl_result_id").alias("root"), F.col("page_id").alias("origin"), F.col("redirected_to_page_id").alias("page_id"), "status_code")
 
 
 def _walk(s: SparkSession, d: str) -> DataFrame:
