@@ -1,12 +1,14 @@
-"""Line deduplication by pairwise alignment of documents that share rare lines.
+"""Line deduplication by pairwise alignment of documents that share runs of lines.
 
-A line of at least ``RARE_WORDS`` words that several documents have ties each of them to the first that has it (the smallest id): so
-pairs of a later and an earlier document grow with the lines, never with the square of how many documents share one. Each pair is aligned by
+A run is as few neighbouring lines as have ``BLOCK_WORDS`` words, from each line on or up to it. Every block that may be deleted is made of runs that both
+documents have. A document is first aligned with the first (the smallest id) that has each of its runs; where lines of a run
+are left after that, as the first's alignment went another way, with every earlier document of that run. So what is deleted is what an alignment with all
+earlier documents deletes, and pairs grow with the lines; only runs that stay after the first alignment have a pair for each earlier document. A pair is aligned by
 patience diff: lines that are unique in both and in the same order are fixed points, between which the same is done again, and equal lines beside
 them join. Blocks of aligned neighbouring lines with ``BLOCK_WORDS`` words or more are deleted from the later document; the first document keeps its lines.
 
 Lines are known by 64-bit hashes of their bytes, and a document's go into the pairs as hashes, not as text. Null ids aren't compared; null texts have no lines.
-Rows of one id are one document, and lose the same lines. Shorter lines are deleted only within a block. No documents: no rows.
+Rows of one id are one document, and lose the same lines. No documents: no rows.
 """
 
 from __future__ import annotations
@@ -23,7 +25,9 @@ from pyspark.sql import types as T
 
 from . import common as C
 
-RARE_WORDS, BLOCK_WORDS = 5, 20
+#: Lines of fewer words are too common to say much by themselves; nothing is left out for that.
+RARE_WORDS = 5
+BLOCK_WORDS = 20
 
 
 def line_hashes(docs: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -113,12 +117,38 @@ def common_blocks(a: list[int], b: list[int], words: list[int], least: int = BLO
     return out
 
 
-def deletions(docs: DataFrame, key: str = "doc_id", rare_words: int = RARE_WORDS, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """doc_id and blocks (ranges lo, hi of lines to delete) of the documents that lose any."""
-    lines = C.staged(line_hashes(docs, key).where("doc_id IS NOT NULL AND lines IS NOT NULL").dropDuplicates(["doc_id"]), "lines")
-    each = lines.select("doc_id", F.explode(F.array_distinct(F.filter(F.transform("lines", lambda h, i: F.when(F.get("words", i) >= rare_words, h)), lambda h: h.isNotNull()))).alias("line"))
-    first = each.groupBy("line").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("line", "first")
-    pairs = each.join(first, "line").where("first < doc_id").select("doc_id", "first").distinct()
+def _runs(hashes: np.ndarray, words: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Key, start and end of the least runs of a document's lines."""
+    n = len(hashes)
+    upto = np.concatenate([[0], np.cumsum(words, dtype=np.int64)])
+    end = np.searchsorted(upto, upto[:-1] + least)  # of the run from each line on
+    start = np.searchsorted(upto, upto[1:] - least, "right") - 1  # of the run up to each line
+    lo = np.concatenate([np.flatnonzero(end <= n), start[start >= 0]])
+    hi = np.concatenate([end[end <= n], np.flatnonzero(start >= 0) + 1])
+    lo, hi = np.divmod(np.unique(lo * (n + 1) + hi), n + 1)
+    up, down = C._power_tables(n)
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * up[:n], dtype=np.uint64)])
+    return C.splitmix((total[hi] - total[lo]) * down[lo] + (hi - lo).astype(np.uint64)), lo, hi
+
+
+def runs(lines: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """doc_id, run (a hash of its lines), lo and hi of each least run of block_words words or more."""
+    schema = T.StructType([lines.schema["doc_id"], *T._parse_datatype_string("run long, lo int, hi int").fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hashes, words = (batch.column(i).flatten().to_numpy() for i in (1, 2))
+            at = np.concatenate([[0], np.cumsum(batch.column(1).value_lengths().to_numpy())])
+            found = [_runs(hashes[a:b].view(np.uint64), words[a:b], block_words) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+            row = np.repeat(np.arange(batch.num_rows), [len(k) for k, _, _ in found])
+            key, lo, hi = (np.concatenate(x) if found else np.zeros(0, np.uint64) for x in (list(zip(*found, strict=True)) or [[]] * 3))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(key.view(np.int64)), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32))], names=schema.names)
+
+    return C.map_arrow(lines.select("doc_id", "lines", "words"), run, schema)
+
+
+def _aligned(pairs: DataFrame, lines: DataFrame, block_words: int) -> DataFrame:
+    """doc_id and blocks of the pairs (doc_id and first, the earlier document) that have any."""
     later = lines.select("doc_id", F.col("lines").alias("b"), "words")
     earlier = lines.select(F.col("doc_id").alias("first"), F.col("lines").alias("a"))
     rows = pairs.join(later, "doc_id").join(earlier, "first").select("doc_id", "a", "b", "words")
@@ -131,10 +161,29 @@ def deletions(docs: DataFrame, key: str = "doc_id", rare_words: int = RARE_WORDS
             blocks = pa.array([[{"lo": lo, "hi": hi} for lo, hi in x] for x in out if x], pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())])))
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), blocks], names=schema.names)
 
-    found = C.map_arrow(rows, run, schema)
+    return C.map_arrow(rows, run, schema)
+
+
+def _gathered(found: DataFrame) -> DataFrame:
     return found.groupBy("doc_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("blocks")))).alias("blocks"))
 
 
+def deletions(docs: DataFrame, key: str = "doc_id", block_words: int = BLOCK_WORDS) -> DataFrame:
+    """doc_id and blocks (ranges lo, hi of lines to delete) of the documents that lose any."""
+    lines = C.staged(line_hashes(docs, key).where("doc_id IS NOT NULL AND lines IS NOT NULL").dropDuplicates(["doc_id"]), "lines")
+    each = runs(lines, block_words)
+    first = each.groupBy("run").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("run", "first")
+    shared = C.staged(each.join(first, "run"), "runs")
+    late = shared.where("first < doc_id")
+    pairs = C.staged(late.select("doc_id", "first").distinct(), "pairs")
+    found = C.staged(_aligned(pairs, lines, block_words), "aligned")
+    inside = lambda i: F.exists("blocks", lambda b: (i >= b["lo"]) & (i < b["hi"]))
+    left = late.join(_gathered(found), "doc_id", "left").where(F.col("blocks").isNull() | F.exists(F.sequence("lo", F.col("hi") - 1), lambda i: ~inside(i))).select("doc_id", "run").distinct()
+    others = left.join(shared.select("run", F.col("doc_id").alias("first")).distinct(), "run").where("first < doc_id").select("doc_id", "first").distinct()
+    more = C.staged(others.join(pairs, ["doc_id", "first"], "left_anti"), "more")
+    return _gathered(found.union(_aligned(more, lines, block_words)))
+
+
 def without_repeated_blocks(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """The documents with such blocks deleted, and n_lines, n_deleted and words_deleted; other columns as they were."""
     gone = C.staged(deletions(docs, key), "blocks").select(F.col("doc_id").alias("_gone"), "blocks")

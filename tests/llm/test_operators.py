@@ -306,6 +306,38 @@ def test_lines(spark, texts, edges, nothing):
     assert linedup.without_repeated_blocks(nothing).count() == 0
 
 
+def plain_lines(texts):
+    """Each document's lines that an alignment with any earlier document deletes."""
+    split = {k: t.split("\n") for k, t in texts.items()}
+    n = {k: [len(x.encode().split()) for x in b] for k, b in split.items()}
+    return {k: {i for a in split if a < k for lo, hi in linedup.common_blocks(split[a], b, n[k]) for i in range(lo, hi)} for k, b in split.items()}
+
+
+def test_lines_of_all_earlier_documents(spark, texts):
+    x, y = "one two three four five six seven eight nine ten", "b c d e f g h i j k"
+    short = [f"s{i} t{i}" for i in range(12)]
+    long = " ".join(f"w{i}" for i in range(25))
+    made = [
+        x,
+        y,
+        f"p\n{x}\n{y}\nq",
+        f"r\n{x}\n{y}\ns",
+        "\n".join(["u", *short]),
+        "\n".join([*short, "v"]),
+        # the first document of the line has it in another order than the second
+        "\n".join([long, *short[:4], "z"]),
+        "\n".join([long + " y", "z"]),
+        "\n".join([*short[:4], long, "z"]),
+        "\n".join([*short[:4], long]),
+    ]
+    all_texts = {k: t for k, t in texts.items() if k < 120} | {10_000 + i: t for i, t in enumerate(made)}
+    df = spark.createDataFrame(list(all_texts.items()), "doc_id long, text string")
+    want = plain_lines(all_texts)
+    assert want[10_003] == {1, 2} and want[10_005] == set(range(12))
+    for r in linedup.without_repeated_blocks(df).collect():
+        assert r.text == "\n".join(x for i, x in enumerate(all_texts[r.doc_id].split("\n")) if i not in want[r.doc_id])
+
+
 # 10 language model
 
 
