@@ -5,7 +5,7 @@ keeps the longest suffix of the words read so far that occurs in some item; the
 state on whose suffix links the length ``window`` lies. Unknown words reset it, so only runs of known words are walked.
 
 Items are dealt in shards of ``shard_words`` words, so that what is broadcast is bounded; a larger benchmark takes one
-pass over the documents for each shard.
+pass over the documents for each shard, and the hits of all shards are merged by row before anything is decided.
 
 Null or empty texts have no words and no match. Items without words match nothing. Items of null id match, but aren't
 listed. Rows that repeat are matched each on its own.
@@ -220,11 +220,14 @@ def _passes(docs: DataFrame, benchmark: DataFrame, window: int, shard_words: int
 
 def matches(docs: DataFrame, benchmark: DataFrame, window: int = 10, shard_words: int = SHARD_WORDS, key: str = "doc_id") -> DataFrame:
     """key, n_words, longest match, items (sorted, no null) and words (hit intervals) of each document."""
-    slim = docs.select(F.col(key).alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    slim = docs.select(F.lit(0).cast("long").alias("row"), F.col(key).alias("doc_id"), F.col("text").cast("binary").alias("text"))
     kind = dict(slim.dtypes)["doc_id"]
-    schema = T.StructType([slim.schema["doc_id"], *MATCHES.fields])
+    shards = list(_passes(docs, benchmark, window, shard_words))
+    if len(shards) > 1:  # written, so that a row has the same number in every pass
+        slim = C.staged(slim.withColumn("row", F.monotonically_increasing_id()), "rows")
+    schema = T.StructType([slim.schema["row"], slim.schema["doc_id"], *MATCHES.fields])
     out = None
-    for shared in _passes(docs, benchmark, window, shard_words):
+    for shared in shards:
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             auto = _load(shared)
@@ -232,26 +235,27 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = 10, shard_words
                 found = list(match_texts(auto, batch.column("text")))
                 yield pa.RecordBatch.from_arrays(
                     [
+                        batch.column("row"),
                         batch.column("doc_id"),
                         pa.array([m.n_words for m in found], pa.int64()),
                         pa.array([m.longest for m in found], pa.int64()),
                         pa.array([sorted(k for k in m.items if k is not None) for m in found], pa.list_(pa.string())),
                         pa.array([[list(x) for x in m.words] for m in found], pa.list_(pa.list_(pa.int64()))),
                     ],
-                    names=["doc_id", "n_words", "longest", "items", "words"],
+                    names=["row", "doc_id", "n_words", "longest", "items", "words"],
                 )
 
         one = C.map_arrow(slim, run, schema)
         out = (1, one) if out is None else (out[0] + 1, out[1].unionByName(one))
     n, df = out
-    if n > 1:  # every pass has each row once; rows of the same id and length are the same for a reader of hits
-        df = df.groupBy("doc_id", "n_words").agg(
+    if n > 1:  # every pass has each row once
+        df = df.groupBy("row", "doc_id", "n_words").agg(
             F.max("longest").alias("longest"),
             F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
             F.array_sort(F.array_distinct(F.flatten(F.collect_list("words")))).alias("words"),
         )
     assert kind == dict(df.dtypes)["doc_id"]
-    return df.withColumnRenamed("doc_id", key)
+    return df.drop("row").withColumnRenamed("doc_id", key)
 
 
 def n_hit(words):
@@ -269,10 +273,13 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_s
 
     A span of hit words of at least ``max_span`` words, or of a whole short item, is cut out of the text; a document of whose words
     more than ``max_coverage`` are hit is dropped whole. A cut leaves a line break, so that the words beside it don't become
-    neighbours; where a cut would still bring a new match about, it is cut again.
+    neighbours; where a cut would still bring a new match about, it is cut again. More than one shard gives the same.
     """
     schema = docs.schema
-    for shared in _passes(docs, benchmark, window, shard_words):
+    shards = list(_passes(docs, benchmark, window, shard_words))
+    if len(shards) > 1:
+        return _cut_by_all(docs, shards, window, max_span, max_coverage)
+    for shared in shards:
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             auto = _load(shared)
@@ -307,6 +314,67 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_s
     return docs
 
 
+HITS = "_row_number long, n_words long, hits array<struct<p:long,q:long,lo:long,hi:long>>"
+CUT = "_row_number long, _new string, _gone boolean"
+
+
+def _merged(hits: list[dict]) -> Matched:
+    """The union of hit intervals; those that touch are one, as within one automaton."""
+    m = Matched(0)
+    for h in sorted(hits, key=lambda h: (h["p"], h["q"])):
+        if m.words and m.words[-1][1] >= h["p"]:
+            if h["q"] > m.words[-1][1]:
+                m.words[-1], m.bytes[-1] = (m.words[-1][0], h["q"]), (m.bytes[-1][0], h["hi"])
+        else:
+            m.words.append((h["p"], h["q"]))
+            m.bytes.append((h["lo"], h["hi"]))
+    return m
+
+
+def _cut_by_all(docs: DataFrame, shards: list, window: int, max_span: int, max_coverage: float) -> DataFrame:
+    """decontaminate() by several shards: each round merges all shards' hits in the same texts, then cuts, until none has any. Only the first round drops."""
+    docs_ = C.staged(docs.withColumn("_row_number", F.monotonically_increasing_id()), "rows")
+    active, cuts = docs_.select("_row_number", "text"), None
+    while True:
+        found = None
+        for shared in shards:
+
+            def find(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+                auto = _load(shared)
+                for batch in batches:
+                    out = [(k, m) for k, m in zip(batch.column(0).to_pylist(), match_texts(auto, batch.column(1)), strict=True) if m.words]
+                    hits = [[{"p": p, "q": q, "lo": lo, "hi": hi} for (p, q), (lo, hi) in zip(m.words, m.bytes, strict=True)] for _, m in out]
+                    kind = pa.list_(pa.struct([(k, pa.int64()) for k in ("p", "q", "lo", "hi")]))
+                    yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.int64()), pa.array([m.n_words for _, m in out], pa.int64()), pa.array(hits, kind)], names=["_row_number", "n_words", "hits"])
+
+            one = C.map_arrow(active, find, HITS)
+            found = one if found is None else found.union(one)
+        hits = found.groupBy("_row_number").agg(F.first("n_words").alias("n_words"), F.flatten(F.collect_list("hits")).alias("hits"))
+        drops = cuts is None
+
+        def cut(batches: Iterator[pa.RecordBatch], drops=drops) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                new, gone = [], []
+                for text, n_words, hit in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
+                    m = _merged(hit)
+                    gone.append(drops and sum(q - p for p, q in m.words) > max_coverage * n_words)
+                    new.append(None if gone[-1] else _cut(text, m, max_span, window))
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(new, pa.string()), pa.array(gone, pa.bool_())], names=["_row_number", "_new", "_gone"])
+
+        now = C.staged(C.map_arrow(active.join(hits, "_row_number").select("_row_number", "text", "n_words", "hits"), cut, CUT), "cut")
+        if not now.limit(1).count():
+            break
+        cuts = now if cuts is None else C.staged(cuts.join(now.select("_row_number"), "_row_number", "left_anti").union(now), "cuts")
+        active = now.where("NOT _gone").select("_row_number", F.col("_new").alias("text"))
+    if cuts is None:
+        return docs_.select(docs.columns)
+    out = docs_.join(cuts, "_row_number", "left").where("_gone IS NULL OR NOT _gone")
+    new = {"text": F.coalesce("_new", "text")}
+    if "n_chars" in docs.columns and isinstance(docs.schema["n_chars"].dataType, T.IntegralType):
+        new["n_chars"] = F.coalesce(F.length("_new").cast(docs.schema["n_chars"].dataType), F.col("n_chars"))
+    return out.select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns])
+
+
 def _cut(text: str, m: Matched, max_span: int, window: int) -> str:
     raw, out, at = text.encode(), [], 0
     for (p, q), (lo, hi) in zip(m.words, m.bytes, strict=True):

@@ -87,6 +87,17 @@ def test_cut(spark, edges, nothing):
     assert decontaminate.decontaminate(edges, bench.limit(0)).count() == edges.count()
 
 
+def test_shards_decide_together(spark):
+    """Coverage is of all shards' hits, and a cut that brings an earlier shard's item together is cut again."""
+    bench = spark.createDataFrame([(1, "a b c d"), (2, "e f g h"), (3, "k l m n")], "item_id long, text string")
+    rows = [(1, "a b c d x e f g h y z w v"), (1, "a b c d x e f g h y z w v u t s r q o p"), (2, "k l e f g h m n and much more text that stays here"), (2, "nothing of it"), (2, "nothing of it"), (None, None)]
+    df = spark.createDataFrame([(k, t, len(t or "")) for k, t in rows], "doc_id long, text string, n_chars long")
+    one, more = (sorted(map(tuple, decontaminate.decontaminate(df, bench, shard_words=n).collect()), key=str) for n in (1000, 5))
+    assert one == more and len(one) == 5 and not any("k l" in (t or "") for _, t, _ in one)
+    one, more = (sorted(map(tuple, decontaminate.matches(df, bench, shard_words=n).select("doc_id", "n_words", "items", decontaminate.n_hit("words")).collect()), key=str) for n in (1000, 5))
+    assert one == more and len(one) == 6
+
+
 # 2 quality rules
 
 
