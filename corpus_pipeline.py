@@ -18,8 +18,8 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each component of near duplicates."""
-    return neardup.without_near_duplicates(docs)
+    """Keeps one document of each component of near duplicates, of a similarity of 0.8 or more."""
+    return neardup.without_near_duplicates(docs, 80)
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,11 +1,11 @@
 """Near duplicates by MinHash bands whose candidates odd sketches verify, confirmed on full shingle sets.
 
 1. A document's set: distinct hashes of five consecutive words (of all its words where it has fewer). Documents of equal sets are
-   one text from here on. Each gets 120 MinHash samples, 24 bands of 5 of them, and an odd sketch: the samples folded into
-   512 parity bits. Of pairs of a similarity of 0.85 fewer than one in a million share no band.
+   one text from here on. Each gets MinHash samples in bands of 5 of them, and an odd sketch: 120 samples folded into
+   512 parity bits. There are as many bands as let fewer than one in a million pairs at the threshold share none: 24 at 0.85, 35 at 0.8.
 2. Within a band's bucket, the exclusive or of two sketches has as many bits as samples differ, so that its population count
-   estimates high similarities closely. Buckets are covered by canopies: each leader takes all that it estimates at 0.6 or more,
-   and those at 0.9 or more lead no canopy of their own. Two texts of a similarity of 0.85 meet in one canopy at least, whichever of them is taken first.
+   estimates high similarities closely. Buckets are covered by canopies: each leader takes all that it estimates at 0.25 below the threshold or more,
+   and those at 0.9 or more lead no canopy of their own. Two texts at the threshold meet in one canopy at least, whichever of them is taken first.
    A bucket too large for one task is one canopy.
 3. Canopies that share texts form a region, which no link leaves. A region's texts meet in one task, where an
    inverted index of their shingles gives the size of every intersection, and the links. A large region is dealt in blocks: each is
@@ -18,7 +18,9 @@ texts. A tie of ids cannot split a component. No documents: no rows.
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,9 +37,6 @@ SAMPLES = BANDS * ROWS
 #: The most texts of a bucket whose canopies are formed in one task; and of a block, with its most shingles.
 BUCKET, BLOCK, BLOCK_SHINGLES = 4096, 2048, 4_000_000
 _PLACE = C.seeds(WORDS, 11) | np.uint64(1)
-_FLIP = (C.seeds(SAMPLES, 12) >> np.uint64(32)).astype(np.uint32)
-_TIMES = (C.seeds(SAMPLES, 13) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
-_BAND = C.seeds(BANDS, 14)
 _ROW = C.seeds(ROWS, 15) | np.uint64(1)
 _BIT = (C.seeds(SAMPLES, 16) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 
@@ -65,21 +64,35 @@ def shingle_sets(col: pa.Array, words: int = WORDS) -> Iterator[np.ndarray]:
                 yield h[:0]
 
 
-def min_samples(u: np.ndarray) -> np.ndarray:
+def band_count(percent: int) -> int:
+    """The least number of bands of which a pair at the threshold shares none with a chance below one in a million."""
+    p = (percent / 100) ** ROWS
+    return 1 if p >= 1 else math.ceil(math.log(1e-6) / math.log1p(-p))
+
+
+@functools.cache
+def _sampling(samples: int) -> tuple[np.ndarray, np.ndarray]:
+    flip, times = ((C.seeds(samples, salt) >> np.uint64(32)).astype(np.uint32) for salt in (12, 13))
+    return flip[:, None], times[:, None] | np.uint32(1)
+
+
+def min_samples(u: np.ndarray, samples: int = SAMPLES) -> np.ndarray:
     x = (u >> np.uint64(32)).astype(np.uint32)
-    out = np.full(SAMPLES, 0xFFFFFFFF, np.uint32)
+    flip, times = _sampling(samples)
+    out = np.full(samples, 0xFFFFFFFF, np.uint32)
     for at in range(0, len(x), 4096):
-        np.minimum(out, ((x[None, at : at + 4096] ^ _FLIP[:, None]) * _TIMES[:, None]).min(axis=1), out=out)
+        np.minimum(out, ((x[None, at : at + 4096] ^ flip) * times).min(axis=1), out=out)
     return out
 
 
 def bands(m: np.ndarray) -> np.ndarray:
-    keys = (m.reshape(BANDS, ROWS).astype(np.uint64) * _ROW).sum(axis=1) ^ _BAND
+    keys = (m.reshape(-1, ROWS).astype(np.uint64) * _ROW).sum(axis=1) ^ C.seeds(len(m) // ROWS, 14)
     return C.splitmix(keys).view(np.int64)
 
 
 def odd_sketch(m: np.ndarray) -> bytes:
-    where = (m * _BIT) >> np.uint32(32 - BITS.bit_length() + 1)
+    """Of the first samples, SAMPLES of them."""
+    where = (m[:SAMPLES] * _BIT) >> np.uint32(32 - BITS.bit_length() + 1)
     return np.packbits((np.bincount(where, minlength=BITS) & 1).astype(np.uint8)).tobytes()
 
 
@@ -88,12 +101,13 @@ def differing_bits(similarity: float) -> int:
     return round(BITS / 2 * (1 - (1 - 2 / BITS) ** (2 * SAMPLES * (1 - similarity))))
 
 
-LEADS, TAKES = differing_bits(0.9), differing_bits(0.6)
+LEADS, TAKES = differing_bits(0.9), differing_bits(0.6)  # at 0.85
 
 SIGNATURE = "n_shingles long, digest binary, bands array<long>, sketch binary"
 
 
-def signatures(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+def signatures(docs: DataFrame, key: str = "doc_id", percent: int = 85) -> DataFrame:
+    samples = max(SAMPLES, band_count(percent) * ROWS)
     slim = docs.select(F.col(key).alias("doc_id"), F.col("text").cast("binary").alias("text"))
     schema = T.StructType([slim.schema["doc_id"], *T._parse_datatype_string(SIGNATURE).fields])
 
@@ -103,7 +117,7 @@ def signatures(docs: DataFrame, key: str = "doc_id") -> DataFrame:
             for u in shingle_sets(batch.column(1)):
                 n.append(len(u))
                 if len(u):
-                    m = min_samples(u)
+                    m = min_samples(u, samples)
                     digest.append(hashlib.blake2b(u.tobytes(), digest_size=16).digest())
                     band.append(bands(m))
                     sketch.append(odd_sketch(m))
@@ -118,7 +132,7 @@ def signatures(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     return C.map_arrow(slim, run, schema)
 
 
-def _canopies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _canopies(batches: Iterator[pa.RecordBatch], takes: int = TAKES) -> Iterator[pa.RecordBatch]:
     """bkey, rep, sketch in the order of bkey -> edges a, b. All buckets of a batch take their leaders at once.
 
     Only what holds a bucket's canopies together is given out, so fewer edges than the bucket has texts.
@@ -142,7 +156,7 @@ def _canopies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if not len(live):
                 break
             far = np.bitwise_count(sk[live] ^ sk[lead[bucket[live]]]).sum(axis=1, dtype=np.int64)
-            near = live[far <= TAKES]
+            near = live[far <= takes]
             low = np.full(len(start), len(rep))
             np.minimum.at(low, bucket[near], part[near])
             to = np.arange(len(rep))
@@ -166,13 +180,14 @@ def _canopies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield solve(pa.Table.from_batches([held]))
 
 
-def candidates(reps: DataFrame) -> DataFrame:
+def candidates(reps: DataFrame, percent: int = 85) -> DataFrame:
     """Edges a, b between texts of one canopy. reps: rep, bands, sketch."""
+    takes = differing_bits(max(0.0, percent / 100 - 0.25))
     rows = reps.select("rep", F.explode("bands").alias("bkey"))
     buckets = rows.groupBy("bkey").agg(F.count("*").alias("c"), F.min("rep").alias("lead")).where("c > 1")
     shared = C.staged(rows.join(buckets, "bkey"), "buckets")
     small = shared.where(F.col("c") <= BUCKET).select("bkey", "rep").join(reps.select("rep", "sketch"), "rep").select("bkey", "rep", "sketch")
-    edges = C.map_arrow(small.repartition("bkey").sortWithinPartitions("bkey", "rep"), _canopies, "a long, b long")
+    edges = C.map_arrow(small.repartition("bkey").sortWithinPartitions("bkey", "rep"), functools.partial(_canopies, takes=takes), "a long, b long")
     return edges.union(shared.where((F.col("c") > BUCKET) & (F.col("rep") != F.col("lead"))).select("lead", "rep"))
 
 
@@ -324,9 +339,9 @@ def _large(dealt: DataFrame, solved: DataFrame, percent: int) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, percent: int = 85, key: str = "doc_id") -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest id reachable by links) and kept of each document. The key is a long."""
-    sig = C.staged(signatures(docs, key), "signatures")
+    sig = C.staged(signatures(docs, key, percent), "signatures")
     reps = C.staged(sig.where("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.any_value("bands").alias("bands"), F.any_value("sketch").alias("sketch"), F.any_value("n_shingles").alias("n")), "texts")
-    region = components(candidates(reps.select("rep", "bands", "sketch"))).select("node", F.col("root").alias("region"))
+    region = components(candidates(reps.select("rep", "bands", "sketch"), percent)).select("node", F.col("root").alias("region"))
     region = C.staged(region.join(reps.select(F.col("rep").alias("node"), "n"), "node"), "regions")
     sizes = region.groupBy("region").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
     dealt = region.join(sizes, "region").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))

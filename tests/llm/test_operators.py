@@ -262,6 +262,18 @@ def test_near_duplicates(spark, texts, family, monkeypatch, block):
     assert got == plain_components(both)
 
 
+def test_pipeline_takes_four_fifths(spark, sf):
+    import corpus_pipeline as p
+
+    w = [f"w{i}" for i in range(104)]
+    texts = {1: " ".join(w), 2: " ".join([*w[:-11], *(f"v{i}" for i in range(11))]), 3: " ".join([*w[:-14], *(f"u{i}" for i in range(14))])}
+    sets = {k: {tuple(t.split()[i : i + 5]) for i in range(100)} for k, t in texts.items()}
+    assert [len(sets[1] & sets[k]) / len(sets[1] | sets[k]) >= 0.8 for k in (2, 3)] == [True, False] and len(sets[1] & sets[2]) / len(sets[1] | sets[2]) < 0.85
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert sorted(r.doc_id for r in p.near_duplicates(spark, df, sf).collect()) == [1, 3]
+    assert (neardup.band_count(85), neardup.band_count(80)) == (24, 35)
+
+
 def test_near_duplicate_edges(spark, edges, nothing):
     got = {r.doc_id: r for r in neardup.near_duplicates(edges).collect()}
     assert got[0].n_shingles == 0 and got[0].kept and got[2].component_id == 2 and got[7].n_shingles == 1
