@@ -29,6 +29,7 @@ BLANK_WORD = ~WHITE
 #: `[^\x00-\x2F\x3A-\x60\x7B-\x7F]+`
 LETTER_WORD = np.array([0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 for b in range(256)])
 LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], dtype=np.uint8)
+CLEAN_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _U = np.uint64
 
 
@@ -56,10 +57,15 @@ def new_place(spark: SparkSession, name: str) -> str:
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder: cuts the lineage, and survives lost executors."""
-    place = new_place(df.sparkSession, name)
-    df.write.parquet(place)
-    return df.sparkSession.read.schema(df.schema).parquet(place)
+    """df as a table in the shared folder: cuts the lineage, and survives lost executors. What its shuffles left is deleted when it is written."""
+    spark, place = df.sparkSession, new_place(df.sparkSession, name)
+    before = spark.conf.get(CLEAN_SHUFFLES, "false")
+    spark.conf.set(CLEAN_SHUFFLES, "true")
+    try:
+        df.write.parquet(place)
+    finally:
+        spark.conf.set(CLEAN_SHUFFLES, before)
+    return spark.read.schema(df.schema).parquet(place)
 
 
 def drop_staged(*dfs: DataFrame) -> None:
