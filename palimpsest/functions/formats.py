@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 import ipaddress
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType
+from pyspark.sql.types import BooleanType, StringType
 
 from ..schema import MODE_NAMES
 
@@ -54,6 +55,69 @@ def parse_page_token(c: Column) -> Column:
     return F.when(ok, F.struct(num(1).alias("since"), num(2).alias("till"), num(3).alias("use"), F.get(p, 4).alias("filters"), num(5).alias("most"), num(6).alias("committed"), num(7).alias("id")))
 
 
+def filter_id(mimes: list[str], body_mimes: list[str], most: int | None) -> str:
+    """What a token keeps of its filters: the start of a digest of them, line by line."""
+    lines = [*mimes, "body_mime_types=", *body_mimes, f"maximum_body_bytes={'-' if most is None else most}"]
+    return hashlib.blake2b("".join(f"{x}\n" for x in lines).encode(), digest_size=32).hexdigest()[:16]
+
+
+def _listed(filters: list[str]) -> str:
+    return ",".join(filters).encode().hex() or "-"
+
+
+def batch_token(since: Column, till: Column, use: Column, mimes: list[str], body_mimes: list[str], most: int | None, first: tuple[Column, Column], last: tuple[Column, Column]) -> Column:
+    """Names a batch: the filters and the range of rows from a cursor (exclusive) to a row (inclusive)."""
+    fixed = [F.lit(x) for x in (filter_id(mimes, body_mimes, most), _listed(mimes), _listed(body_mimes), "-" if most is None else str(most))]
+    return F.concat_ws(".", F.lit("b0"), *[x.cast("string") for x in (since, till, use)], *fixed, *[x.cast("string") for x in (*first, *last)])
+
+
+@F.pandas_udf(StringType())
+def _filters_of(mimes: pd.Series, body_mimes: pd.Series, most: pd.Series) -> pd.Series:
+    """The filter id that a token's parts have; null where they can't be read."""
+    from .mime import parse_filters
+
+    def one(a, b, n):
+        try:
+            lists = [[] if x == "-" else parse_filters(bytes.fromhex(x).decode()) for x in (a, b)]
+            return filter_id(*lists, None if n == "-" else int(n))
+        except (ValueError, TypeError):
+            return None
+
+    return pd.Series([one(*x) for x in zip(mimes, body_mimes, most, strict=True)])
+
+
+def parse_batch_token(c: Column) -> Column:
+    """since, till, use, filters, first and last of a token; null where it is malformed, out of its range, or its filters aren't those of its id."""
+    p = F.split(c, "[.]")
+    num = lambda i: F.when(F.get(p, i).rlike("^-?[0-9]{1,18}$"), F.get(p, i).cast("long"))
+    key = lambda i: F.struct(num(i).alias("committed"), num(i + 1).alias("id"))
+    fits = (num(2) >= num(1)) & (num(9) >= 0) & (num(11) > 0) & (num(8) >= num(1)) & (num(10) <= num(2)) & ((num(10) > num(8)) | ((num(10) == num(8)) & (num(11) > num(9))))
+    own = _filters_of(F.coalesce(F.get(p, 5), F.lit("")), F.coalesce(F.get(p, 6), F.lit("")), F.coalesce(F.get(p, 7), F.lit("")))
+    ok = (F.size(p) == 12) & (F.get(p, 0) == "b0") & F.get(p, 3).isin(*MODE_NAMES) & F.get(p, 7).rlike("^(-|[0-9]{1,18})$") & fits & (own == F.get(p, 4))
+    return F.when(ok, F.struct(num(1).alias("since"), num(2).alias("till"), F.get(p, 3).alias("use"), F.get(p, 4).alias("filters"), key(8).alias("first"), key(10).alias("last")))
+
+
+def page_tokens(page: DataFrame, since: int, till: int, use: str, filters: str, given: str | None = None) -> DataFrame:
+    """One row for a feed's page: has_more, resume_token (its last row's, or what was given where it is empty) and next_token (only where more follows)."""
+    end = page.agg(F.max(F.struct("committed_ms", "crawl_result_id")).alias("e"), F.coalesce(F.max("has_more"), F.lit(False)).alias("has_more"))
+    token = page_token(F.lit(since), F.lit(till), F.lit(use), F.lit(filters), F.lit(None), F.col("e.committed_ms"), F.col("e.crawl_result_id"))
+    last = F.when(F.col("e").isNotNull(), token)
+    return end.select("has_more", F.coalesce(last, F.lit(given).cast("string")).alias("resume_token"), F.when(F.col("has_more"), last).alias("next_token"))
+
+
+def pem_fingerprint(c: Column) -> Column:
+    """SHA-256 of a PEM certificate's bytes, in the form of a fingerprint; null for what isn't one."""
+    inner = F.regexp_extract(c, "(?s)-----BEGIN CERTIFICATE-----(.*?)-----END CERTIFICATE-----", 1)
+    der = F.try_to_binary(F.regexp_replace(inner, "[ \\t\\r\\n]", ""), F.lit("base64"))
+    return F.when(F.octet_length(der) > 0, fingerprint(F.sha2(der, 256)))
+
+
+def compact_sql(c: Column) -> Column:
+    """A statement on one line: blanks as one, cut at 400 with dots."""
+    text = F.regexp_replace(F.regexp_replace(c, "[ \\t-\\r]+", " "), "^ | $", "")
+    return F.when(c.isNull(), "<unknown statement>").when(F.length(text) >= 400, F.concat(F.left(text, F.lit(400)), F.lit("..."))).otherwise(text)
+
+
 def public_ipv4(c: Column) -> Column:
     """Whether a dotted address is public; false for anything else."""
     octet = "(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"

@@ -198,7 +198,7 @@ def condition_sql(duckdb: bool = False) -> str:
             "svn_route": f"list_has_any(string_split(path, '/'), [{quoted(SVN_ROUTES)}])",
             "control": "regexp_matches(url, '[\\x01-\\x1f]')",
             "repeated": "len(list_filter(string_split(path, '/'), lambda x: x <> '' AND len(list_filter(string_split(path, '/'), lambda y: y = x)) >= 3)) > 0",
-            "commits": "regexp_matches(url, '^.*?commits/[0-9A-Za-z]*/.')",
+            "commits": "contains(url, 'commits/') AND regexp_matches(substr(url, strpos(url, 'commits/') + 8), '^[0-9A-Za-z]*/.')",
         }
     else:
         own = {
@@ -206,7 +206,7 @@ def condition_sql(duckdb: bool = False) -> str:
             "svn_route": f"arrays_overlap(split(path, '/'), array({quoted(SVN_ROUTES)}))",
             "control": "url RLIKE '[\\\\x01-\\\\x1f]'",
             "repeated": "exists(split(path, '/'), x -> x <> '' AND size(filter(split(path, '/'), y -> y = x)) >= 3)",
-            "commits": "url RLIKE 'commits/[0-9A-Za-z]*/.'",
+            "commits": "url RLIKE '^((?!commits/).)*commits/[0-9A-Za-z]*/.'",
         }
     out = " ".join(f"WHEN {c.format(prefixed=prefixed, **own)} THEN '{name}'" for name, c in reasons())
     return f"CASE {out} END"

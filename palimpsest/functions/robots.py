@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..schema import MODES
-from ..session import ship
 
 OWN_AGENT = "palimpsest"
-RULES = "array<struct<allow: boolean, pattern: string>>"
 
 
 def agents(use: str, own: str = OWN_AGENT) -> set[str]:
@@ -18,49 +15,26 @@ def agents(use: str, own: str = OWN_AGENT) -> set[str]:
     return {"*", "indexer", "legacy"} if use == "legacy" else {"*", use, own}
 
 
-def parse_rules(source: str, use: str, own: str = OWN_AGENT) -> list[tuple[bool, str]]:
-    """(allow, pattern) of all groups that name the audience, in order."""
-    groups: list[tuple[set[str], list[tuple[bool, str]]]] = []
-    names: set[str] = set()
-    rules: list[tuple[bool, str]] = []
-
-    def close() -> None:
-        nonlocal names, rules
-        if names:
-            groups.append((names, rules))
-        names, rules = set(), []
-
-    for raw in source.split("\n"):
-        line = raw.replace("\r", "").split("#")[0].strip(" \t")
-        if not line:
-            close()
-            continue
-        field, colon, value = line.partition(":")
-        if not colon:
-            continue
-        field, value = field.strip(" \t").lower(), value.strip(" \t")
-        if field == "user-agent":
-            if rules:
-                close()
-            if value:
-                names.add(value.lower())
-        elif field in ("allow", "disallow") and names and value:
-            rules.append((field == "allow", value))
-    close()
-    mine = agents(use, own)
-    return [r for found, rs in groups if found & mine for r in rs]
+_FIELD = "(?i)^(user-agent|allow|disallow)[ \\t]*:"
+_SEGMENT = "(?im)((?:^user-agent[ \\t]*:.*\n?)+)((?:^(?:allow|disallow)[ \\t]*:.*\n?)*)"
 
 
-def robots_rules(source: str | Column, use: str, own: str = OWN_AGENT) -> Column:
-    """The rules of a robots file as an array; a null file has none."""
-    if (spark := SparkSession.getActiveSession()) is not None:
-        ship(spark)
+def segments(source: Column) -> Column:
+    """A robots file as an array of its groups: names (in lower case) and rules. Lines of agents with the rules right below them are a group; a blank line ends one."""
+    plain = F.transform(F.split(F.replace(source, F.lit("\r"), F.lit("")), "\n"), lambda x: F.trim(F.split_part(x, F.lit("#"), F.lit(1)), F.lit(" \t")))
+    told = F.filter(plain, lambda x: (x == "") | (x.rlike(_FIELD) & ~x.rlike("(?i)^(allow|disallow)[ \\t]*:$")))
+    found = F.regexp_extract_all(F.array_join(told, "\n"), F.lit(_SEGMENT), F.lit(0))
+    names = lambda g: F.transform(F.regexp_extract_all(g, F.lit("(?im)^user-agent[ \\t]*:[ \\t]*(.*)$"), F.lit(1)), F.lower)
+    rule = lambda x: F.struct(F.lower(x).startswith("allow").alias("allow"), F.regexp_extract(x, ":[ \\t]*(.*)$", 1).alias("pattern"))
+    rules = lambda g: F.transform(F.regexp_extract_all(g, F.lit("(?im)^(?:allow|disallow)[ \\t]*:.*$"), F.lit(0)), rule)
+    return F.transform(found, lambda g: F.struct(names(g).alias("names"), rules(g).alias("rules")))
 
-    @F.pandas_udf(RULES)
-    def rules(text: pd.Series) -> pd.Series:
-        return text.map(lambda t: [{"allow": a, "pattern": p} for a, p in parse_rules(t or "", use, own)])
 
-    return rules(source)
+def robots_rules(source: str | Column, use: str, own: str = OWN_AGENT) -> Column:
+    """The rules for an audience, of all groups that name it, in order; a null file has none."""
+    source = F.col(source) if isinstance(source, str) else source
+    mine = F.array(*map(F.lit, sorted(agents(use, own))))
+    return F.flatten(F.transform(F.filter(segments(F.coalesce(source, F.lit(""))), lambda g: F.arrays_overlap(g["names"], mine)), lambda g: g["rules"]))
 
 
 def pattern_regex(pattern: Column) -> Column:

@@ -124,3 +124,26 @@ def archive_link(url: Column, param: Column, tail: Column | None = None) -> Colu
     scheme, target = F.regexp_extract(url, "^([0-9A-Za-z]+)://", 1), F.regexp_extract(url, "^[0-9A-Za-z]+://([^?]*)", 1)
     query = F.when(param == "", F.lit("")).otherwise(F.concat(F.lit("/param/"), encode_component(param)))
     return F.concat(F.lit("/archive/"), scheme, F.lit("/x/"), encode_component(target), tail if tail is not None else F.lit(""), query)
+
+
+def canonical_alias(df: DataFrame, col: str, out: str) -> DataFrame:
+    """Adds the canonical Gemini URL, without fragment, of the host that answers for it; null for anything else."""
+    p = parts(df, col, "_")
+    host = alias(F.col("_host"), F.col("_port"), F.col("_path"))
+    made = compose(F.col("_scheme"), host, F.col("_port"), F.col("_path"), F.col("_param"))
+    return p.withColumn(out, F.when(F.col("_scheme") == "gemini", made)).drop(*[f"_{x}" for x in ("scheme", "host", "port", "path", "param", "fragment")])
+
+
+def from_route(df: DataFrame, scheme: str, path: str, param: str, out: str = "target") -> DataFrame:
+    """Adds the URL that an archive route means: percent-encoded path and param, a plus sign being a blank in neither; null where they hold what they may not."""
+    decode = lambda c: F.coalesce(F.try_url_decode(F.replace(F.col(c), F.lit("+"), F.lit("%2B"))), F.lit(""))
+    rows = df.withColumns({"_p": decode(path), "_q": decode(param)})
+    good = (F.col(scheme) == "gemini") & (F.col("_p") != "") & ~F.col("_p").rlike("[?#\\x00]") & ~F.col("_q").rlike("[#\\x00]")
+    raw = F.concat(F.lit("gemini://"), "_p", F.when(F.col("_q") == "", "").otherwise(F.concat(F.lit("?"), "_q")))
+    return canonical_alias(rows.withColumn("_raw", F.when(good, raw)), "_raw", out).drop("_p", "_q", "_raw")
+
+
+def seed_address(df: DataFrame, col: str) -> DataFrame:
+    """Adds seed and authority of what a user asks to be fetched; null for what isn't a Gemini URL."""
+    rows = canonical_alias(df.withColumn("_ok", F.when(is_valid(F.col(col)), F.col(col))), "_ok", "seed")
+    return parts(rows, "seed", "_s_").withColumn("authority", authority(F.col("_s_host"), F.col("_s_port"))).select(*df.columns, "seed", "authority")

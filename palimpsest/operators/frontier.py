@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..schema import REASONS
+from ..session import kept
+
 MOST_FAILURES = 32767
 DAY_S = 24 * 3600
 #: Seconds to wait after a first failure.
@@ -86,12 +89,72 @@ def apply_decision(schedule: DataFrame, decisions: DataFrame) -> DataFrame:
     return rows.select("page_id", "automatic", F.when(hit, F.col("next_ms")).otherwise(F.col("next_enqueue_ms")).alias("next_enqueue_ms"), hit.alias("applied"))
 
 
-def failures(captures: DataFrame) -> DataFrame:
-    """Consecutive failures (5x) of each page since its last success, at most 32767."""
-    failed = F.col("status_code").between(50, 59)
-    w = Window.partitionBy("page_id")
-    rows = captures.select("page_id", "crawl_result_id", failed.alias("f")).withColumn("last_ok", F.coalesce(F.max(F.when(~F.col("f"), F.col("crawl_result_id"))).over(w), F.lit(0)))
-    return rows.where("f AND crawl_result_id > last_ok").groupBy("page_id").agg(F.least(F.count("*"), F.lit(MOST_FAILURES)).cast("long").alias("consecutive_failures"))
+def failures(attempts: DataFrame) -> DataFrame:
+    """Of each host that failed since its last success: consecutive failures, at most 32767, and when both last were. attempts: host_id, attempt (rising), at_ms, failed.
+
+    Sums by host before any shuffle; what is joined back has a row for each host.
+    """
+    last = attempts.groupBy("host_id").agg(F.max(F.when(~F.col("failed"), F.col("attempt"))).alias("_ok"), F.max(F.when(~F.col("failed"), F.col("at_ms"))).alias("last_success_ms"))
+    since = attempts.where("failed").join(last, "host_id").where(F.col("_ok").isNull() | (F.col("attempt") > F.col("_ok")))
+    return since.groupBy("host_id").agg(F.least(F.count("*"), F.lit(MOST_FAILURES)).cast("long").alias("consecutive_failures"), F.max("at_ms").alias("last_failure_ms"), F.max("last_success_ms").alias("last_success_ms"))
+
+
+def _of_claims(queue: DataFrame, claims: DataFrame) -> tuple[DataFrame, Column]:
+    """The queue with the columns of claims (page_id and others), and whether a row is claimed and among them."""
+    rows = queue.join(claims.withColumn("_asked", F.lit(True)), "page_id", "left")
+    return rows, (F.col("state_code") == 1) & F.coalesce("_asked", F.lit(False))
+
+
+def release(queue: DataFrame, claims: DataFrame) -> DataFrame:
+    """Claims (page_id, again_ms) given back, ready at a time; what isn't claimed stays as it is."""
+    rows, mine = _of_claims(queue, claims)
+    return rows.withColumns({"ready_at_ms": F.when(mine, F.col("again_ms")).otherwise(F.col("ready_at_ms")), "state_code": F.when(mine, 0).otherwise(F.col("state_code")).cast("long")}).select(queue.columns)
+
+
+def discard(queue: DataFrame, claims: DataFrame) -> DataFrame:
+    """The queue without claims (page_id); a row that isn't claimed stays."""
+    rows, mine = _of_claims(queue, claims)
+    return rows.where(~mine).select(queue.columns)
+
+
+def recover(queue: DataFrame) -> DataFrame:
+    """After a restart nothing is claimed; the rest of a row stays."""
+    return queue.withColumn("state_code", F.when(F.col("state_code") == 1, 0).otherwise(F.col("state_code")).cast("long"))
+
+
+def complete(queue: DataFrame, done: DataFrame) -> DataFrame:
+    """done (page_id, retry_ms): a claim without a time to retry is done and goes, else it is ready then, for the reason retry too. A row that isn't claimed any more is an error."""
+    rows, mine = _of_claims(queue, done)
+    lost = F.coalesce("_asked", F.lit(False)) & (F.col("state_code") != 1)
+    rows = rows.withColumn("reason", F.when(lost, F.raise_error(F.concat(F.lit("lost claim of page "), F.col("page_id").cast("string"))).cast("long")).when(mine, F.col("reason").bitwiseOR(REASONS["retry"])).otherwise(F.col("reason")).cast("long"))
+    rows = rows.where(~mine | F.col("retry_ms").isNotNull())
+    return rows.withColumns({"ready_at_ms": F.when(mine, F.col("retry_ms")).otherwise(F.col("ready_at_ms")), "state_code": F.when(mine, 0).otherwise(F.col("state_code")).cast("long")}).select(queue.columns)
+
+
+def seed(queue: DataFrame, seeds: DataFrame, latest: DataFrame) -> DataFrame:
+    """The queue with seeds (page_id, host_id, ready_at_ms) of pages that were never fetched, as submitted. latest: page_id of those that were."""
+    new = seeds.join(latest.select("page_id"), "page_id", "left_anti")
+    return merge_into(queue, new.withColumn("reason", F.lit(REASONS["submitted"]).cast("long")))
+
+
+def watch(watched: DataFrame, asked: DataFrame) -> DataFrame:
+    """Watched pages (page_id, added_at_ms, next_enqueue_ms) with those asked for: a new time for a page that is watched, which keeps when it was added."""
+    both = watched.select("page_id", F.col("added_at_ms").alias("_added"), F.col("next_enqueue_ms").alias("_next")).join(asked, "page_id", "full")
+    return both.select("page_id", F.coalesce("_added", "added_at_ms").alias("added_at_ms"), F.coalesce("next_enqueue_ms", "_next").alias("next_enqueue_ms"))
+
+
+def unwatch(watched: DataFrame, pages: DataFrame) -> DataFrame:
+    return watched.join(pages.select("page_id"), "page_id", "left_anti")
+
+
+def unqueued(targets: DataFrame, captures: DataFrame, queue: DataFrame) -> DataFrame:
+    """page_id of targets that were never fetched and aren't queued."""
+    return targets.select("page_id").distinct().join(captures, "page_id", "left_anti").join(queue, "page_id", "left_anti")
+
+
+def fresh_robots(robots: DataFrame, now: int, version: int = 1) -> DataFrame:
+    """Stored robots rules of this parser that hold beyond a time."""
+    return robots.where((F.col("parser_version") == version) & (F.col("expires_ms") > now))
 
 
 def backoff(kind: Column, attempts: Column) -> Column:
@@ -111,8 +174,23 @@ def intern(existing: DataFrame, incoming: DataFrame, natural: str, surrogate: st
     """existing with the natural keys of incoming that it lacks, numbered after its own by their order."""
     new = incoming.select(natural).distinct().join(existing, natural, "left_anti")
     top = existing.agg(F.coalesce(F.max(surrogate), F.lit(0)).alias("_top"))
-    numbered = new.crossJoin(F.broadcast(top)).select((F.row_number().over(Window.orderBy(natural)) + F.col("_top")).cast("long").alias(surrogate), natural)
-    return existing.select(surrogate, natural).unionByName(numbered)
+    return existing.select(surrogate, natural).unionByName(numbered(new, natural, surrogate).crossJoin(F.broadcast(top)).select((F.col(surrogate) + F.col("_top")).alias(surrogate), natural))
+
+
+def numbered(df: DataFrame, order: str, out: str) -> DataFrame:
+    """Adds 1, 2, .. by an order of distinct values: sorted by ranges, numbered within each range, and the ranges' counts summed up. No task has all rows."""
+    rows = kept(df.repartitionByRange(order).sortWithinPartitions(order).withColumn("_n", F.monotonically_increasing_id()), "numbered")
+    part = F.shiftright("_n", 33)
+    rows = rows.withColumn("_part", part)
+    before = rows.groupBy("_part").agg(F.count("*").alias("_c")).select("_part", F.coalesce(F.sum("_c").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    return rows.join(F.broadcast(before), "_part").withColumn(out, F.col("_before") + F.col("_n").bitwiseAND((1 << 33) - 1) + 1).drop("_part", "_n", "_before")
+
+
+def upsert_registry(known: DataFrame, judged: DataFrame) -> DataFrame:
+    """known feeds (page_id, feed_type, first_recognized_ms, last_recognized_ms) after judgements (page_id, feed_type, committed_ms, status_code): no type or a 5x takes a page out."""
+    both = known.select("page_id", F.col("feed_type").alias("_type"), F.col("first_recognized_ms").alias("_first"), F.col("last_recognized_ms").alias("_last")).join(judged.withColumn("_judged", F.lit(True)), "page_id", "full")
+    stays = F.col("_judged").isNull() | (F.col("feed_type").isNotNull() & ~F.coalesce(F.col("status_code").between(50, 59), F.lit(False)))
+    return both.where(stays).select("page_id", F.coalesce("feed_type", "_type").alias("feed_type"), F.coalesce("_first", "committed_ms").alias("first_recognized_ms"), F.coalesce("committed_ms", "_last").alias("last_recognized_ms"))
 
 
 def registry(evaluations: DataFrame) -> DataFrame:

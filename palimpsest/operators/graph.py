@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import DEFAULT_HOPS, MOST_HOPS
+from ..session import kept
 from .history import as_of
 
 
@@ -18,20 +19,20 @@ def as_of_join(left: DataFrame, captures: DataFrame, use: int, at: int | None, o
 def chains(captures: DataFrame, roots: DataFrame, use: int, at: int, hops: int = DEFAULT_HOPS) -> DataFrame:
     """root, depth, page_id, crawl_result_id, status_code, next_page: from each root capture, target by target, while they redirect (30, 31).
 
-    Depth 0 is the target's capture. Cycles run to the hop limit. roots: root (a capture's id) and page_id (its target). The as-of
-    table is made once, by page, and joined at each hop of one recursive query.
+    Depth 0 is the target's capture. Cycles run to the hop limit. roots: root (a capture's id) and page_id (its target). The as-of table is
+    written once. Walks are made for each distinct target, hop by hop in one plan whose joins share one exchange of the table by page, and given to the roots at the end.
     """
-    spark = captures.sparkSession
-    spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")  # hops bound the walk; by default a million rows would stop it
     hops = max(1, min(MOST_HOPS, hops))
-    top = as_of(captures, use, at).select("page_id", "crawl_result_id", "status_code", F.col("redirected_to_page_id").alias("next_page"))
-    sql = f"""WITH RECURSIVE walk (root, depth, page_id, crawl_result_id, status_code, next_page) AS (
-      SELECT r.root, CAST(0 AS BIGINT), t.page_id, t.crawl_result_id, t.status_code, t.next_page FROM {{roots}} AS r JOIN {{top}} AS t ON r.page_id = t.page_id
-      UNION ALL
-      SELECT w.root, w.depth + 1, t.page_id, t.crawl_result_id, t.status_code, t.next_page FROM walk AS w JOIN {{top}} AS t ON w.next_page = t.page_id
-      WHERE w.status_code IN (30, 31) AND w.depth + 1 < {hops}
-    ) SELECT * FROM walk"""
-    return spark.sql(sql, roots=roots, top=top)
+    top = kept(as_of(captures, use, at).select("page_id", "crawl_result_id", "status_code", F.col("redirected_to_page_id").alias("next_page")), "asof")
+    node = F.struct("page_id", "crawl_result_id", "status_code", "next_page")
+    nodes = top.select(F.col("page_id").alias("_at"), node.alias("_node"))
+    walk = roots.select(F.col("page_id").alias("_start")).distinct().join(nodes, F.col("_start") == F.col("_at")).select("_start", F.array("_node").alias("_path"), F.when(F.col("_node.status_code").isin(30, 31), F.col("_node.next_page")).alias("_go"))
+    for _ in range(hops - 1):
+        step = walk.join(nodes, F.col("_go") == F.col("_at"), "left")
+        path = F.when(F.col("_node").isNull(), F.col("_path")).otherwise(F.array_append("_path", F.col("_node")))
+        walk = step.select("_start", path.alias("_path"), F.when(F.col("_node.status_code").isin(30, 31), F.col("_node.next_page")).alias("_go"))
+    out = roots.select("root", F.col("page_id").alias("_start")).join(walk, "_start")
+    return out.select("root", F.posexplode("_path").alias("depth", "_n")).select("root", F.col("depth").cast("long").alias("depth"), "_n.*")
 
 
 def verdicts(roots: DataFrame, walk: DataFrame, hops: int = DEFAULT_HOPS) -> DataFrame:

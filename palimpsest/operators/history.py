@@ -108,6 +108,19 @@ def statistics(captures: DataFrame) -> DataFrame:
     )
 
 
+def cut_bytes(c: Column, most: int) -> Column:
+    head = F.make_valid_utf8(F.substring(c.cast("binary"), 1, most).cast("string"))
+    return F.when(F.octet_length(c) <= most, c).otherwise(F.regexp_replace(head, "\uFFFD+$", ""))
+
+
+def running_max(df: DataFrame, order: str, value: str, out: str, slice_rows: int = 1 << 20) -> DataFrame:
+    """Adds the largest value of the rows up to this one, by a dense numeric order: within slices of it, and from slice to slice by their maxima. No task has more than a slice."""
+    rows = df.withColumn("_slice", F.floor(F.col(order) / slice_rows))
+    before = rows.groupBy("_slice").agg(F.max(value).alias("_m")).select("_slice", F.max("_m").over(Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)).alias("_before"))
+    within = F.max(value).over(Window.partitionBy("_slice").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    return rows.withColumn("_within", within).join(F.broadcast(before), "_slice").withColumn(out, F.greatest("_within", "_before")).drop("_slice", "_within", "_before")
+
+
 def violations(captures: DataFrame) -> DataFrame:
     """Rows that a writer would refuse, and why: the first rule broken."""
     why = (
@@ -120,12 +133,12 @@ def violations(captures: DataFrame) -> DataFrame:
 
 
 def outcome(captures: DataFrame) -> DataFrame:
-    """How a fetch is stored: 2x keeps its body, 3x without a target is an error, texts are cut to 1024 bytes."""
+    """How a fetch is stored: 2x keeps its body, 3x without a target is an error, texts are cut to 1024 bytes (and a letter that is cut through goes)."""
     status = F.col("status_code")
     lost = status.between(30, 39) & F.col("redirected_to_page_id").isNull()
     return captures.select(
         "crawl_result_id",
         F.when(~lost, status).alias("status_code"),
         F.when(status.between(20, 29), F.col("object_id")).alias("object_id"),
-        F.when(lost, F.lit("invalid redirect target")).otherwise(F.substring("meta", 1, 1024)).alias("meta"),
+        F.when(lost, F.lit("invalid redirect target")).otherwise(cut_bytes(F.col("meta"), 1024)).alias("meta"),
     )

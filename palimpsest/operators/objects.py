@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, IntegerType, StructField, StructType
 
+from ..schema import BATCH_BYTES
 from ..session import ship
 
 PLAIN, ZSTD = 0, 1
@@ -62,14 +63,28 @@ def put(store: DataFrame, bodies: DataFrame) -> DataFrame:
 
 
 def get_many(store: DataFrame, wanted: DataFrame) -> DataFrame:
-    """position, blake2b_256, body for each wanted row (position, blake2b_256, raw_bytes), repeats included; body is null where the store lacks it or has another size."""
+    """position, blake2b_256, body for each wanted row (position, blake2b_256, raw_bytes), repeats included. A body that the store lacks, or has in another size, is an error, and so are two sizes wanted of one."""
     ship(store.sparkSession)
     hashes = wanted.select("blake2b_256").distinct()
     found = store.join(hashes, "blake2b_256", "left_semi").select("blake2b_256", F.col("raw_bytes").alias("_n"), decode("format", "data", "raw_bytes").alias("body"))
     rows = wanted.join(found, "blake2b_256", "left")
-    return rows.select("position", "blake2b_256", F.when(F.col("_n") == F.col("raw_bytes"), F.col("body")).alias("body"))
+    fault = F.when(F.col("_n").isNull(), "unavailable object").when(F.col("_n") != F.col("raw_bytes"), "object of another size")
+    failed = F.raise_error(F.concat(fault, F.lit(" "), F.lower(F.hex("blake2b_256"))))
+    return rows.select("position", "blake2b_256", F.when(fault.isNotNull(), failed.cast("binary")).otherwise(F.col("body")).alias("body"))
 
 
+def verified(bodies: DataFrame) -> DataFrame:
+    """bodies (blake2b_256, body, ..) as they are; one whose digest isn't its own is an error."""
+    ship(bodies.sparkSession)
+    wrong = F.col("_own") != F.col("blake2b_256")
+    body = F.when(wrong, F.raise_error(F.concat(F.lit("body disagrees with its digest "), F.lower(F.hex("blake2b_256")))).cast("binary")).otherwise(F.col("body"))
+    return bodies.withColumn("_own", blake2b_256("body")).withColumn("body", body).drop("_own")
+
+
+def exists(store: DataFrame, wanted: DataFrame, digest: str = "blake2b_256") -> DataFrame:
+    """wanted with present: whether the store has the digest."""
+    return wanted.join(store.select(digest).distinct().withColumn("_in", F.lit(True)), digest, "left").withColumn("present", F.coalesce("_in", F.lit(False))).drop("_in")
+
 def warc_record(target: str, body: bytes, millis: int, record: uuid.UUID | None = None) -> bytes:
     """A WARC/1.0 resource record. A target with a line break is refused."""
     if "\r" in target or "\n" in target:
@@ -80,20 +95,41 @@ def warc_record(target: str, body: bytes, millis: int, record: uuid.UUID | None
 
 
 def warc_parts(rows: DataFrame, manifest: dict | None = None) -> DataFrame:
-    """part (its number) and data: the rows' records (url, body, committed_ms) as one zstd stream for each partition, the manifest first in each."""
+    """part and piece (numbers) and data: the rows' records (url, body, committed_ms) as zstd streams of at most BATCH_BYTES of bodies (or one larger body), the manifest first in each."""
     ship(rows.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import zstandard
         from pyspark import TaskContext
 
-        out = []
+        part, piece, held, made = TaskContext.get().partitionId(), 0, 0, []
         for pdf in batches:
-            out += [warc_record(u.split("#")[0], bytes(b), int(t)) for u, b, t in zip(pdf.url, pdf.body, pdf.committed_ms, strict=True) if b is not None]
-            last = int(pdf.committed_ms.max()) if len(pdf) else 0
-        if out:
-            if manifest is not None:
-                out.insert(0, warc_record("urn:batch:manifest", json.dumps(manifest).encode(), last))
-            yield pd.DataFrame({"part": [TaskContext.get().partitionId()], "data": [zstandard.ZstdCompressor(level=3).compress(b"".join(out))]})
-
-    return rows.select("url", "body", "committed_ms").mapInPandas(run, "part long, data binary")
+            for u, b, t in zip(pdf.url, pdf.body, pdf.committed_ms, strict=True):
+                if b is None:
+                    continue
+                if held and held + len(b) > BATCH_BYTES:
+                    yield pd.DataFrame({"part": [part], "piece": [piece], "data": [stream.flush()]})
+                    piece, held = piece + 1, 0
+                if not held:
+                    stream = _Stream(zstandard.ZstdCompressor(level=3).compressobj())
+                    if manifest is not None:
+                        stream.write(warc_record("urn:batch:manifest", json.dumps(manifest).encode(), int(t)))
+                stream.write(warc_record(u.split("#")[0], bytes(b), int(t)))
+                held += max(len(b), 1)
+        if held:
+            yield pd.DataFrame({"part": [part], "piece": [piece], "data": [stream.flush()]})
+
+    return rows.select("url", "body", "committed_ms").mapInPandas(run, "part long, piece long, data binary")
+
+
+class _Stream:
+    """Records compressed as they come."""
+
+    def __init__(self, z):
+        self.z, self.out = z, []
+
+    def write(self, record: bytes) -> None:
+        self.out.append(self.z.compress(record))
+
+    def flush(self) -> bytes:
+        return b"".join([*self.out, self.z.flush()])

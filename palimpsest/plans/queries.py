@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import formats, gemtext, mime, policy, robots, urls
+from ..operators import catalog, frontier, graph, history
 from ..operators import certificates as certs
 from ..operators import feed as feeds
-from ..operators import frontier, graph, history
+from ..session import new_place
 from ..sources import captures as src
 
 AT, SINCE, USE = 1705300000000, 1704500000000, 4
@@ -26,8 +27,17 @@ def query(sql: str | None = None, prelude: bool = True):
     return add
 
 
+_tables: dict[tuple[str, str], str] = {}
+
+
 def _events(s: SparkSession, d: str) -> DataFrame:
-    return history.with_events(src.captures(s, d))
+    """The event table, which is written in commit order once for an application: feeds are ranges of it."""
+    at = (s.sparkContext.applicationId, d)
+    if at not in _tables:
+        place = new_place(s, "events")
+        catalog.write_events(history.with_events(src.captures(s, d)), place)
+        _tables[at] = place
+    return s.read.parquet(_tables[at])
 
 
 def _queue(s: SparkSession, d: str) -> DataFrame:
@@ -69,7 +79,7 @@ def eligible_captures(s, d):
 
 @query(f"SELECT {SLIM_SQL} FROM ev")
 def update_bitfield(s, d):
-    return _events(s, d).select(SLIM)
+    return history.with_events(src.captures(s, d)).select(SLIM)
 
 
 FEED_SQL = f"FROM ev WHERE update_bitfield & 4 <> 0 AND (committed_ms > {SINCE} OR (committed_ms = {SINCE} AND crawl_result_id > 0))"
@@ -206,10 +216,10 @@ def status_class(s, d):
     return src.captures(s, d).select("crawl_result_id", (decade == 2).alias("success"), (decade == 3).alias("redirect"), (decade == 5).alias("gone"), F.col("status_code").isin(30, 31).alias("followed"))
 
 
-@query("SELECT crawl_result_id, CAST(greatest(committed_ms - 1000, max(committed_ms) OVER ()) AS BIGINT) AS committed FROM captures")
+@query("SELECT crawl_result_id, CAST(max(committed_ms - crawl_result_id % 97 * 100000) OVER (ORDER BY crawl_result_id) AS BIGINT) AS committed FROM captures")
 def monotone_commit(s, d):
-    c = src.captures(s, d)
-    return c.crossJoin(F.broadcast(c.agg(F.max("committed_ms").alias("m")))).select("crawl_result_id", F.greatest(F.col("committed_ms") - 1000, "m").alias("committed"))
+    c = src.captures(s, d).withColumn("ended_ms", F.expr("committed_ms - crawl_result_id % 97 * 100000")).drop("committed_ms")
+    return catalog.committed(c, 0, 0).select("crawl_result_id", F.col("committed_ms").alias("committed"))
 
 
 @query("SELECT DISTINCT authority FROM cap_pages JOIN hosts USING (host_id)")
@@ -226,7 +236,7 @@ def asof_join(s, d):
     return graph.as_of_join(c.where("redirected_to_page_id IS NOT NULL"), c, USE, AT).select("crawl_result_id", "target_id", "target_status")
 
 
-ROOTS = f"roots AS (SELECT crawl_result_id AS root, page_id AS origin, redirected_to_page_id AS page_id, status_code FROM captures WHERE {VIS} AND status_code IN (30, 31) AND crawl_result_id % 50 = 0)"
+ROOTS = f"roots AS (SELECT crawl_result_id AS root, page_id AS origin, redirected_to_page_id AS page_id, status_code FROM captures WHERE {VIS} AND status_code IN (30, 31))"
 WALK = "walk AS (SELECT root, CAST(0 AS BIGINT) AS depth, t.page_id, t.crawl_result_id, t.status_code, t.redirected_to_page_id AS next_page FROM roots r JOIN top t ON r.page_id = t.page_id UNION ALL SELECT root, depth + 1, t.page_id, t.crawl_result_id, t.status_code, t.redirected_to_page_id FROM walk w JOIN top t ON w.next_page = t.page_id WHERE w.status_code IN (30, 31) AND depth + 1 < 16)"
 
 
@@ -310,17 +320,6 @@ def queue_merge(s, d):
     return _queue(s, d)
 
 
-@query("SELECT page_id, reason, CAST(0 AS BIGINT) AS state_code FROM queue")
-def queue_recovered(s, d):
-    return _queue(s, d).select("page_id", "reason", F.lit(0).cast("long").alias("state_code"))
-
-
-@query(f"SELECT page_id, CASE WHEN state_code = 1 THEN reason | 8 ELSE reason END AS reason, CASE WHEN state_code = 1 THEN {AT} + 30000 ELSE ready_at_ms END AS ready_at_ms FROM queue WHERE NOT (state_code = 1 AND page_id % 2 = 0)")
-def queue_after_batch(s, d):
-    claimed = F.col("state_code") == 1
-    return _queue(s, d).where(~(claimed & (F.col("page_id") % 2 == 0))).select("page_id", F.when(claimed, F.col("reason").bitwiseOR(8)).otherwise(F.col("reason")).cast("long").alias("reason"), F.when(claimed, F.lit(AT + 30000)).otherwise(F.col("ready_at_ms")).alias("ready_at_ms"))
-
-
 @query("SELECT host_id, authority, n AS next_queued_ms FROM hosts LEFT JOIN (SELECT host_id, min(ready_at_ms) AS n FROM queue WHERE state_code = 0 AND host_id <> 4 GROUP BY host_id) USING (host_id)")
 def host_next_queued(s, d):
     return frontier.host_next(_queue(s, d).where("host_id <> 4"), src.hosts(s, d))
@@ -364,9 +363,9 @@ def watch_schedule(s, d):
     return frontier.apply_decision(sched, want)
 
 
-@query("SELECT page_id, CAST(least(count(*), 32767) AS BIGINT) AS consecutive_failures FROM (SELECT *, coalesce(max(CASE WHEN status_code NOT BETWEEN 50 AND 59 THEN crawl_result_id END) OVER (PARTITION BY page_id), 0) AS ok FROM captures) WHERE status_code BETWEEN 50 AND 59 AND crawl_result_id > ok GROUP BY page_id")
+@query("WITH a AS (SELECT host_id, crawl_result_id AS id, ended_ms AS t, crawl_result_id % 97 > 1 AS failed FROM captures) SELECT host_id, CAST(least(count(*), 32767) AS BIGINT) AS consecutive_failures, max(t) AS last_failure_ms, max(o_at) AS last_success_ms FROM a LEFT JOIN (SELECT host_id, max(id) AS o, max(t) AS o_at FROM a WHERE NOT failed GROUP BY host_id) USING (host_id) WHERE failed AND id > coalesce(o, 0) GROUP BY host_id")
 def host_failures(s, d):
-    return frontier.failures(src.captures(s, d))
+    return frontier.failures(src.captures(s, d).select("host_id", F.col("crawl_result_id").alias("attempt"), F.col("ended_ms").alias("at_ms"), (F.col("crawl_result_id") % 97 > 1).alias("failed")))
 
 
 @query("SELECT kind, attempts, CAST(CASE WHEN kind = 'dns' THEN 86400 ELSE least(86400, (CASE kind WHEN 'timeout' THEN 300 WHEN 'network' THEN 900 WHEN 'badresponse' THEN 3600 ELSE 600 END) * pow(2, greatest(0, least(7, attempts - 1)))) END AS BIGINT) AS most_s FROM (SELECT unnest(['dns', 'timeout', 'network', 'badresponse', 'odd']) AS kind), (SELECT unnest(range(0, 12)) AS attempts)", prelude=False)
@@ -385,10 +384,10 @@ def discover_frontier(s, d):
     return frontier.discover(links, src.pages(s, d), history.latest(c.where("crawl_result_id % 2 = 0")))
 
 
-@query("SELECT page_id FROM cap_pages p WHERE page_id % 2 = 0 AND NOT EXISTS (SELECT 1 FROM captures c WHERE c.page_id = p.page_id AND status_code = 51) AND NOT EXISTS (SELECT 1 FROM queue q WHERE q.page_id = p.page_id AND q.state_code = 1)")
+@query("SELECT DISTINCT page_id * 2 AS page_id FROM cap_pages p WHERE NOT EXISTS (SELECT 1 FROM captures c WHERE c.page_id = p.page_id * 2 AND c.status_code = 20) AND NOT EXISTS (SELECT 1 FROM queue q WHERE q.page_id = p.page_id * 2 AND q.page_id % 3 = 0)")
 def unqueued_security(s, d):
-    known = src.pages(s, d).where("page_id % 2 = 0").select("page_id")
-    return known.join(src.captures(s, d).where("status_code = 51"), "page_id", "left_anti").join(_queue(s, d).where("state_code = 1"), "page_id", "left_anti")
+    targets = src.pages(s, d).select((F.col("page_id") * 2).alias("page_id"))
+    return frontier.unqueued(targets, src.captures(s, d).where("status_code = 20"), _queue(s, d).where("page_id % 3 = 0"))
 
 
 @query("WITH old AS (SELECT page_id + 1 AS page_id, url FROM cap_pages WHERE page_id % 2 = 0), new AS (SELECT DISTINCT url FROM cap_pages WHERE url NOT IN (SELECT url FROM old)) SELECT page_id, url FROM old UNION ALL SELECT row_number() OVER (ORDER BY url) + (SELECT max(page_id) FROM old), url FROM new")
@@ -431,46 +430,10 @@ def known_security_txt(s, d):
 @query("SELECT host_id, parser_version, expires_ms FROM (SELECT host_id, CAST(host_id % 2 AS BIGINT) AS parser_version, 1705200000000 + host_id * 50000000 AS expires_ms FROM hosts) WHERE parser_version = 1 AND expires_ms > 1705300000000")
 def robots_current(s, d):
     rows = src.hosts(s, d).select("host_id", (F.col("host_id") % 2).alias("parser_version"), (F.lit(1705200000000) + F.col("host_id") * 50000000).alias("expires_ms"))
-    return rows.where((F.col("parser_version") == 1) & (F.col("expires_ms") > AT))
-
-
-# clients, objects, literals
-
-CLIENTS = "(1, 'one', 'AA', 4, 1), (2, 'two', 'BB', 6, 2), (3, 'one again', 'AA', 31, 3), (4, 'three', 'CC', 1, 4)"
-
-
-@query(f"SELECT CAST(row_number() OVER (ORDER BY client_id) AS BIGINT) AS position, label, fp, CAST(modes AS BIGINT) AS modes FROM (SELECT *, row_number() OVER (PARTITION BY fp ORDER BY t DESC) AS rn FROM (VALUES {CLIENTS}) v(client_id, label, fp, modes, t)) WHERE rn = 1", prelude=False)
-def api_clients_list(s, d):
-    rows = s.sql(f"SELECT * FROM VALUES {CLIENTS} AS v(client_id, label, fp, modes, t)")
-    last = rows.groupBy("fp").agg(F.max_by(F.struct("client_id", "label", "modes"), "t").alias("c")).select("fp", "c.*")
-    return last.select(F.row_number().over(Window.orderBy("client_id")).cast("long").alias("position"), "label", "fp", F.col("modes").cast("long").alias("modes"))
-
-
-@query("SELECT k AS client, m AS mode, length(repeat('A', 90 + k)) = 95 AND k % 2 = 1 AND (k & m) <> 0 AND m <> 0 AS allowed FROM (SELECT unnest(range(0, 10)) AS k), (SELECT unnest([0, 1, 2, 4, 8, 16]) AS m)", prelude=False)
-def api_allows(s, d):
-    rows = s.range(10).withColumnRenamed("id", "client").select("client", F.explode(F.array(*[F.lit(x).cast("long") for x in (0, 1, 2, 4, 8, 16)])).alias("mode"))
-    ok = (F.length(F.repeat(F.lit("A"), (F.col("client") + 90).cast("int"))) == 95) & (F.col("client") % 2 == 1) & (F.col("client").bitwiseAND(F.col("mode")) != 0) & (F.col("mode") != 0)
-    return rows.withColumn("allowed", ok)
+    return frontier.fresh_robots(rows, AT)
 
 
-@query("SELECT doc_id AS position, sha256(text) AS hash, EXISTS (SELECT 1 FROM documents x WHERE x.text = d.text AND x.doc_id % 2 = 0) AS present FROM documents d", prelude=False)
-def object_exists(s, d):
-    docs = src.table(s, d, "documents").select(F.col("doc_id").alias("position"), F.sha2("text", 256).alias("hash"))
-    store = docs.where("position % 2 = 0").select("hash").distinct().withColumn("_in", F.lit(True))
-    return docs.join(store, "hash", "left").select("position", "hash", F.coalesce("_in", F.lit(False)).alias("present"))
-
-
-@query("SELECT sha256(text) AS hash, CAST(strlen(any_value(text)) AS BIGINT) AS raw_bytes, count(*) AS copies FROM documents GROUP BY 1", prelude=False)
-def object_store_dedup(s, d):
-    return src.table(s, d, "documents").groupBy(F.sha2("text", 256).alias("hash")).agg(F.max(F.octet_length("text")).cast("long").alias("raw_bytes"), F.count("*").alias("copies"))
-
-
-@query("SELECT p AS position, md5(text) AS body_md5 FROM (SELECT conv_id * 100 + turn AS p, (conv_id * 7 + turn) % (SELECT count(*) FROM documents) AS doc_id FROM conversations) JOIN documents USING (doc_id)", prelude=False)
-def object_get_many(s, d):
-    docs = src.table(s, d, "documents")
-    n = docs.agg(F.count("*").alias("n"))
-    want = src.table(s, d, "conversations").crossJoin(F.broadcast(n)).select((F.col("conv_id") * 100 + F.col("turn")).alias("position"), ((F.col("conv_id") * 7 + F.col("turn")) % F.col("n")).alias("doc_id"))
-    return want.join(docs, "doc_id").select("position", F.md5("text").alias("body_md5"))
+# literals
 
 
 @query("SELECT i - 1 AS position, CAST(v AS BIGINT) AS value FROM (SELECT unnest(range(1, 6)) AS i, unnest([30, 10, 20, 10, 50]) AS v)", prelude=False)
@@ -539,17 +502,21 @@ def archive_link(s, d):
     return p.select("page_id", urls.archive_link(F.col("canonical"), F.col("param")).alias("link"))
 
 
-@query(f"WITH {GEM}, {PARTS}, h AS (SELECT page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS ref, generate_subscripts(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1), 1) AS i FROM pages) SELECT page_id, CAST(i AS BIGINT) AS position, concat('gemini://', host, {FOLD.format(p='ref', f=FOLDED.format(p='ref'))}) AS resolved FROM h JOIN full_parts USING (page_id) WHERE ref LIKE '/%' AND ref NOT LIKE '//%' AND NOT contains(ref, '?') AND NOT contains(ref, '#')", prelude=False)
+@query(
+    f"""WITH {GEM}, {PARTS}, h AS (SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS ref, generate_subscripts(regexp_extract_all(html, 'href="([^"]*)"', 1), 1) AS i FROM pages),
+k AS (SELECT *, (page_id + i - 1) % 9 AS k FROM h JOIN full_parts USING (page_id)),
+x AS (SELECT *, CASE WHEN k IN (1, 2) THEN concat(regexp_extract(path, '^(.*/)', 1), CASE WHEN k = 2 THEN '.' ELSE '' END, CASE WHEN k = 2 THEN '.' ELSE '' END, ref) WHEN k = 7 THEN path ELSE ref END AS p FROM k)
+SELECT page_id, CAST(i AS BIGINT) AS position, CASE WHEN k IN (5, 6) THEN NULL WHEN k = 8 THEN concat('gemini://other.test', {FOLD.format(p="ref", f=FOLDED.format(p="ref"))}) ELSE concat('gemini://', host, {FOLD.format(p="p", f=FOLDED.format(p="p"))}, CASE k WHEN 3 THEN '?q=1' WHEN 7 THEN '?z' ELSE '' END) END AS resolved FROM x""",
+    prelude=False,
+)
 def resolve_links(s, d):
+    """Every kind of reference, made of the pages' own: from the root, relative, upwards, with query or fragment, to another scheme, query alone, whole."""
     refs = src.table(s, d, "pages").select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("i", "ref"))
-    refs = refs.where("ref LIKE '/%' AND ref NOT LIKE '//%' AND NOT contains(ref, '?') AND NOT contains(ref, '#')").join(_gem(s, d), "page_id")
-    return urls.resolve(refs, "url", "ref").select("page_id", (F.col("i") + 1).cast("long").alias("position"), "resolved")
-
-
-@query("SELECT page_id, count(*) AS links, count(DISTINCT ref) AS distinct_links FROM (SELECT page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS ref FROM pages) GROUP BY page_id", prelude=False)
-def outlinks(s, d):
-    refs = src.table(s, d, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("ref"))
-    return refs.groupBy("page_id").agg(F.count("*").alias("links"), F.countDistinct("ref").alias("distinct_links"))
+    kind, ref = (F.col("page_id") + F.col("i")) % 9, F.col("ref")
+    made = F.when(kind == 2, F.concat(F.lit(".."), ref)).when(kind == 3, F.concat(ref, F.lit("?q=1"))).when(kind == 4, F.concat(ref, F.lit("#y?z"))).when(kind == 5, F.concat(F.lit("//other.test"), ref))
+    made = made.when(kind == 6, F.concat(F.lit("https://other.test"), ref)).when(kind == 7, "?z").when(kind == 8, F.concat(F.lit("gemini://Other.test:1965"), ref)).when(kind == 1, F.concat(F.lit("./"), ref)).otherwise(ref)
+    rows = refs.withColumn("ref", made).join(_gem(s, d), "page_id")
+    return urls.resolve(rows, "url", "ref").select("page_id", (F.col("i") + 1).cast("long").alias("position"), "resolved")
 
 
 @query(f"WITH {GEM}, {PARTS}, p AS (SELECT *, translate(path, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS lpath FROM full_parts) SELECT page_id, {policy.condition_sql(duckdb=True)} AS exclusion FROM p", prelude=False)
@@ -651,12 +618,9 @@ def gemsub_runs(s, d):
     return gemtext.longest_runs(src.table(s, d, "conversations"), "conv_id", "turn", F.col("role") == "user")
 
 
-@query("SELECT crawl_result_id, CASE WHEN page_id % 4 = 0 AND (lower(meta) LIKE 'text/plain%') THEN 'twtxt' WHEN page_id % 5 = 0 THEN 'atom' WHEN page_id % 3 = 0 THEN 'gemsub' END AS feed_type FROM captures")
-def feed_kind(s, d):
-    path = F.when(F.col("page_id") % 4 == 0, "/a/twtxt.txt").otherwise("/a")
-    return src.captures(s, d).select("crawl_result_id", gemtext.feed_type(F.col("meta"), path, F.col("page_id") % 3 == 0, F.col("page_id") % 5 == 0).alias("feed_type"))
-
-
 def entry(s: SparkSession, d: str) -> DataFrame:
     """The change feed of an archiving consumer: events, removals marked, in order, the first 500."""
     return feeds.page(feeds.feed(_events(s, d), USE)).select("position", "crawl_result_id", "page_id", "committed_ms", "status_code", "removal", "has_more")
+
+
+from . import writes  # noqa: E402, F401  registers its queries here

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
@@ -20,6 +21,33 @@ def local_session(cores: int | str = "*", **conf: str) -> SparkSession:
     return b.getOrCreate()
 
 
+def shared_place(spark: SparkSession) -> str:
+    """The folder that the driver and all executors see: spark.checkpoint.dir, or, on one machine alone, a new temporary one."""
+    place = spark.conf.get("spark.checkpoint.dir", None)
+    if place:
+        return place
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if not hasattr(shared_place, "own"):
+        shared_place.own = "file://" + tempfile.mkdtemp(prefix="palimpsest-")
+    return shared_place.own
+
+
+def new_place(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one, deleted when the driver's JVM ends."""
+    place = f"{shared_place(spark)}/palimpsest/{name}-{uuid.uuid4().hex}"
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(place)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return place
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """df as a table in the shared folder."""
+    spark, place = df.sparkSession, new_place(df.sparkSession, name)
+    df.write.parquet(place)
+    return spark.read.schema(df.schema).parquet(place)
+
+
 def ship(spark: SparkSession) -> None:
     """Puts this package on the executors' Python path, once for each application, so that they needn't have it installed."""
     sc = spark.sparkContext

@@ -5,16 +5,32 @@ import pytest
 from palimpsest.operators import objects
 
 
+WANTED = "position long, blake2b_256 binary, raw_bytes long"
+
+
 def test_store(spark):
-    empty = spark.createDataFrame([], "blake2b_256 binary, raw_bytes long, format int, data binary")
-    bodies = spark.createDataFrame([(b"tiny Gemini body",), (b"x" * 8192,), (b"tiny Gemini body",), (b"",)], "body binary")
-    store = objects.put(empty, bodies).cache()
-    assert sorted((r.raw_bytes, r.format) for r in store.collect()) == [(0, 0), (16, 0), (8192, 1)]
-    assert objects.put(store, bodies).count() == 3
-    keys = {r.raw_bytes: bytes(r.blake2b_256) for r in store.collect()}
-    want = spark.createDataFrame([(0, keys[8192], 8192), (1, keys[16], 16), (2, keys[8192], 8192), (3, b"none", 1), (4, keys[16], 99)], "position long, blake2b_256 binary, raw_bytes long")
-    got = {r.position: r.body for r in objects.get_many(store, want).collect()}
-    assert got[0] == got[2] == b"x" * 8192 and got[1] == b"tiny Gemini body" and got[3] is None and got[4] is None
+    none = spark.createDataFrame([], "blake2b_256 binary, raw_bytes long, format int, data binary")
+    long = b"the same line again\n" * 400
+    store = objects.put(none, spark.createDataFrame([(b"a short note",), (long,), (b"",), (long,)], "body binary")).cache()
+    assert sorted((r.raw_bytes, r.format) for r in store.collect()) == [(0, objects.PLAIN), (12, objects.PLAIN), (len(long), objects.ZSTD)]
+    assert objects.put(store, spark.createDataFrame([(b"",), (b"one more",)], "body binary")).count() == 4
+    key = {r.raw_bytes: bytes(r.blake2b_256) for r in store.collect()}
+    want = spark.createDataFrame([(7, key[len(long)], len(long)), (2, key[12], 12), (5, key[len(long)], len(long))], WANTED)
+    got = objects.get_many(store, want)
+    assert {r.position: bytes(r.body) for r in got.collect()} == {7: long, 2: b"a short note", 5: long}
+    assert objects.verified(got).count() == 3
+    assert [r.present for r in objects.exists(store, want.union(spark.createDataFrame([(9, b"?", 1)], WANTED))).orderBy("position").collect()] == [True, True, True, False]
+
+
+@pytest.mark.parametrize(("digest", "size"), [(b"nowhere", 1), (None, 13)])
+def test_store_refuses(spark, digest, size):
+    none = spark.createDataFrame([], "blake2b_256 binary, raw_bytes long, format int, data binary")
+    store = objects.put(none, spark.createDataFrame([(b"a short note",)], "body binary"))
+    own = bytes(store.first().blake2b_256)
+    with pytest.raises(Exception, match="object"):
+        objects.get_many(store, spark.createDataFrame([(0, digest or own, size)], WANTED)).collect()
+    with pytest.raises(Exception, match="disagrees"):
+        objects.verified(spark.createDataFrame([(own, b"another note")], "blake2b_256 binary, body binary")).collect()
 
 
 def test_warc(spark):
@@ -30,4 +46,4 @@ def test_warc(spark):
     rows = spark.createDataFrame([("gemini://h/#x", b"one", 1000), ("gemini://h/2", None, 2000)], "url string, body binary, committed_ms long").coalesce(1)
     parts = objects.warc_parts(rows, {"mode": "archive"}).collect()
     raw = zstandard.ZstdDecompressor().decompressobj().decompress(bytes(parts[0].data))
-    assert raw.count(b"WARC/1.0") == 2 and b"urn:batch:manifest" in raw and b"gemini://h/\r\n" in raw
+    assert raw.count(b"WARC/1.0") == 2 and b"urn:batch:manifest" in raw and b"gemini://h/\r\n" in raw and parts[0].piece == 0
