@@ -10,8 +10,6 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import os
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ship
+from ..session import new_place, ship
 
 #: Bytes of text that one pass of a kernel takes; a longer document is a chunk of its own.
 CHUNK_BYTES = 1 << 19
@@ -37,25 +35,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: ``spark.checkpoint.dir``, or a new one where it is unset."""
-    place = spark.conf.get("spark.checkpoint.dir", None)
-    if not place:
-        place = getattr(shared_dir, "own", None)
-        if place is None:
-            place = shared_dir.own = "file://" + tempfile.mkdtemp(prefix="palimpsest-")
-    return place
-
-
-def new_place(spark: SparkSession, name: str) -> str:
-    """A new folder in the shared one, deleted when the driver's JVM ends."""
-    place = f"{shared_dir(spark)}/palimpsest/{name}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(place)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
-    return place
-
-
 def staged(df: DataFrame, name: str) -> DataFrame:
     """df as a table in the shared folder: cuts the lineage, and survives lost executors. What its shuffles left is deleted when it is written."""
     spark, place = df.sparkSession, new_place(df.sparkSession, name)
@@ -154,10 +133,16 @@ def word_bounds(data: np.ndarray, offs: np.ndarray, word: np.ndarray, cuts: np.n
 
 def word_hashes(data: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each word data[s:e], never 0, from one prefix sum over the bytes."""
-    up, down = _power_tables(len(data))
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE[data] * up[: len(data)], out=total[1:])
-    h = (total[e] - total[s]) * down[s]
+    h, lo = np.empty(len(s), np.uint64), 0
+    while lo < len(s):  # in pieces, so that a very long text needs no more memory than its words do
+        hi = max(lo + 1, int(np.searchsorted(e, s[lo] + 2 * CHUNK_BYTES, "right")))
+        base = s[lo]
+        part = data[base : e[hi - 1]]
+        up, down = _power_tables(len(part))
+        total = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(_BYTE[part] * up[: len(part)], out=total[1:])
+        h[lo:hi] = (total[e[lo:hi] - base] - total[s[lo:hi] - base]) * down[s[lo:hi] - base]
+        lo = hi
     h ^= (e - s).astype(np.uint64) * _U(0xD6E8FEB86659FD93)
     splitmix(h)
     h[h == 0] = 1

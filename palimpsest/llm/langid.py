@@ -102,8 +102,8 @@ def profiles(docs: DataFrame) -> DataFrame:
     """lang, gram, place: the first PROFILE n-grams of each language of lang, text."""
     train = docs.where("lang IS NOT NULL AND text IS NOT NULL").select("lang", F.col("text").cast("binary").alias("text"))
     sums = C.map_arrow(train, _count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    w = Window.partitionBy("lang").orderBy(F.col("n").desc(), "gram")
-    return sums.withColumn("place", (F.row_number().over(w) - 1).cast("int")).where(F.col("place") < PROFILE).select("lang", "gram", "place")
+    w = Window.partitionBy("lang").orderBy(F.col("n").desc(), F.col("gram") < 0, "gram")  # n-grams are unsigned numbers
+    return sums.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= PROFILE).select("lang", "gram", (F.col("rank") - 1).alias("place"))
 
 
 class Profiles:
@@ -123,7 +123,7 @@ class Profiles:
     def distances(self, sorted_keys: np.ndarray) -> tuple[np.ndarray, int]:
         """From each language, and the most that it could be."""
         u, n = counted(sorted_keys)
-        order = np.argsort(-n, kind="stable")  # ties by the signed number, as in the profiles
+        order = np.argsort(-n, kind="stable")  # ties by the number, as in the profiles
         if len(order) > PROFILE:
             order = order[:PROFILE]
         u = u[order]
@@ -146,11 +146,15 @@ def predict(docs: DataFrame, model: DataFrame, key: str = "doc_id") -> DataFrame
     out = docs.select(F.col(key), F.col("text").cast("binary").alias("text"), F.lit("und").alias("lang_pred"), F.lit(float("inf")).alias("distance"), F.lit(0).cast("long").alias("most"))
     schema = T.StructType([T.StructField(f.name, f.dataType) for f in out.schema.fields])
     block = langs.withColumn("block", F.floor((F.row_number().over(Window.orderBy("lang")) - 1) / LANGUAGES))
-    for k in range(-(-n // LANGUAGES)):
+    passes = -(-n // LANGUAGES)
+    for k in range(passes):
         rows = model.join(block.where(F.col("block") == k).select("lang"), "lang").collect()  # LANGUAGES x PROFILE at most
         shared = docs.sparkSession.sparkContext.broadcast(Profiles([tuple(r) for r in rows]))
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+        if k == passes - 1:  # no later pass needs the texts
+            schema = T.StructType([f for f in schema.fields if f.name != "text"])
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, schema=schema) -> Iterator[pa.RecordBatch]:
             p = shared.value
             for batch in batches:
                 lang, distance, most = batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4).to_pylist()
@@ -160,7 +164,8 @@ def predict(docs: DataFrame, model: DataFrame, key: str = "doc_id") -> DataFrame
                         j = int(d.argmin())
                         if d[j] < distance[i]:
                             lang[i], distance[i], most[i] = p.langs[j], float(d[j]), top
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(lang, pa.string()), pa.array(distance, pa.float64()), pa.array(most, pa.int64())], names=schema.names)
+                texts = [batch.column(1)] if "text" in schema.names[1:] else []
+                yield pa.RecordBatch.from_arrays([batch.column(0), *texts, pa.array(lang, pa.string()), pa.array(distance, pa.float64()), pa.array(most, pa.int64())], names=schema.names)
 
         out = C.map_arrow(out, run, schema)
     return out.select(key, "lang_pred", F.when(F.col("most") > 0, 1 - F.col("distance") / F.col("most")).otherwise(F.lit(0.0)).alias("score"))

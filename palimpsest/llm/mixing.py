@@ -6,11 +6,10 @@ key), as often as ``most`` times over. A copy's virtual finish time is the sourc
 copies are sorted by it, and those within the total budget are taken.
 
 No task holds a source: documents lie in slices of equal hash ranges, the slices' sums give each its base, and the
-running sums are made within slices. The queue is cut the same way, in slices of equal virtual time, which hold equal
-words as long as each source has some left.
+running sums are made within slices. The queue is range-sorted by finish time; its ranges' sums tell the one in which the budget ends, and that one alone is summed row by row.
 
 Null texts have no words; a document without words is never taken. A null source is a source of its own, the last.
-Repeated rows are documents of their own; equal ones are in a row in the shuffled order. No documents: no rows.
+Repeated rows are documents of their own; rows of one key are in a row in the shuffled order, the shorter first. No documents: no rows.
 """
 
 from __future__ import annotations
@@ -21,7 +20,7 @@ from pyspark.sql import functions as F
 from . import common as C
 
 #: Documents for each slice, and the most slices.
-SLICE_ROWS, MOST_SLICES = 4_000, 1 << 16
+SLICE_ROWS, MOST_SLICES = 4_000, 1 << 20
 
 
 def n_blank_words(text: Column) -> Column:
@@ -60,47 +59,47 @@ def running_sum(df: DataFrame, group: list[str], slice_col: str, order: list, va
     return df.withColumn("_within", F.sum(value).over(within)).join(bases, on).withColumn(out, F.col("_base") + F.col("_within")).drop("_base", "_within", "_slice", *[f"_{g}" for g in group])
 
 
-def mix(docs: DataFrame, most: int = 3, seed: str = "", size: Column | None = None, key: str = "doc_id") -> DataFrame:
-    """doc_id, size, source_size, target, copies and taken of each document (row). size: long; the words of the text by default."""
-    rows = C.staged(docs.select(F.col(key).alias("doc_id"), F.col("source"), (n_blank_words(F.col("text")) if size is None else size).alias("size")), "sizes")
+def mix(docs: DataFrame, most: int = 3, seed: str = "", size: Column | None = None, key: str = "doc_id", more: list[str] = ()) -> DataFrame:
+    """doc_id, size, source_size, target, copies and taken of each document (row), and more of its columns. size: long; the words of the text by default."""
+    rows = C.staged(docs.select(F.col(key).alias("doc_id"), F.col("source"), (n_blank_words(F.col("text")) if size is None else size).alias("size"), *more), "sizes")
     by_source = C.staged(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), most), "targets")
     total = by_source.agg(F.coalesce(F.sum("source_size"), F.lit(0)).alias("n")).first()["n"]
     slices = max(1, min(MOST_SLICES, rows.count() // SLICE_ROWS))
     keyed = rows.withColumn("shuffled", F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))).withColumn(
         "slice", F.floor(F.conv(F.substring("shuffled", 1, 8), 16, 10).cast("long") * slices / F.lit(1 << 32)).cast("int")
     )
-    dealt = running_sum(keyed, ["source"], "slice", [F.col("shuffled"), F.col("doc_id")], "size", "upto")
+    dealt = running_sum(keyed, ["source"], "slice", [F.col("shuffled"), F.col("doc_id"), F.col("size")], "size", "upto")
     dealt = dealt.alias("d").join(by_source.alias("t"), F.col("d.source").eqNullSafe(F.col("t.source"))).select("d.*", "t.source_size", "t.target").drop("slice")
     dealt = C.staged(dealt, "dealt")
     finish = F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda k: F.when(F.col("target") > 0, (k * F.col("source_size") + F.col("upto")) / F.col("target")))
     queue = dealt.where("size > 0").select("size", F.explode(finish).alias("finish"))
-    # whole slices of virtual time before the one where the budget ends are taken, and none after it; that one alone is sorted row by row
-    parts = max(16, 16 * slices)
-    at = F.floor(F.col("finish") * parts).cast("long")
-    filled = queue.groupBy(at.alias("part")).agg(F.sum("size").alias("words")).where(F.col("part") <= 2 * parts)
-    ends = filled.withColumn("upto", F.sum("words").over(Window.orderBy("part"))).where(F.col("upto") > total).orderBy("part").select("part", F.col("upto") - F.col("words")).first()
-    part, base, fits = *(ends or (0, 0)), None
+    # the queue is sorted by ranges of finish times; ranges that end within the budget are taken whole, and the one where it ends up to there
+    ranges = queue.repartitionByRange(slices, "finish").sortWithinPartitions("finish").withColumn("range", F.spark_partition_id())
+    ranges = C.staged(ranges, "queue")
+    ends = ranges.groupBy("range").agg(F.sum("size").alias("words"), F.min("finish").alias("first"))
+    ends = ends.withColumn("upto", F.sum("words").over(Window.orderBy("first"))).where(F.col("upto") > total).orderBy("first").select("range", F.col("upto") - F.col("words")).first()
+    fits = None
     if ends:
-        fits = queue.where(at == part).withColumn("_upto", F.sum("size").over(Window.orderBy("finish"))).where(F.col("_upto") + base <= total).agg(F.max("finish").alias("m")).first()["m"]
-    copies = F.size(F.filter(finish, lambda t: t <= fits if fits is not None else t < part / parts if ends else t.isNotNull()))
+        last = ranges.where(F.col("range") == ends[0]).withColumn("_upto", F.sum("size").over(Window.orderBy("finish"))).where(F.col("_upto") + ends[1] <= total)
+        before = ranges.where(F.col("range") != ends[0]).join(ranges.where(F.col("range") == ends[0]).agg(F.min("finish").alias("_first")), F.col("finish") < F.col("_first"))
+        fits = last.agg(F.max("finish").alias("m")).first()["m"]
+        if fits is None:  # the budget ends before this range's first copy
+            fits = before.agg(F.max("finish").alias("m")).first()["m"]
+            fits = float("-inf") if fits is None else fits
+    C.drop_staged(ranges)
+    copies = F.size(F.filter(finish, lambda t: t <= F.lit(fits) if fits is not None else t.isNotNull()))
     return dealt.withColumn("copies", F.when(F.col("size") > 0, copies).otherwise(0)).select(
-        "doc_id", "source", "shuffled", "upto", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).cast("long").alias("taken")
+        *more, "doc_id", "source", "shuffled", "upto", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).cast("long").alias("taken")
     )
 
 
-def mixed(docs: DataFrame, most: int = 3, seed: str = "", key: str = "doc_id", in_order: bool = True) -> DataFrame:
-    """The documents as the mix takes them: a row for each copy, all columns kept, in the queue's order unless told otherwise.
-
-    Rows of one key are taken equally often.
-    """
-    plan = mix(docs, most, seed, key=key)
-    plan = plan.groupBy(F.col("doc_id").alias("_key")).agg(F.max("copies").alias("_copies"), F.max(F.when(F.col("target") > 0, F.col("upto") / F.col("target"))).alias("_first"), F.max(F.when(F.col("target") > 0, F.col("source_size") / F.col("target"))).alias("_turn"))
-    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col(key).alias("_own"))
-    out = rows.join(plan.where("_copies > 0").hint("merge"), F.col("_own").eqNullSafe(F.col("_key")))
-    out = out.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.col("_copies") - 1)))
-    if in_order:
-        out = out.withColumn("_finish", F.col("_first") + F.col("_copy") * F.col("_turn")).repartitionByRange("_finish").sortWithinPartitions("_finish")
-    return out.select("_row.*")
+def mixed(docs: DataFrame, most: int = 3, seed: str = "", key: str = "doc_id") -> DataFrame:
+    """The documents as the mix takes them: a row for each copy, all columns kept, range-sorted by virtual finish time. Each row is taken by itself, whatever its key."""
+    rows = C.staged(docs.select(F.struct(*docs.columns).alias("_row"), F.col(key).alias("_key"), "source", "text").withColumn("_rid", F.monotonically_increasing_id()), "rows")
+    plan = mix(rows.select("_key", "source", n_blank_words(F.col("text")).alias("_size"), "_rid"), most, seed, F.col("_size"), "_key", ["_rid"])
+    taken = plan.where("copies > 0").select("_rid", "copies", (F.col("upto") / F.col("target")).alias("_first"), (F.col("source_size") / F.col("target")).alias("_turn"))
+    out = rows.select("_row", "_rid").join(taken.hint("merge"), "_rid").withColumn("_copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
+    return out.withColumn("_finish", F.col("_first") + F.col("_copy") * F.col("_turn")).select("_row", "_finish").repartitionByRange("_finish").sortWithinPartitions("_finish").select("_row.*")
 
 
 def op4_fair_queue_mix(spark, sf_dir: str) -> DataFrame:
@@ -124,7 +123,7 @@ WITH d AS (
 ), t AS (
   SELECT source, source_size, CASE WHEN capped THEN cap ELSE weight * (all_words - coalesce(sum(cap) FILTER (capped) OVER (), 0)) / (all_weight - coalesce(sum(weight) FILTER (capped) OVER (), 0)) END AS target FROM g
 ), q AS (
-  SELECT d.*, source_size, target, CAST(sum(size) OVER (PARTITION BY d.source ORDER BY shuffled, doc_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS upto
+  SELECT d.*, source_size, target, CAST(sum(size) OVER (PARTITION BY d.source ORDER BY shuffled, doc_id, size ROWS UNBOUNDED PRECEDING) AS BIGINT) AS upto
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
 ), c AS (
   SELECT *, (k * source_size + upto) / target AS finish FROM q, range(3) r(k) WHERE size > 0

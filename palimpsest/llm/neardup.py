@@ -12,8 +12,8 @@
    solved by itself, then a text of each block's largest component visits the other blocks, and then every text that is outside the region's
    largest component visits all blocks. What isn't compared is in one component already, so that no component is lost.
 
-Words are known by 64-bit hashes. Null ids, and texts that are null or without words, are linked with nothing. Repeated rows are equal
-texts. A tie of ids cannot split a component. No documents: no rows.
+Words, and sets, are known by 64-bit hashes. Null ids, and texts that are null or without words, are linked with nothing. Repeated rows are equal
+texts. Rows of one id but other texts are documents of their own; a component's id is the smallest of its rows. No documents: no rows.
 """
 
 from __future__ import annotations
@@ -103,18 +103,18 @@ def differing_bits(similarity: float) -> int:
 
 LEADS, TAKES = differing_bits(0.9), differing_bits(0.6)  # at 0.85
 
-SIGNATURE = "n_shingles long, digest binary, bands array<long>, sketch binary"
+SIGNATURE = "text_hash long, n_shingles long, digest binary, bands array<long>, sketch binary"
 
 
 def signatures(docs: DataFrame, key: str = "doc_id", percent: int = 85) -> DataFrame:
     samples = max(SAMPLES, band_count(percent) * ROWS)
-    slim = docs.select(F.col(key).alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    slim = docs.select(F.col(key).alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary").alias("text"))
     schema = T.StructType([slim.schema["doc_id"], *T._parse_datatype_string(SIGNATURE).fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, digest, band, sketch = [], [], [], []
-            for u in shingle_sets(batch.column(1)):
+            for u in shingle_sets(batch.column(2)):
                 n.append(len(u))
                 if len(u):
                     m = min_samples(u, samples)
@@ -126,7 +126,7 @@ def signatures(docs: DataFrame, key: str = "doc_id", percent: int = 85) -> DataF
                     band.append(None)
                     sketch.append(None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(band, pa.list_(pa.int64())), pa.array(sketch, pa.binary())], names=schema.names
+                [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(band, pa.list_(pa.int64())), pa.array(sketch, pa.binary())], names=schema.names
             )
 
     return C.map_arrow(slim, run, schema)
@@ -337,33 +337,47 @@ def _large(dealt: DataFrame, solved: DataFrame, percent: int) -> DataFrame:
     return renamed(first.select("node", "root"), tour(guests, open_))
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, key: str = "doc_id") -> DataFrame:
-    """doc_id, n_shingles, component_id (the smallest id reachable by links) and kept of each document. The key is a long."""
+def _components(docs: DataFrame, percent: int, key: str) -> DataFrame:
+    """doc_id, text_hash, n_shingles, component_id and first (whether the row is its component's: the smallest id and, of its texts, the smallest hash) of each document."""
     sig = C.staged(signatures(docs, key, percent), "signatures")
-    reps = C.staged(sig.where("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.any_value("bands").alias("bands"), F.any_value("sketch").alias("sketch"), F.any_value("n_shingles").alias("n")), "texts")
+    first = F.struct("doc_id", "text_hash")
+    reps = sig.where("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest").agg(F.min(first).alias("first"), F.any_value("bands").alias("bands"), F.any_value("sketch").alias("sketch"), F.any_value("n_shingles").alias("n"))
+    reps = C.staged(reps.withColumn("rep", F.xxhash64("digest")), "texts")
     region = components(candidates(reps.select("rep", "bands", "sketch"), percent)).select("node", F.col("root").alias("region"))
-    region = C.staged(region.join(reps.select(F.col("rep").alias("node"), "n"), "node"), "regions")
+    region = C.staged(region.join(reps.select(F.col("rep").alias("node"), "n", "first"), "node"), "regions")
     sizes = region.groupBy("region").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
     dealt = region.join(sizes, "region").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    texts = docs.select(F.col(key).alias("node"), F.col("text").cast("binary").alias("text"))
-    full = texts.join(dealt.hint("merge"), "node")  # one plan at every size: the texts are shuffled once, by id
+    texts = docs.select(F.col(key).alias("_id"), F.xxhash64("text").alias("_hash"), F.col("text").cast("binary").alias("text"))
+    on = (F.col("_id") == F.col("first.doc_id")) & (F.col("_hash") == F.col("first.text_hash"))
+    full = texts.join(dealt.hint("merge"), on)  # one plan at every size: the texts are shuffled once, by id and hash
     solved = C.staged(C.map_arrow(full.select("region", "block", "node", "text").repartition("region", "block").sortWithinPartitions("region", "block", "node"), _solve(percent), "node long, root long"), "solved")
     large = sizes.where("blocks > 1")
     if large.limit(1).count():
         of_large = dealt.join(large.select("region"), "region", "left_semi").select("node")
         wide = _large(full.join(of_large, "node", "left_semi"), solved, percent).select("node", "root").distinct()
         solved = C.staged(solved.join(wide.select("node"), "node", "left_anti").union(wide), "solved")
-    named = reps.select("digest", "rep").join(solved.where("node <> root"), F.col("rep") == F.col("node"), "left").select("digest", F.coalesce("root", "rep").alias("component"))
-    out = sig.select("doc_id", "n_shingles", "digest").join(named, "digest", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    named = reps.select("digest", "rep", "first").join(solved.where("node <> root"), F.col("rep") == F.col("node"), "left").select("digest", "first", F.coalesce("root", "rep").alias("root"))
+    least = named.groupBy("root").agg(F.min("first").alias("least"))
+    named = C.staged(named.join(least, "root").select("digest", "least"), "named")
+    out = sig.select("doc_id", "text_hash", "n_shingles", "digest").join(named, "digest", "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("least.doc_id", "doc_id"))
+    own = F.coalesce((F.col("doc_id") == F.col("least.doc_id")) & (F.col("text_hash") == F.col("least.text_hash")), F.lit(True)) | F.col("doc_id").isNull()
+    return out.select("doc_id", "text_hash", "n_shingles", component.alias("component_id"), own.alias("first"))
+
+
+def near_duplicates(docs: DataFrame, percent: int = 85, key: str = "doc_id") -> DataFrame:
+    """doc_id, n_shingles, component_id (the smallest id reachable by links) and kept of each document. The key is a long."""
+    out = _components(docs, percent, key)
+    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
 def without_near_duplicates(docs: DataFrame, percent: int = 85, key: str = "doc_id") -> DataFrame:
-    """One document of each component, the one of the smallest id; all columns kept."""
-    gone = near_duplicates(docs, percent, key).where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
-    left = docs.join(gone.hint("merge"), docs[key] == gone["_gone"], "left_anti")
-    return left.where(F.col(key).isNotNull()).dropDuplicates([key]).unionByName(left.where(F.col(key).isNull()))
+    """One document of each component, of the smallest id; all columns kept. A row is known by its id and its text's hash: rows of one id and unlike texts stay, equal rows are one."""
+    gone = _components(docs, percent, key).where("NOT first").select(F.col("doc_id").alias("_gone"), F.col("text_hash").alias("_gone_hash")).distinct()
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(key).alias("_key"), F.xxhash64("text").alias("_hash"))
+    left = rows.join(gone.hint("merge"), (F.col("_key") == F.col("_gone")) & (F.col("_hash") == F.col("_gone_hash")), "left_anti")
+    named = left.where("_key IS NOT NULL").groupBy("_key", "_hash").agg(F.min_by("_row", F.xxhash64("_row")).alias("_row"))
+    return named.select("_row.*").unionByName(left.where("_key IS NULL").select("_row.*"))
 
 
 def op8_near_duplicates(spark, sf_dir: str) -> DataFrame:

@@ -207,7 +207,8 @@ def with_features(docs: DataFrame) -> DataFrame:
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, key: str = "doc_id") -> Model:
     """labels: key and quality (0 or 1) of the rows to learn from."""
     chosen = labels.where("quality IN (0, 1)").select(F.col(key).alias("_key"), "quality").orderBy(F.xxhash64("_key"), "_key", "quality").limit(sample)
-    rows = with_features(docs.select(key, "text").join(F.broadcast(chosen), F.col(key) == F.col("_key")).select("text", "quality")).orderBy("quality", "x").collect()  # SAMPLE rows, and repeated documents
+    found = docs.select(key, "text").join(F.broadcast(chosen), F.col(key) == F.col("_key")).select("_key", "text", "quality")
+    rows = with_features(found).orderBy(F.xxhash64("_key"), "_key", "quality", "x").limit(sample).orderBy("quality", "x").collect()  # also of repeated documents no more than sample
     return fit(np.array([r.x for r in rows]).reshape(len(rows), len(FEATURES)), np.array([r.quality for r in rows], float))
 
 

@@ -2,8 +2,8 @@
 
 Base rules fail a text of too few words or of too many in repeated five-word windows. The others are points: transformed
 statistics of their texts. In each cell (a language and source of at least ``CELL`` points; else the language's points of such
-small sources; else all that is left) the minimum covariance determinant gives a centre and a scatter: from medians and median deviations, concentration
-steps keep the ``HELD`` part of points that is nearest and estimate anew. A text is kept if its Mahalanobis distance, with
+small sources; else all that is left) the minimum covariance determinant gives a centre and a scatter: from two starts (medians and median deviations; the mean and scatter of all points), ``STEPS``
+concentration steps keep the ``HELD`` part of points that is nearest and estimate anew, each lowering the determinant, and the start that ends with the least one is taken. Scatters have a least spread added, so that cells of equal points have one. A text is kept if its Mahalanobis distance, with
 the median distance set to what it is for normal points, is within ``CUT``. Where all that is left is less than a cell, it is kept.
 
 Quantiles come from counts of narrow bins, so that a cell is summed before it is shuffled, however large it is; what is joined to the points has a row for each cell.
@@ -118,7 +118,8 @@ def steps() -> list[tuple[str, str]]:
     """Names and SQL of the steps from {s}, the counted documents, to {model}: a row for each cell. {name} stands for an earlier step."""
     r, lower = range(1, D + 1), [(i, j) for i in range(1, D + 1) for j in range(1, i + 1)]
     bin_ = f"CAST(floor({FAR} * ln(1 + d2)) AS BIGINT)"
-    far = lambda k: _with_distance(f"(SELECT p.*, {', '.join(f'm{i}' for i in r)}, {', '.join(f'l{i}{j}' for i, j in lower)} FROM {{p}} AS p JOIN {{fit{k}}} AS f ON p.cell = f.cell)")
+    far = lambda fit: _with_distance(f"(SELECT p.*, st, {', '.join(f'm{i}' for i in r)}, {', '.join(f'l{i}{j}' for i, j in lower)} FROM {{p}} AS p JOIN {{{fit}}} AS f ON p.cell = f.cell)")
+    edge = lambda hist, part: f"SELECT cell, st, min(b) AS edge, max(n) AS n FROM (SELECT cell, st, b, sum(c) OVER (PARTITION BY cell, st ORDER BY b) AS u, sum(c) OVER (PARTITION BY cell, st) AS n FROM {{{hist}}}) AS t WHERE u >= {part} * n GROUP BY cell, st"
     out = [
         ("sizes", "SELECT lk, sk, count(*) AS n FROM {s} WHERE NOT base_failed GROUP BY lk, sk"),
         (
@@ -134,23 +135,27 @@ def steps() -> list[tuple[str, str]]:
     h, m = _median("{p} JOIN {centre} USING (cell)", "abs(x{i} - m{i})")
     out += [("h2", h), ("deviations", m.replace("{h}", "{h2}")), ("spread", wide("spread", "a", "deviations").replace("0.5", "CAST(0.5 AS DOUBLE)"))]
     first = ", ".join([f"m{i}" for i in r] + [(f"greatest(CAST(1.4826 AS DOUBLE) * a{i}, CAST({LEAST[i - 1]} AS DOUBLE)) AS l{i}{i}" if i == j else f"CAST(0 AS DOUBLE) AS l{i}{j}") for i, j in lower])
-    out.append(("fit0", f"SELECT cell, {first} FROM {{centre}} JOIN {{spread}} USING (cell)"))
-    for k in range(STEPS + 1):
-        part = HELD if k < STEPS else 0.5
-        out.append((f"hist{k}", f"SELECT cell, b, count(*) AS c FROM (SELECT cell, {bin_} AS b FROM {far(k)} AS a) AS t GROUP BY cell, b"))
-        out.append(
-            (
-                f"edge{k}",
-                f"SELECT cell, min(b) AS edge, max(n) AS n FROM (SELECT cell, b, sum(c) OVER (PARTITION BY cell ORDER BY b) AS u, sum(c) OVER (PARTITION BY cell) AS n FROM {{hist{k}}}) AS t WHERE u >= {part} * n GROUP BY cell",
-            )
-        )
-        if k == STEPS:
-            break
-        held = f"(SELECT p.cell, {', '.join(f'x{i} - m{i} AS y{i}' for i in r)}, {', '.join(f'm{i}' for i in r)} FROM {far(k)} AS p JOIN {{edge{k}}} AS e ON p.cell = e.cell WHERE {bin_} <= edge) AS t"
-        sums = f"SELECT cell, count(*) AS n, {', '.join(f'max(m{i}) AS o{i}, sum(y{i}) AS t{i}' for i in r)}, {', '.join(f'sum(y{i} * y{j}) AS q{i}{j}' for i, j in lower)} FROM {held} GROUP BY cell"
-        scatter = f"SELECT cell, {', '.join(f'o{i} + t{i} / n AS m{i}' for i in r)}, " + ", ".join(f"q{i}{j} / n - t{i} / n * t{j} / n" + (f" + CAST({LEAST[i - 1] ** 2!r} AS DOUBLE)" if i == j else "") + f" AS s{i}{j}" for i, j in lower) + f" FROM ({sums}) AS u"
-        out.append((f"fit{k + 1}", f"SELECT cell, {', '.join(f'm{i}' for i in r)}, {', '.join(f'l{i}{j}' for i, j in lower)} FROM ({_cholesky(scatter)}) AS v"))
-    last = f"SELECT f.*, e.n, greatest(CAST(1 AS DOUBLE), (exp((edge + 1) / CAST({FAR} AS DOUBLE)) - 1) / CAST({MEDIAN!r} AS DOUBLE)) AS scale FROM {{fit{STEPS}}} AS f JOIN {{edge{STEPS}}} AS e ON f.cell = e.cell"
+    fitted = f"cell, st, {', '.join(f'm{i}' for i in r)}, {', '.join(f'l{i}{j}' for i, j in lower)}"
+
+    def estimate(held: str) -> str:
+        """Centre and factor of rows y1.. (from o1..), whose scatter is never less than LEAST."""
+        sums = f"SELECT cell, st, count(*) AS n, {', '.join(f'max(o{i}) AS o{i}, sum(y{i}) AS t{i}' for i in r)}, {', '.join(f'sum(y{i} * y{j}) AS q{i}{j}' for i, j in lower)} FROM {held} GROUP BY cell, st"
+        scatter = f"SELECT cell, st, {', '.join(f'o{i} + t{i} / n AS m{i}' for i in r)}, " + ", ".join(f"q{i}{j} / n - t{i} / n * t{j} / n" + (f" + CAST({LEAST[i - 1] ** 2!r} AS DOUBLE)" if i == j else "") + f" AS s{i}{j}" for i, j in lower) + f" FROM ({sums}) AS u"
+        return f"SELECT {fitted} FROM ({_cholesky(scatter)}) AS v"
+
+    plain = f"(SELECT p.cell, 2 AS st, {', '.join(f'x{i} - m{i} AS y{i}, m{i} AS o{i}' for i in r)} FROM {{p}} AS p JOIN {{centre}} AS c ON p.cell = c.cell) AS t"
+    out.append(("fit0", f"SELECT cell, 1 AS st, {first} FROM {{centre}} JOIN {{spread}} USING (cell) UNION ALL {estimate(plain)}"))
+    for k in range(STEPS):
+        out.append((f"hist{k}", f"SELECT cell, st, b, count(*) AS c FROM (SELECT cell, st, {bin_} AS b FROM {far(f'fit{k}')} AS a) AS t GROUP BY cell, st, b"))
+        out.append((f"edge{k}", edge(f"hist{k}", HELD)))
+        held = f"(SELECT p.cell, p.st, {', '.join(f'x{i} - m{i} AS y{i}, m{i} AS o{i}' for i in r)} FROM {far(f'fit{k}')} AS p JOIN {{edge{k}}} AS e ON p.cell = e.cell AND p.st = e.st WHERE {bin_} <= edge) AS t"
+        out.append((f"fit{k + 1}", estimate(held)))
+    # of the starts that a cell has come from, the one whose scatter has the least determinant
+    det = " * ".join(f"l{i}{i}" for i in r)
+    out.append(("best", f"SELECT {fitted} FROM (SELECT *, row_number() OVER (PARTITION BY cell ORDER BY round(ln({det}), 9), st) AS place FROM {{fit{STEPS}}}) AS t WHERE place = 1"))
+    out.append(("hist_best", f"SELECT cell, st, b, count(*) AS c FROM (SELECT cell, st, {bin_} AS b FROM {far('best')} AS a) AS t GROUP BY cell, st, b"))
+    out.append(("edge_best", edge("hist_best", 0.5)))
+    last = f"SELECT f.*, e.n, greatest(CAST(1 AS DOUBLE), (exp((edge + 1) / CAST({FAR} AS DOUBLE)) - 1) / CAST({MEDIAN!r} AS DOUBLE)) AS scale FROM {{best}} AS f JOIN {{edge_best}} AS e ON f.cell = e.cell"
     out.append(("model", f"SELECT c.lk, c.sk, m.* FROM {{cells}} AS c JOIN ({last}) AS m ON c.cell = m.cell WHERE m.n >= {CELL}"))
     return out
 
@@ -188,21 +193,26 @@ def fit(points: DataFrame) -> DataFrame:
     return kept["model"]
 
 
+def _named(name: str) -> Column:
+    return F.col(f"`{name}`")
+
+
+def _judged(docs: DataFrame, *more: str) -> DataFrame:
+    """_row (a document as it came), base_failed, kept and more columns. The documents and their points are written once, so that no text is counted twice or shuffled."""
+    own = docs.select(F.struct(*[_named(c) for c in docs.columns]).alias("_row"), *[F.col(c) if c in docs.columns else F.lit(None).cast("string").alias(c) for c in ("lang", "source", "text")])
+    points = C.staged(_points(with_counts(own)).drop("text", "lang", "source"), "points")
+    return _judge(points, fit(points.drop("_row")).drop("cell", "st", "n")).select("_row", "base_failed", "kept", *more)
+
+
 def judged(docs: DataFrame) -> DataFrame:
-    """The documents' columns but for the text, with the counts, base_failed and kept."""
+    """The documents' columns but for the text, with the counts, base_failed and kept, whose names are taken."""
     held = [c for c in docs.columns if c not in ("text", *COUNTS, "base_failed", "kept")]
-    docs = docs.select("text", *held)
-    points = C.staged(_points(with_counts(docs)).drop("text"), "points")
-    return _judge(points, fit(points).drop("cell", "n")).select(*held, *COUNTS, "base_failed", "kept")
+    return _judged(docs.select("text", *map(_named, held)), *COUNTS).select(*[F.col(f"_row.`{c}`").alias(c) for c in held], *COUNTS, "base_failed", "kept")
 
 
 def pass_rules(docs: DataFrame) -> DataFrame:
-    """The documents that the rules keep, all columns as they were. No text is shuffled: the counts are made again beside it."""
-    slim = docs.select("lang", "source", "text")
-    model = fit(C.staged(_points(with_counts(slim)).drop("text", *COUNTS), "points")).drop("cell", "n")
-    own = docs.select(F.struct(*docs.columns).alias("_row"), "lang", "source", "text")
-    counted = _points(with_counts(own)).select("_row", "base_failed", "lk", "sk", *[f"x{i}" for i in range(1, D + 1)])
-    return _judge(counted, model).where("kept").select("_row.*")
+    """The documents that the rules keep, all columns as they were."""
+    return _judged(docs).where("kept").select("_row.*")
 
 
 def op2_quality_rules(spark, sf_dir: str) -> DataFrame:

@@ -209,14 +209,18 @@ class Encoder:
         out[of], out[~of] = ids, [i for x in got for i in x]
         return out, counts
 
-    def _rows(self, col: pa.Array):
-        """For each chunk of texts: rows lo, hi, the table rows of its pre-tokens, and each text's first."""
+    def pre_tokens(self, col: pa.Array):
+        """For each chunk of texts: rows lo, hi, the bytes, its pre-tokens' starts, ends and hashes, and each text's first."""
         for lo, hi, data, offs in C.chunks(col):
             cuts = None
             if self.lower and not any(x in data.tobytes() for x in self.special):
                 data, cuts = _lowered(data)
             s, e, first = C.word_bounds(data, offs, C.BLANK_WORD, cuts)
-            h = C.word_hashes(data, s, e)
+            yield lo, hi, data, s, e, C.word_hashes(data, s, e), first
+
+    def _rows(self, col: pa.Array):
+        """For each chunk of texts: rows lo, hi, the table rows of its pre-tokens, and each text's first."""
+        for lo, hi, data, s, e, h, first in self.pre_tokens(col):
             row = self.table.get(h)
             new = np.flatnonzero(row < 0)
             if len(new):
@@ -262,12 +266,34 @@ def frequent(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             raw = bytes(back[c] for c in token[: -len(suffix)])
             if _PLAIN.fullmatch(raw) or raw in (b".", b","):
                 words.add(raw)
-    words = sorted(words)
+    return encoded(path, sorted(words))
+
+
+def encoded(path: str, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes, all ids in a row, and how many ids each of distinct pre-tokens has."""
     ids, counts = Encoder(path).encode_words(words)
-    h = C.hash_words(words)
-    _, first = np.unique(h, return_index=True)
-    assert len(first) == len(h)
-    return h, ids, counts
+    return C.hash_words(words), ids, counts
+
+
+def common_in(batches, path: str, most: int, held: int = 1 << 18):
+    """texts -> word and n: a task's most frequent pre-tokens. Where more than held are counted, the rarer half is forgotten, so that memory is bounded; nothing but speed depends on them."""
+    enc = encoder(path)
+    count = np.zeros(0, np.int64)
+    hashes, words = np.zeros(0, np.uint64), []
+    for batch in batches:
+        for _, _, data, s, e, h, _ in enc.pre_tokens(batch.column(0)):
+            u, first, n = np.unique(h, return_index=True, return_counts=True)
+            raw = data.tobytes()
+            new = ~np.isin(u, hashes, assume_unique=True)
+            words += [raw[a:b] for a, b in zip(s[first[new]].tolist(), e[first[new]].tolist(), strict=True)]
+            hashes, count = np.concatenate([hashes, u[new]]), np.concatenate([count, np.zeros(int(new.sum()), np.int64)])
+            order = np.argsort(hashes)
+            count[order[np.searchsorted(hashes[order], u)]] += n
+            if len(hashes) > held:
+                keep = np.sort(np.argsort(-count, kind="stable")[: held // 2])
+                hashes, count, words = hashes[keep], count[keep], [words[i] for i in keep.tolist()]
+    top = np.argsort(-count, kind="stable")[:most].tolist()
+    yield pa.RecordBatch.from_arrays([pa.array([words[i] for i in top], pa.binary()), pa.array(count[top], pa.int64())], names=["word", "n"])
 
 
 _encoders: dict[str, Encoder] = {}

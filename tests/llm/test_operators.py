@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from palimpsest.llm import binary, common, components, decontaminate, langid, linedup, lm, mixing, neardup, quality_model, quality_rules, registry, token_counts, tokens
+from palimpsest.llm import binary, common, components, decontaminate, langid, linedup, lm, mixer, mixing, neardup, quality_model, quality_rules, registry, token_counts, tokens
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 VOCAB = str(public_tokenizers.path("word_bpe_49k.json"))
@@ -111,6 +111,37 @@ def test_rules(spark, docs, edges, nothing):
     assert quality_rules.pass_rules(docs).count() == quality_rules.judged(docs).where("kept").count()
 
 
+def test_rules_bear_any_names(spark, docs):
+    from pyspark.sql import functions as F
+
+    more = docs.withColumns({"x1": F.lit(7), "d2": F.lit("d"), "lk": F.lit(1), "l11": F.lit(2), "cell": F.lit("c"), "st": F.lit(3), "a.b": F.lit(4), "_row": F.lit(5)})
+    got = quality_rules.judged(more)
+    assert set(got.columns) == {*more.columns, *quality_rules.COUNTS, "base_failed", "kept"} - {"text"}
+    r = got.first()
+    assert (r.x1, r.d2, r.lk, r.l11, r["cell"], r.st, r["a.b"], r["_row"]) == (7, "d", 1, 2, "c", 3, 4, 5)
+    assert {r.doc_id for r in got.where("kept").collect()} == {r.doc_id for r in quality_rules.judged(docs).where("kept").collect()}
+
+
+def test_least_determinant(spark):
+    """The fit of a cell against a plain search: steps from both starts, and the least determinant; by other code."""
+    rng = np.random.default_rng(8)
+    x = np.concatenate([rng.normal(0, 1, (300, 5)) @ rng.normal(0, 1, (5, 5)), rng.normal(9, 0.5, (60, 5))])
+    df = spark.createDataFrame([("l", "s", False, *map(float, r)) for r in x], "lk string, sk string, base_failed boolean, x1 double, x2 double, x3 double, x4 double, x5 double")
+    got = quality_rules.fit(common.staged(df, "points")).first()
+    ridge = np.diag(np.square(quality_rules.LEAST))
+    mid = np.median(x, 0)
+    starts = [(mid, np.diag(np.maximum(1.4826 * np.median(abs(x - mid), 0), quality_rules.LEAST) ** 2)), (x.mean(0), np.cov(x.T, bias=True) + ridge)]
+    ends = []
+    for m, c in starts:
+        for _ in range(quality_rules.STEPS):
+            d = np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(c), x - m)
+            near = x[np.argsort(d)[: math.ceil(quality_rules.HELD * len(x))]]
+            m, c = near.mean(0), np.cov(near.T, bias=True) + ridge
+        ends.append((np.linalg.det(c), m))
+    assert np.allclose([got[f"m{i}"] for i in range(1, 6)], min(ends, key=lambda e: e[0])[1], atol=0.15)
+    assert math.isclose(math.log(np.prod([got[f"l{i}{i}"] for i in range(1, 6)]) ** 2), math.log(min(ends, key=lambda e: e[0])[0]), abs_tol=0.3)
+
+
 def test_rules_are_native(docs):
     plan = quality_rules.pass_rules(docs)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
@@ -147,6 +178,58 @@ def test_targets(spark):
     assert got["b"] == 30 and got[None] == 15 and math.isclose(sum(got.values()), 1115) and got["a"] < 300
 
 
+def test_mix_of_repeated_ids(spark):
+    """Rows of one key are taken each by itself, so that the mix holds as many words as planned."""
+    rows = [(k % 3 if k % 4 else None, f"s{k % 2}", " ".join(["w"] * (1 + k % 5)), k) for k in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string, n long")
+    plan = mixing.mix(df)
+    out = mixing.mixed(df).collect()
+    assert sum(len(r.text.split()) for r in out) == plan.agg({"taken": "sum"}).first()[0] <= sum(len(t.split()) for _, _, t, _ in rows)
+
+
+def test_language_against_brute_force(spark, docs):
+    some = [(r.doc_id, r.text, r.lang) for r in docs.where("doc_id < 40").collect()]
+    some += [(900, "aa bb aa cc bb dd", "en"), (901, "bb aa", None)]
+    df = spark.createDataFrame(some, "doc_id long, text string, lang string")
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.language_id(df, langid.F.col("doc_id") % 4 != 2).collect()}
+
+    def counts(text):
+        out = collections.Counter()
+        for w in "".join(c if c.isalpha() else " " for c in text or "").split():
+            ls = [ord(c.lower()[0]) for c in w]
+            at = [0, *ls, 0]
+            out.update(ls)
+            out.update((a << 21) | b | 1 << 63 for a, b in zip(at, at[1:]))
+            out.update((a << 42) | (b << 21) | c for a, b, c in zip(at, at[1:], at[2:]))
+        return out
+
+    ranked = lambda c: [g for g, _ in sorted(c.items(), key=lambda x: (-x[1], x[0]))[: langid.PROFILE]]
+    by = collections.defaultdict(collections.Counter)
+    for k, t, lang in some:
+        if lang and k % 4 != 2:
+            by[lang] += counts(t)
+    profiles = {lang: {g: i for i, g in enumerate(ranked(c))} for lang, c in by.items()}
+    for k, t, _ in some:
+        own = ranked(counts(t))
+        if not own:
+            assert got[k] == ("und", 0.0)
+            continue
+        far = {lang: sum(abs(p[g] - i) if g in p else langid.PROFILE for i, g in enumerate(own)) for lang, p in profiles.items()}
+        best = min(sorted(far), key=far.get)
+        assert got[k][0] == best and math.isclose(got[k][1], 1 - far[best] / (len(own) * langid.PROFILE), abs_tol=1e-9)
+
+
+def test_additive_scores_against_brute_force():
+    """A score is the sum of one look-up for each feature and pair, found here bin by bin."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(0, 1, (400, 4))
+    m = quality_model.fit(x, ((x[:, 0] > 0) ^ (x[:, 1] > 0.3)).astype(float))
+    for row, p in zip(x[:60], m.score(x[:60]), strict=True):
+        at = lambda edges, v: sum(v >= e for e in edges)
+        total = m.base + sum(t[at(e, v)] for e, t, v in zip(m.edges, m.tables, row, strict=True)) + sum(t[at(m.coarse[j], row[j]), at(m.coarse[k], row[k])] for j, k, t in m.pairs)
+        assert math.isclose(p, 1 / (1 + math.exp(-total)), rel_tol=1e-9)
+
+
 def test_mix(spark, docs, edges, nothing):
     rows = mixing.mix(docs).collect()
     by = collections.defaultdict(list)
@@ -158,7 +241,7 @@ def test_mix(spark, docs, edges, nothing):
     assert mixing.mix(nothing).count() == 0
     assert {r.doc_id: r.size for r in mixing.mix(edges.drop("size")).collect()}[6] == 30_000
     out = mixing.mixed(docs)
-    assert out.columns == docs.columns and out.count() == sum(r.copies for r in rows) == mixing.mixed(docs, in_order=False).count()
+    assert out.columns == docs.columns and out.count() == sum(r.copies for r in rows)
     assert mixing.mixed(edges).columns == edges.columns
 
 
@@ -283,6 +366,18 @@ def test_near_duplicate_edges(spark, edges, nothing):
     assert neardup.near_duplicates(nothing).count() == 0
 
 
+def test_repeated_ids_of_unlike_texts(spark):
+    """Each text of an id is a document: none is lost, and links of any of them count."""
+    base = [" ".join(f"{c}{i}" for i in range(40)) for c in "abc"]
+    near = base[1].replace("b39", "zz")
+    rows = [(1, base[0]), (1, base[1]), (2, near), (2, base[2]), (3, base[2]), (3, base[2]), (4, "one of a kind, of some words"), (4, "another of a kind, of some words")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id, r.component_id) for r in neardup.near_duplicates(df).collect())
+    assert got == [(1, 1), (1, 1), (2, 1), (2, 2), (3, 2), (3, 2), (4, 4), (4, 4)]
+    left = sorted(map(tuple, neardup.without_near_duplicates(df).collect()))
+    assert left == sorted([(1, base[0]), (1, base[1]), (2, base[2]), (4, rows[6][1]), (4, rows[7][1])])
+
+
 def test_sketch_estimates():
     rng = np.random.default_rng(5)
     for j in (0.5, 0.85, 0.95):
@@ -378,19 +473,102 @@ def test_scores(spark, sf, texts):
     assert sum(r.score for r in held) / sum(r.n_tokens for r in held) > -6
 
 
-def test_probabilities_add_up(spark, docs):
-    sums = common.staged(lm.gather(docs), "sums")
-    m = lm.train(sums, lm.lesson(docs))
-    before = np.uint64(int.from_bytes(b" the", "big")) << np.uint64(32)
-    keys = before | (np.arange(256, dtype=np.uint64) << np.uint64(24))
-    assert math.isclose((10 ** m.log10(keys)).sum(), 1, rel_tol=1e-9)
+def small_model(seed=1, n=40):
+    rng = np.random.default_rng(seed)
+    m = mixer.Model(mixer.Codes(np.append(np.sort(rng.integers(2, 900, n))[::-1], [30, 50])), rng.integers(0, 1 << 16, (2, 1 << 10)).astype(np.uint16))
+    m.weights += rng.normal(0, 0.2, m.weights.shape)
+    m.seen = rng.integers(0, 500, m.seen.shape).astype(float)
+    m.hit = m.seen * rng.random(m.seen.shape)
+    return m.ready()
+
 
+@pytest.mark.parametrize("predicted", [mixer.NONE, 3, mixer.RARE + 5])
+def test_probabilities_add_up(predicted):
+    """Over all words of the vocabulary, the escape and the end, whatever is predicted; and letters over all bytes."""
+    m, n = small_model(), 42
+    ids = np.concatenate([[7, 2, w] for w in range(n)])
+    t = mixer.Tokens(ids.astype(np.int32), np.arange(0, 3 * n, 3), np.tile([mixer.NONE, mixer.NONE, predicted], n).astype(np.int32), np.zeros(3 * n, np.int8), m.escape)
+    assert math.isclose((10 ** m.log10(t, np.zeros(0))[2::3]).sum(), 1, rel_tol=1e-4)
+    costs = mixer.letter_costs(np.random.default_rng(2).integers(0, 3, mixer.CLASSES**2 * 256))
+    assert np.allclose((10.0**costs).sum(1), 1, atol=1e-4)
 
-def test_all_training_texts_are_learned(spark):
-    rows = [(i, f"word {i % 97} of text {i}") for i in range(3000)]
-    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    m = lm.train(common.staged(lm.gather(df), "sums"), lm.lesson(df))
-    assert math.isclose(m.seen.sum(), 8 * sum(len(t) + 1 for _, t in rows), rel_tol=1e-9)
+
+def test_counters_against_brute_force():
+    """Counts of bits by slot, of the mix, and costs: each token by itself, in plain Python."""
+    m = small_model()
+    rng = np.random.default_rng(5)
+    ids, first = rng.integers(0, 42, 300).astype(np.int32), np.array([0, 90, 91, 250])
+    _, topic, previous = mixer.pairs(ids.astype(np.int64), first)
+    got = np.zeros(2 << 10, np.int64)
+    m.counted(ids.astype(np.int64), mixer.contexts(topic, previous)[1], np.ones(300, np.int64), got)
+    want = collections.Counter()
+    predicted = np.where(rng.random(300) < 0.3, ids, mixer.NONE).astype(np.int32)
+    learned = (rng.random(300) < 0.5).astype(np.int8)
+    t = mixer.Tokens(ids, first, predicted, learned, m.escape)
+    logs = m.log10(t, np.zeros(0))
+    table = m.costs().reshape(2, mixer.GATES, mixer.BINS)
+    run, missed = 0, False
+    for i, w in enumerate(ids.tolist()):
+        start = max(f for f in first.tolist() if f <= i)
+        if i == start:
+            run, missed = 0, False
+        before = mixer.PREVS + 1 if i == start else min(int(ids[i - 1]), mixer.PREVS)
+        about = min([mixer.TOPICS, *(int(x) for x in ids[max(start, i - mixer.BACK) : i])])
+        assert (topic[i], previous[i]) == (about, before)
+        state = 0 if predicted[i] == mixer.NONE else 5 if missed else 1 + sum(run >= k for k in (1, 4, 16))
+        total, on = 0.0, True
+        for k in range(m.codes.size[w]):
+            node, bit = int(m.codes.node[m.codes.start[w] + k]), int(m.codes.bit[m.codes.start[w] + k])
+            x, gate = [], 0
+            for j, c in enumerate(mixer.contexts(np.array([about]), np.array([before]))):
+                slot = int((c[0] ^ m.mix[node]) >> m.shift)
+                if j == 1:
+                    want[2 * slot + bit] += 1
+                z, o = mixer.COUNT[m.tables[j, slot] >> 8], mixer.COUNT[m.tables[j, slot] & 255]
+                own = bool(learned[i])
+                z, o = z - (own and not bit), o - (own and bit)
+                x.append(math.log((max(o, 0) + mixer.PRIOR) / (max(z, 0) + mixer.PRIOR)))
+                gate = gate * 3 + (z + o >= 0.5) + (z + o >= 20.5)
+            z, o = m.codes.zeros[node] - (own and not bit), m.codes.ones[node] - (own and bit)
+            x.insert(0, math.log((max(o, 0) + mixer.PRIOR) / (max(z, 0) + mixer.PRIOR)))
+            p = predicted[i]
+            match = 0
+            if p != mixer.NONE and k < m.codes.size[p] and on and m.codes.node[m.codes.start[p] + k] == node:
+                match = 2 * int(m.codes.bit[m.codes.start[p] + k]) - 1
+                gate += state * 9
+            x += [match, 1]
+            mix = float(np.clip(sum(a * b for a, b in zip(m.weights[gate], x, strict=True)), -20, 20))
+            total += table[bit, gate, int(np.clip((mix + mixer.FAR) * mixer.BINS / (2 * mixer.FAR), 0, mixer.BINS - 1))]
+        assert abs(total - logs[i]) < 0.05 * max(1, m.codes.size[w] / 4), (i, total, logs[i])
+        run = run + 1 if predicted[i] == w else 0
+        missed = predicted[i] != mixer.NONE and predicted[i] != w
+    assert {k: int(got[k]) for k in np.flatnonzero(got)} == dict(want)
+
+
+def test_scores_repeat(spark):
+    """More tasks than workers, and other tasks: the same scores, as all that is added are whole numbers."""
+    rng = np.random.default_rng(3)
+    rows = [(i, " ".join(f"w{min(int(x), 400)}" for x in rng.zipf(1.3, 60))) for i in range(400)]
+    rows += [(1000 + i, t) for i, t in rows[:40]]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    learn = lm.F.col("doc_id") % 5 != 0
+    got = [{r.doc_id: r.score for r in lm.lm_scores(df.repartition(n), learn).collect()} for n in (3, 9)]
+    assert got[0] == pytest.approx(got[1], rel=1e-6)
+    twice = [got[0][i] for i in range(40)]
+    once = [got[0][i] for i in range(40, 400)]
+    assert np.median(twice) > np.median(once)
+
+
+def test_long_texts_are_read_in_pieces(monkeypatch):
+    monkeypatch.setattr(mixer, "PIECE", 10)
+    starts, bounds = mixer.groups(np.array([0, 25, 25, 31, 60]), 20)
+    assert starts.tolist() == [0, 10, 20, 25, 25, 31, 41, 51, 60]
+    assert bounds[0] == 0 and bounds[-1] == len(starts) - 1 and all(starts[b] - starts[a] <= 20 for a, b in zip(bounds, bounds[1:]))
+    monkeypatch.setattr(common, "CHUNK_BYTES", 8)
+    data, offs = common.flat(pa.array([b"one three  fifteen-letters x", b"", b"one"]))
+    s, e, _ = common.word_bounds(data, offs, common.BLANK_WORD)
+    h = common.word_hashes(data, s, e)
+    assert h[0] == h[-1] and h.tolist() == common.hash_words([b"one", b"three", b"fifteen-letters", b"x", b"one"]).tolist()
 
 
 def test_score_edges(spark, edges, nothing):
@@ -400,7 +578,7 @@ def test_score_edges(spark, edges, nothing):
     assert got[0].n_tokens == got[1].n_tokens == 1 and got[0].score == got[2].score < 0 and got[6].n_tokens == 30_001
     assert lm.lm_scores(nothing, F.lit(True)).count() == 0
     blank = lm.lm_scores(edges, F.lit(False)).collect()
-    assert all(r.n_known == 0 and r.train_tokens == 0 for r in blank)
+    assert len(blank) == edges.count() and all(r.n_known == 0 and r.train_tokens == 0 for r in blank)
 
 
 # pipeline
