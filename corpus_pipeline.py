@@ -28,8 +28,8 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each time that the mix takes a document. The next stage sorts by id, so the queue's order isn't made here."""
-    return mixing.mixed(docs, in_order=False)
+    """A row for each time that the mix takes a document, in the queue's order."""
+    return mixing.mixed(docs)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
