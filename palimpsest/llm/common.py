@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import functools
 import os
 from collections.abc import Iterator
 
@@ -38,6 +39,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def staged(df: DataFrame, name: str) -> DataFrame:
     """df as a table in the shared folder: cuts the lineage, and survives lost executors. What its shuffles left is deleted when it is written."""
     spark, place = df.sparkSession, new_place(df.sparkSession, name)
+    if _scratch is not None:
+        _scratch.append((spark, place))
     before = spark.conf.get(CLEAN_SHUFFLES, "false")
     spark.conf.set(CLEAN_SHUFFLES, "true")
     try:
@@ -47,6 +50,29 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(place)
 
 
+_scratch: list[tuple[SparkSession, str]] | None = None
+_left: list[tuple[SparkSession, str]] = []
+
+
+def stage(f):
+    """For the stages of a pipeline, each of which is written before the next is asked for: at its start, a stage deletes what the one before it staged."""
+
+    @functools.wraps(f)
+    def run(*args, **kwargs):
+        global _scratch
+        for spark, place in _left:
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(place)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        _left.clear()
+        outer, _scratch = _scratch, _left
+        try:
+            return f(*args, **kwargs)
+        finally:
+            _scratch = outer
+
+    return run
+
+
 def drop_staged(*dfs: DataFrame) -> None:
     """Deletes the staged tables under these frames now; nothing may read them afterwards."""
     for df in dfs:
