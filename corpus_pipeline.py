@@ -12,26 +12,31 @@ from pyspark.sql import DataFrame, SparkSession
 from palimpsest.llm import binary, common, decontaminate, mixing, neardup, quality_rules
 
 
+@common.stage
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops what the base rules or the robust outlier test reject."""
     return quality_rules.pass_rules(docs)
 
 
+@common.stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each component of near duplicates, of a similarity of 0.8 or more."""
     return neardup.without_near_duplicates(docs, 80)
 
 
+@common.stage
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts benchmark passages out, and drops documents that are mostly such passages."""
     return decontaminate.decontaminate(docs, common.table(spark, sf_dir, "benchmark"))
 
 
+@common.stage
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row for each time that the mix takes a document, in the queue's order."""
     return mixing.mixed(docs)
 
 
+@common.stage
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Writes the token files; returns what is read back from them."""
     import public_tokenizers
@@ -53,6 +58,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = common.staged(stage(spark, docs, sf_dir), name)
+    for k, (name, stage) in enumerate(STAGES[:-1]):
+        before, docs = docs, common.staged(stage(spark, docs, sf_dir), name)
+        if k:
+            common.drop_staged(before)
     return STAGES[-1][1](spark, docs, sf_dir)
