@@ -405,6 +405,30 @@ def test_patience():
     assert linedup.patience([], [1]) == [] and linedup.patience([5, 6], [6, 5]) in ([(0, 1)], [(1, 0)])
 
 
+def test_patience_against_brute_force():
+    """Where no line repeats, as many lines are aligned as any alignment can; blocks are the neighbouring pairs, found here line by line."""
+    rng = np.random.default_rng(9)
+    for _ in range(200):
+        n = int(rng.integers(0, 14))
+        a = rng.permutation(20)[:n].tolist()
+        b = [int(x) if rng.random() < 0.8 else 100 + i for i, x in enumerate(a)]
+        for _ in range(int(rng.integers(0, 3))):
+            b.insert(int(rng.integers(0, len(b) + 1)), b.pop(int(rng.integers(0, len(b))))) if b else None
+        most = np.zeros((len(a) + 1, len(b) + 1), int)
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                most[i + 1, j + 1] = max(most[i, j + 1], most[i + 1, j], most[i, j] + (x == y))
+        got = linedup.patience(a, b)
+        assert len(got) == most[-1, -1] and all(a[i] == b[j] for i, j in got)
+        assert all(p < r and q < s for (p, q), (r, s) in zip(got, got[1:]))
+        weight = rng.integers(1, 15, len(b)).tolist()
+        to = dict((j, i) for i, j in got)
+        same = lambda lo, hi: all(j in to and to[j] - to[lo] == j - lo for j in range(lo, hi))
+        ranges = [(lo, hi) for lo in range(len(b)) for hi in range(lo + 1, len(b) + 1) if lo in to and same(lo, hi) and sum(weight[lo:hi]) >= 20]
+        want = [(lo, hi) for lo, hi in ranges if not any((x, y) != (lo, hi) and x <= lo and y >= hi for x, y in ranges)]
+        assert linedup.common_blocks(a, b, weight) == want
+
+
 def test_lines(spark, texts, edges, nothing):
     first = {}
     for k in sorted(texts):
@@ -584,15 +608,83 @@ def test_score_edges(spark, edges, nothing):
 # pipeline
 
 
-def test_pipeline(spark, sf, texts):
+def test_pipeline(spark, sf, texts, library):
     import corpus_pipeline as p
 
     assert [n for n, _ in p.STAGES] == ["quality_rules", "near_duplicates", "decontamination", "mixing", "token_ids"] and p.ORACLE_SQL is None
     out = p.run(spark, sf).orderBy("start").collect()
     assert out and [r.start for r in out] == [0, *np.cumsum([r.n_tokens for r in out]).tolist()[:-1]]
-    ids = {r.doc_id for r in out}
-    comp = plain_components({k: texts[k] for k in ids})
-    assert all(k == root for k, (_, root) in comp.items())
+    want = plain_pipeline(sf, texts, library)
+    assert [(r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in out] == want
+
+
+def plain_clean(text, grams):
+    """The text with spans of words of any item's window cut out; None where more than half of its words are hit."""
+    first = True
+    while True:
+        found = list(re.finditer(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.translate(LOWER)))
+        w = [m.group() for m in found]
+        hit = {j for n in {len(g) for g in grams} for i in range(len(w) - n + 1) if tuple(w[i : i + n]) in grams for j in range(i, i + n)}
+        if first and 2 * len(hit) > len(w):
+            return None
+        if not hit:
+            return text
+        first, starts = False, sorted(i for i in hit if i - 1 not in hit)
+        for i in reversed(starts):
+            j = next(j for j in range(i, len(w) + 1) if j not in hit) - 1
+            text = text[: found[i].start()] + "\n" + text[found[j].end() :]
+
+
+def plain_targets(sizes, most=3):
+    """Shares by weight 1, 2, 3, a source at a time held to its cap, until none is above it."""
+    weight = {s: 1 + i % 3 for i, s in enumerate(sorted(sizes, key=lambda s: (s is None, s or "")))}
+    capped, total = {}, sum(sizes.values())
+    while True:
+        left = total - sum(capped.values())
+        free = sum(w for s, w in weight.items() if s not in capped)
+        share = {s: w * left / free for s, w in weight.items() if s not in capped}
+        above = {s: most * sizes[s] for s, x in share.items() if x > most * sizes[s]}
+        if not above:
+            return share | capped
+        capped |= above
+
+
+def plain_pipeline(sf, texts, library):
+    """The five stages in plain Python; only the verdict of the rules is taken from SQL, whose fit test_least_determinant holds against a search."""
+    import duckdb
+
+    con = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{sf}/{name}.parquet'")
+    kept = {k: texts[k] for k, keep in con.execute(f"SELECT doc_id, kept FROM ({quality_rules.OP2_SQL})").fetchall() if keep}
+    roots = {k: kept[k] for k, (_, root) in plain_components(kept, 80).items() if k == root}
+    items = [words(t, r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+") for (t,) in con.execute("SELECT text FROM benchmark").fetchall()]
+    grams = {tuple(w[i : i + 10]) for w in items if w for i in range(max(1, len(w) - 9))}
+    clean = {k: t for k, t in ((k, plain_clean(t, grams)) for k, t in roots.items()) if t is not None}
+    assert len(texts) > len(kept) > len(roots) and clean != roots
+    source = dict(con.execute("SELECT doc_id, source FROM documents").fetchall())
+    size = {k: len(words(t)) for k, t in clean.items()}
+    total = collections.Counter()
+    for k, n in size.items():
+        total[source[k]] += n
+    target = plain_targets(total)
+    upto, queue = collections.Counter(), []
+    for k in sorted(clean, key=lambda k: (hashlib.md5(str(k).encode()).hexdigest(), k)):
+        upto[source[k]] += size[k]
+        queue += [((i * total[source[k]] + upto[source[k]]) / target[source[k]], k) for i in range(3) if size[k]]
+    copies, used = collections.Counter(), 0
+    for _, k in sorted(queue):
+        used += size[k]
+        if used > sum(size.values()):
+            break
+        copies[k] += 1
+    out, start = [], 0
+    for k in sorted(copies):
+        ids = np.array([*library.encode(clean[k], add_special_tokens=False).ids, 2], "<u4")
+        for _ in range(copies[k]):
+            out.append((k, start, len(ids), zlib.crc32(ids.tobytes())))
+            start += len(ids)
+    return out
 
 
 def test_digest_of_no_items():
