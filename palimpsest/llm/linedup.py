@@ -8,7 +8,8 @@ patience diff: lines that are unique in both and in the same order are fixed poi
 them join. Blocks of aligned neighbouring lines with ``BLOCK_WORDS`` words or more are deleted from the later document; the first document keeps its lines.
 
 Lines are known by 64-bit hashes of their bytes, and a document's go into the pairs as hashes, not as text. Null ids aren't compared; null texts have no lines.
-Rows of one id are one document, and lose the same lines. No documents: no rows.
+Rows of one id and text are one document, and lose the same lines; other texts of that id are documents of their own, and none of them is earlier than another.
+No documents: no rows.
 """
 
 from __future__ import annotations
@@ -25,21 +26,24 @@ from pyspark.sql import types as T
 
 from . import common as C
 
-#: Lines of fewer words are too common to say much by themselves; nothing is left out for that.
-RARE_WORDS = 5
 BLOCK_WORDS = 20
 
 
+def _uid(key: str):
+    """What tells a document from the others: its id and text."""
+    return F.xxhash64(F.col(f"`{key}`"), F.col("text"))
+
+
 def line_hashes(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """doc_id, lines (hashes) and words (of each line)."""
-    slim = docs.select(F.col(key).alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    schema = T.StructType([slim.schema["doc_id"], *T._parse_datatype_string("lines array<long>, words array<int>").fields])
+    """uid, doc_id, lines (hashes) and words (of each line)."""
+    slim = docs.select(_uid(key).alias("uid"), F.col(f"`{key}`").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    schema = T.StructType([slim.schema["uid"], slim.schema["doc_id"], *T._parse_datatype_string("lines array<long>, words array<int>").fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            none = np.asarray(batch.column(1).is_null())
+            none = np.asarray(batch.column(2).is_null())
             hashes, words, sizes = [], [], []
-            for _, _, data, offs in C.chunks(batch.column(1)):
+            for _, _, data, offs in C.chunks(batch.column(2)):
                 breaks = np.flatnonzero(data == 10)
                 ls = np.concatenate([offs[:-1], breaks + 1])
                 le = np.concatenate([offs[1:], breaks])
@@ -54,7 +58,7 @@ def line_hashes(docs: DataFrame, key: str = "doc_id") -> DataFrame:
             ends = pa.array(np.concatenate([[0], np.cumsum(sizes_)]).astype(np.int32))
             lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate(x).astype(t) if x else np.zeros(0, t))) for x, t in (([h.view(np.int64) for h in hashes], np.int64), (words, np.int32))]
             empty = [pa.array([None if n else v for n, v in zip(none, x.to_pylist(), strict=True)], x.type) if none.any() else x for x in lists]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *empty], names=schema.names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *empty], names=schema.names)
 
     return C.map_arrow(slim, run, schema)
 
@@ -132,27 +136,27 @@ def _runs(hashes: np.ndarray, words: np.ndarray, least: int) -> tuple[np.ndarray
 
 
 def runs(lines: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """doc_id, run (a hash of its lines), lo and hi of each least run of block_words words or more."""
-    schema = T.StructType([lines.schema["doc_id"], *T._parse_datatype_string("run long, lo int, hi int").fields])
+    """uid, doc_id, run (a hash of its lines), lo and hi of each least run of block_words words or more."""
+    schema = T.StructType([lines.schema["uid"], lines.schema["doc_id"], *T._parse_datatype_string("run long, lo int, hi int").fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hashes, words = (batch.column(i).flatten().to_numpy() for i in (1, 2))
-            at = np.concatenate([[0], np.cumsum(batch.column(1).value_lengths().to_numpy())])
+            hashes, words = (batch.column(i).flatten().to_numpy() for i in (2, 3))
+            at = np.concatenate([[0], np.cumsum(batch.column(2).value_lengths().to_numpy())])
             found = [_runs(hashes[a:b].view(np.uint64), words[a:b], block_words) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
             row = np.repeat(np.arange(batch.num_rows), [len(k) for k, _, _ in found])
             key, lo, hi = (np.concatenate(x) if found else np.zeros(0, np.uint64) for x in (list(zip(*found, strict=True)) or [[]] * 3))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(key.view(np.int64)), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32))], names=schema.names)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row)), pa.array(key.view(np.int64)), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32))], names=schema.names)
 
-    return C.map_arrow(lines.select("doc_id", "lines", "words"), run, schema)
+    return C.map_arrow(lines.select("uid", "doc_id", "lines", "words"), run, schema)
 
 
 def _aligned(pairs: DataFrame, lines: DataFrame, block_words: int) -> DataFrame:
-    """doc_id and blocks of the pairs (doc_id and first, the earlier document) that have any."""
-    later = lines.select("doc_id", F.col("lines").alias("b"), "words")
-    earlier = lines.select(F.col("doc_id").alias("first"), F.col("lines").alias("a"))
-    rows = pairs.join(later, "doc_id").join(earlier, "first").select("doc_id", "a", "b", "words")
-    schema = T.StructType([lines.schema["doc_id"], *T._parse_datatype_string("blocks array<struct<lo:int,hi:int>>").fields])
+    """uid and blocks of the pairs (uid and first, the uid of an earlier document) that have any."""
+    later = lines.select("uid", F.col("lines").alias("b"), "words")
+    earlier = lines.select(F.col("uid").alias("first"), F.col("lines").alias("a"))
+    rows = pairs.join(later, "uid").join(earlier, "first").select("uid", "a", "b", "words")
+    schema = T.StructType([lines.schema["uid"], *T._parse_datatype_string("blocks array<struct<lo:int,hi:int>>").fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -165,34 +169,34 @@ def _aligned(pairs: DataFrame, lines: DataFrame, block_words: int) -> DataFrame:
 
 
 def _gathered(found: DataFrame) -> DataFrame:
-    return found.groupBy("doc_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("blocks")))).alias("blocks"))
+    return found.groupBy("uid").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("blocks")))).alias("blocks"))
 
 
 def deletions(docs: DataFrame, key: str = "doc_id", block_words: int = BLOCK_WORDS) -> DataFrame:
-    """doc_id and blocks (ranges lo, hi of lines to delete) of the documents that lose any."""
-    lines = C.staged(line_hashes(docs, key).where("doc_id IS NOT NULL AND lines IS NOT NULL").dropDuplicates(["doc_id"]), "lines")
+    """uid and blocks (ranges lo, hi of lines to delete) of the documents that lose any."""
+    lines = C.staged(line_hashes(docs, key).where("doc_id IS NOT NULL AND lines IS NOT NULL").dropDuplicates(["uid"]), "lines")
     each = runs(lines, block_words)
-    first = each.groupBy("run").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("run", "first")
+    first = each.groupBy("run").agg(F.min(F.struct("doc_id", "uid")).alias("f"), F.max("doc_id").alias("last")).where("f.doc_id < last").select("run", F.col("f.doc_id").alias("before"), F.col("f.uid").alias("first"))
     shared = C.staged(each.join(first, "run"), "runs")
-    late = shared.where("first < doc_id")
-    pairs = C.staged(late.select("doc_id", "first").distinct(), "pairs")
+    late = shared.where("before < doc_id")
+    pairs = C.staged(late.select("uid", "first").distinct(), "pairs")
     found = C.staged(_aligned(pairs, lines, block_words), "aligned")
     inside = lambda i: F.exists("blocks", lambda b: (i >= b["lo"]) & (i < b["hi"]))
-    left = late.join(_gathered(found), "doc_id", "left").where(F.col("blocks").isNull() | F.exists(F.sequence("lo", F.col("hi") - 1), lambda i: ~inside(i))).select("doc_id", "run").distinct()
-    others = left.join(shared.select("run", F.col("doc_id").alias("first")).distinct(), "run").where("first < doc_id").select("doc_id", "first").distinct()
-    more = C.staged(others.join(pairs, ["doc_id", "first"], "left_anti"), "more")
+    left = late.join(_gathered(found), "uid", "left").where(F.col("blocks").isNull() | F.exists(F.sequence("lo", F.col("hi") - 1), lambda i: ~inside(i))).select("uid", "doc_id", "run").distinct()
+    others = left.join(shared.select("run", F.col("uid").alias("first"), F.col("doc_id").alias("before")).distinct(), "run").where("before < doc_id").select("uid", "first").distinct()
+    more = C.staged(others.join(pairs, ["uid", "first"], "left_anti"), "more")
     return _gathered(found.union(_aligned(more, lines, block_words)))
 
 
 def without_repeated_blocks(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """The documents with such blocks deleted, and n_lines, n_deleted and words_deleted; other columns as they were."""
-    gone = C.staged(deletions(docs, key), "blocks").select(F.col("doc_id").alias("_gone"), "blocks")
-    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col(key).alias("_key"), F.split("text", "\n").alias("_lines"))
+    gone = C.staged(deletions(docs, key), "blocks").select(F.col("uid").alias("_gone"), "blocks")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.when(F.col(f"`{key}`").isNotNull(), _uid(key)).alias("_uid"), F.split("text", "\n").alias("_lines"))
     inside = lambda i: F.exists("blocks", lambda b: (i >= b["lo"]) & (i < b["hi"]))
     n_words = lambda lines: F.regexp_count(F.array_join(lines, "\n"), F.lit("[^ \\t-\\r]+")).cast("long")
     left = F.when(F.col("blocks").isNull(), F.col("_lines")).otherwise(F.filter("_lines", lambda x, i: ~inside(i)))
-    out = rows.join(gone.hint("merge"), F.col("_key") == F.col("_gone"), "left").withColumn("_left", left)
-    row = {c: F.col(f"_row.{c}") for c in docs.columns} | {
+    out = rows.join(gone.hint("merge"), F.col("_uid") == F.col("_gone"), "left").withColumn("_left", left)
+    row = {c: F.col(f"_row.`{c}`") for c in docs.columns} | {
         "text": F.array_join("_left", "\n"),
         "n_lines": F.coalesce(F.size("_lines"), F.lit(0)).cast("long"),
         "n_deleted": F.coalesce(F.size("_lines") - F.size("_left"), F.lit(0)).cast("long"),
