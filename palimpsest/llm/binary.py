@@ -38,11 +38,11 @@ def write(docs: DataFrame, place: str, path: str, end: int, key: str = "doc_id")
     kind = "<u2" if top < 1 << 16 else "<u4"
     store, folder = fs.FileSystem.from_uri(place)
     store.create_dir(folder, recursive=True)
-    slim = docs.select(F.col(key).cast("long").alias("key"), F.col("text").cast("binary").alias("text"))
+    slim = docs.select(F.col(f"`{key}`").cast("long").alias("key"), F.col("text").cast("binary").alias("text"))
     ordered = slim.repartitionByRange("key").sortWithinPartitions("key", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = tokens.encoder(path, ready.value)
+        enc = tokens.encoder(path, "vocabulary", ready.value)
         task = TaskContext.get()
         store, folder = fs.FileSystem.from_uri(place)
         name, out = f"{folder}/part-{task.partitionId():06d}", None

@@ -9,6 +9,7 @@ A null or empty text has no bytes and no tokens. Repeated rows are counted each
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,10 +40,10 @@ def token_counts(docs: DataFrame, path: str, limit: int = 2048, key: str = "doc_
     """key, n_bytes, n_tokens and over_limit of each document. path: the vocabulary's file, at the same place on every machine."""
     slim = docs.select(F.col(key), F.col("text").cast("binary").alias("text"))
     schema = T.StructType([slim.schema[0], T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("over_limit", T.BooleanType())])
-    ready = docs.sparkSession.sparkContext.broadcast(frequent(docs, path))
+    ready, name = docs.sparkSession.sparkContext.broadcast(frequent(docs, path)), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = tokens.encoder(path, ready.value)
+        enc = tokens.encoder(path, name, ready.value)
         for batch in batches:
             n = enc.counts(batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(C.flat(batch.column(1))[1])), pa.array(n), pa.array(n > limit)], names=schema.names)

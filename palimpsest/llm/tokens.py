@@ -150,21 +150,37 @@ def _lowered(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out, np.flatnonzero(cut)
 
 
-class Encoder:
+class Splitter:
+    """Pre-tokens of texts, as the vocabulary's normaliser and splitter would have them."""
+
+    def __init__(self, path: str):
+        with open(path) as f:
+            self.spec = spec = json.load(f)
+        self.special = [t["content"].encode() for t in spec.get("added_tokens", [])]
+        #: Lower-casing in advance changes nothing when the vocabulary's normaliser does it.
+        self.lower = '"Lowercase"' in json.dumps(spec.get("normalizer") or {})
+
+    def pre_tokens(self, col: pa.Array):
+        """For each chunk of texts: rows lo, hi, the bytes, its pre-tokens' starts, ends and hashes, and each text's first."""
+        for lo, hi, data, offs in C.chunks(col):
+            cuts = None
+            if self.lower and not any(x in data.tobytes() for x in self.special):
+                data, cuts = _lowered(data)
+            s, e, first = C.word_bounds(data, offs, C.BLANK_WORD, cuts)
+            yield lo, hi, data, s, e, C.word_hashes(data, s, e), first
+
+
+class Encoder(Splitter):
     """Ids of whole texts, without begin, end or added special tokens; special tokens' strings are what the library makes of them."""
 
     def __init__(self, path: str, table_words: int = TABLE_WORDS, ready: tuple | None = None):
         from tokenizers import Tokenizer
 
+        super().__init__(path)
+        spec = self.spec
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        with open(path) as f:
-            spec = json.load(f)
-        self.special = [t["content"].encode() for t in spec.get("added_tokens", [])]
-        normal = json.dumps(spec.get("normalizer") or {})
-        #: Lower-casing in advance changes nothing when the vocabulary's normaliser does it.
-        self.lower = '"Lowercase"' in normal
         plain = spec["model"].get("end_of_word_suffix") and "ByteLevel" in json.dumps(spec.get("pre_tokenizer") or {}) and not spec["model"].get("ignore_merges")
         self.merger = Merger(spec) if plain and self.lower else None
         self.most = max([t["id"] for t in spec.get("added_tokens", [])] + list(spec["model"]["vocab"].values()))
@@ -209,15 +225,6 @@ class Encoder:
         out[of], out[~of] = ids, [i for x in got for i in x]
         return out, counts
 
-    def pre_tokens(self, col: pa.Array):
-        """For each chunk of texts: rows lo, hi, the bytes, its pre-tokens' starts, ends and hashes, and each text's first."""
-        for lo, hi, data, offs in C.chunks(col):
-            cuts = None
-            if self.lower and not any(x in data.tobytes() for x in self.special):
-                data, cuts = _lowered(data)
-            s, e, first = C.word_bounds(data, offs, C.BLANK_WORD, cuts)
-            yield lo, hi, data, s, e, C.word_hashes(data, s, e), first
-
     def _rows(self, col: pa.Array):
         """For each chunk of texts: rows lo, hi, the table rows of its pre-tokens, and each text's first."""
         for lo, hi, data, s, e, h, first in self.pre_tokens(col):
@@ -277,7 +284,7 @@ def encoded(path: str, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.n
 
 def common_in(batches, path: str, most: int, held: int = 1 << 18):
     """texts -> word and n: a task's most frequent pre-tokens. Where more than held are counted, the rarer half is forgotten, so that memory is bounded; nothing but speed depends on them."""
-    enc = encoder(path)
+    enc = Splitter(path)
     count = np.zeros(0, np.int64)
     hashes, words = np.zeros(0, np.uint64), []
     for batch in batches:
@@ -296,11 +303,11 @@ def common_in(batches, path: str, most: int, held: int = 1 << 18):
     yield pa.RecordBatch.from_arrays([pa.array([words[i] for i in top], pa.binary()), pa.array(count[top], pa.int64())], names=["word", "n"])
 
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[str, tuple[str, Encoder]] = {}
 
 
-def encoder(path: str, ready: tuple | None = None) -> Encoder:
-    """One for each vocabulary in a worker, kept between tasks."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path, ready=ready)
-    return _encoders[path]
+def encoder(path: str, name: str = "", ready: tuple | None = None) -> Encoder:
+    """One for each vocabulary in a worker, kept between tasks of the same name. ready: hashes, ids and counts of ids of pre-tokens that are in its table from the start."""
+    if _encoders.get(path, ("?",))[0] != name:
+        _encoders[path] = (name, Encoder(path, ready=ready))
+    return _encoders[path][1]
