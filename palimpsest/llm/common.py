@@ -39,8 +39,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def staged(df: DataFrame, name: str) -> DataFrame:
     """df as a table in the shared folder: cuts the lineage, and survives lost executors. What its shuffles left is deleted when it is written."""
     spark, place = df.sparkSession, new_place(df.sparkSession, name)
-    if _scratch is not None:
-        _scratch.append((spark, place))
+    if _own is not None:
+        _own.append(place)
     before = spark.conf.get(CLEAN_SHUFFLES, "false")
     spark.conf.set(CLEAN_SHUFFLES, "true")
     try:
@@ -50,36 +50,49 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(place)
 
 
-_scratch: list[tuple[SparkSession, str]] | None = None
-_left: list[tuple[SparkSession, str]] = []
+#: What the stage that runs now has staged, and what each stage has left by run (application and tables): its name and places.
+_own: list[str] | None = None
+_left: dict[tuple[str, str], list[tuple[str, list[str]]]] = {}
 
 
 def stage(f):
-    """For the stages of a pipeline, each of which is written before the next is asked for: at its start, a stage deletes what the one before it staged."""
+    """For the stages of a pipeline, f(spark, docs, sf_dir), whose result is to be written before the next stage of the same run is asked for.
+
+    A stage that starts on what is written deletes what the stages before it staged for the same tables: their results aren't needed any more. It deletes nothing of another run or of
+    its own kind, so two results of one stage can both be read, and nothing at all if docs itself is still to be computed from staged tables.
+    """
 
     @functools.wraps(f)
-    def run(*args, **kwargs):
-        global _scratch
-        for spark, place in _left:
-            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(place)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-        _left.clear()
-        outer, _scratch = _scratch, _left
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        global _own
+        left = _left.setdefault((spark.sparkContext.applicationId, sf_dir), [])
+        before = [x for x in left if x[0] != f.__name__]
+        held = [os.path.basename(place) for _, places in before for place in places]
+        if held and not any(name in file for file in docs.inputFiles() for name in held):
+            for x in before:
+                left.remove(x)
+                for place in x[1]:
+                    _delete(spark, place)
+        outer, _own = _own, []
         try:
-            return f(*args, **kwargs)
+            return f(spark, docs, sf_dir)
         finally:
-            _scratch = outer
+            left.append((f.__name__, _own))
+            _own = outer
 
     return run
 
 
+def _delete(spark: SparkSession, place: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(place)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def drop_staged(*dfs: DataFrame) -> None:
     """Deletes the staged tables under these frames now; nothing may read them afterwards."""
     for df in dfs:
-        jvm, conf = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
         for top in {os.path.dirname(f) for f in df.inputFiles()}:
-            path = jvm.org.apache.hadoop.fs.Path(top)
-            path.getFileSystem(conf).delete(path, True)
+            _delete(df.sparkSession, top)
 
 
 def fold(key: str, n: int):
