@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import uuid
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
 
@@ -204,7 +205,7 @@ class Codec:
         return self.bytes[np.repeat(self.start[ids] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
 
 
-_codecs: dict[int, Codec] = {}
+_codecs: dict[str, Codec] = {}
 
 
 class Vocabulary:
@@ -213,17 +214,18 @@ class Vocabulary:
     def __init__(self, spark, path: str, pattern: str):
         ranks = read_ranks(path)
         tokens = list(ranks)
-        self.pattern = pattern
+        self.pattern, self.name = pattern, uuid.uuid4().hex
         self.sent = spark.sparkContext.broadcast((ranks, PerfectHash(C.hash_words(tokens), np.fromiter(ranks.values(), np.int32, len(ranks)))))  # as large as the file
 
     def __getstate__(self):
-        return {"pattern": self.pattern, "sent": self.sent}
+        return {"pattern": self.pattern, "name": self.name, "sent": self.sent}
 
     def codec(self) -> Codec:
-        if id(self.sent.value) not in _codecs:
+        if self.name not in _codecs:
             _codecs.clear()
-            _codecs[id(self.sent.value)] = Codec(self.sent.value[0], self.pattern, self.sent.value[1])
-        return _codecs[id(self.sent.value)]
+            ranks, whole = self.sent.value
+            _codecs[self.name] = Codec(ranks, self.pattern, whole)
+        return _codecs[self.name]
 
 
 def _slim(df: DataFrame, key: str, col: str, out: list[str]) -> tuple[DataFrame, T.StructType]:

@@ -55,7 +55,7 @@ def _to_pivots(x: np.ndarray, lift: np.ndarray, pivots: np.ndarray) -> np.ndarra
 class Table:
     """Rows with stored pivot distances, in a staged table (key, label, v, far), and what is needed to compare with it."""
 
-    def __init__(self, df: DataFrame, key: str, label: str, vector: str, scale: int, count: int = PIVOTS):
+    def __init__(self, df: DataFrame, key: str, label: str, vector: str, scale: int):
         spark = df.sparkSession
         held = vectors.whole_vectors(df.where(F.col(f"`{key}`").isNotNull() & F.col(f"`{label}`").isNotNull()), vector, scale, None, key=F.col(f"`{key}`").cast("long"), label=F.col(f"`{label}`").cast("long"))
         most = held.agg(F.max("dim"), F.max("norm2"), F.count("*")).first()
@@ -63,7 +63,7 @@ class Table:
         if self.norm2 >= LARGEST_NORM2:
             raise ValueError("vectors are too long for exact scores")
         sample = vectors.unpacked(held.orderBy(F.xxhash64("key"), "v").limit(PICKED_OF).select("v").toArrow().column(0), self.dim)
-        self.pivots = _pivots(sample, self.lift(sample), count) if len(sample) else np.zeros((0, self.dim + 1))
+        self.pivots = _pivots(sample, self.lift(sample), PIVOTS) if len(sample) else np.zeros((0, self.dim + 1))
         dim, lift, pivots = self.dim, self.lift, self.pivots
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

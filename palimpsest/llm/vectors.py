@@ -51,7 +51,7 @@ def unpacked(col: pa.Array, dim: int, kind=np.int32) -> np.ndarray:
     n = np.diff(offs) // np.dtype(kind).itemsize
     x = np.frombuffer(data.tobytes(), kind)
     if (n == dim).all():
-        return x.reshape(-1, dim)
+        return x.reshape(len(n), dim)
     out = np.zeros((len(n), dim), kind)
     out[np.repeat(np.arange(len(n)), n), np.arange(len(x)) - np.repeat(np.cumsum(n) - n, n)] = x
     return out
