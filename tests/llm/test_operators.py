@@ -430,29 +430,65 @@ def test_patience_against_brute_force():
 
 
 def test_lines(spark, texts, edges, nothing):
-    first = {}
-    for k in sorted(texts):
-        for x in texts[k].split("\n"):
-            first.setdefault(x, k)
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
-    n = lambda x: len(x.encode().split())
+    want = plain_lines(texts)
     for r in linedup.without_repeated_blocks(df).collect():
-        b = texts[r.doc_id].split("\n")
-        gone = set()
-        for a in {first[x] for x in b if n(x) >= linedup.RARE_WORDS} - {r.doc_id}:
-            for lo, hi in linedup.common_blocks(texts[a].split("\n"), b, [n(x) for x in b]):
-                gone |= set(range(lo, hi))
+        b, gone = texts[r.doc_id].split("\n"), want[r.doc_id]
         assert (r.n_lines, r.n_deleted, r.text) == (len(b), len(gone), "\n".join(x for i, x in enumerate(b) if i not in gone))
-    odd = linedup.without_repeated_blocks(edges).collect()
-    assert len(odd) == edges.count() and {r.doc_id: r.n_lines for r in odd}[0] == 0
+    odd = linedup.without_repeated_blocks(edges.withColumnRenamed("node", "a.b")).collect()
+    assert len(odd) == edges.count() and {r.doc_id: r.n_lines for r in odd}[0] == 0 and odd[0]["a.b"] == 1
     assert linedup.without_repeated_blocks(nothing).count() == 0
 
 
+def test_lines_of_repeated_ids(spark):
+    """Texts of one id are documents of their own: each loses what an earlier id has, and nothing else."""
+    long = "\n".join(f"line {i} of a text with some words" for i in range(8))
+    other = "keep one\nkeep two\nkeep three\nkeep four"
+    rows = [(1, long), (2, long), (2, other), (2, other + "\n" + long), (2, other), (3, long + "\nits own end"), (None, long), (2, None)]
+    got = sorted(((r.doc_id, r.text) for r in linedup.without_repeated_blocks(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    assert got == sorted([(1, long), (2, ""), (2, other), (2, other), (2, other), (3, "its own end"), (None, long), (2, None)], key=str)
+
+
+def plain_patience(a, b, i=0, k=0):
+    """Patience diff from its definition, from both ends inwards and then between lines that are unique in both."""
+    if not a or not b:
+        return []
+    if a[0] == b[0]:
+        return [(i, k), *plain_patience(a[1:], b[1:], i + 1, k + 1)]
+    if a[-1] == b[-1]:
+        return [*plain_patience(a[:-1], b[:-1], i, k), (i + len(a) - 1, k + len(b) - 1)]
+    both = [(a.index(x), j) for j, x in enumerate(b) if b.count(x) == 1 and a.count(x) == 1]
+    ends = []  # the longest rising chain that ends in each, by looking at all before it
+    for n, (x, _) in enumerate(both):
+        ends.append(max((ends[m] for m in range(n) if both[m][0] < x), key=len, default=[]) + [both[n]])
+    chain = max(ends, key=len, default=[])
+    if not chain:
+        return []
+    out, p, r = [], 0, 0
+    for x, y in [*chain, (len(a), len(b))]:
+        out += [*plain_patience(a[p:x], b[r:y], i + p, k + r), *([(i + x, k + y)] if x < len(a) else [])]
+        p, r = x + 1, y + 1
+    return out
+
+
+def plain_blocks(a, b, words):
+    """Ranges of b's lines aligned with neighbours in a, of 20 words or more."""
+    to = {k: i for i, k in plain_patience(a, b)}
+    out, lo = [], 0
+    for k in range(1, len(b) + 1):
+        if k == len(b) or k - 1 not in to or to.get(k) != to[k - 1] + 1:
+            if lo in to and sum(words[lo:k]) >= 20:
+                out.append((lo, k))
+            lo = k
+    return out
+
+
 def plain_lines(texts):
     """Each document's lines that an alignment with any earlier document deletes."""
     split = {k: t.split("\n") for k, t in texts.items()}
     n = {k: [len(x.encode().split()) for x in b] for k, b in split.items()}
-    return {k: {i for a in split if a < k for lo, hi in linedup.common_blocks(split[a], b, n[k]) for i in range(lo, hi)} for k, b in split.items()}
+    shares = lambda a, b: sum(w for x, w in zip(split[b], n[b], strict=True) if x in split[a]) >= 20
+    return {k: {i for a in split if a < k and shares(a, k) for lo, hi in plain_blocks(split[a], b, n[k]) for i in range(lo, hi)} for k, b in split.items()}
 
 
 def test_lines_of_all_earlier_documents(spark, texts):
@@ -618,6 +654,54 @@ def test_pipeline(spark, sf, texts, library):
     assert [(r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in out] == want
 
 
+def test_results_of_one_stage(spark, docs, sf):
+    """Both can be read, also after a stage that takes one of them unwritten."""
+    import corpus_pipeline as p
+
+    a, b = (p.rules(spark, docs.where(f"doc_id % 2 = {k}"), sf) for k in (0, 1))
+    chained = p.clean(spark, a, sf)
+    assert b.count() > 0 and a.count() >= chained.count() > 0
+    first = {k: len(v) for k, v in common._left.items()}
+    p.clean(spark, docs, sf)
+    assert all(len(v) <= first[k] for k, v in common._left.items())
+
+
+def test_pipeline_on_nothing(spark, docs, sf, tmp_path):
+    import shutil
+
+    import corpus_pipeline as p
+
+    docs.limit(0).write.parquet(str(tmp_path / "documents.parquet"))
+    shutil.copy(f"{sf}/benchmark.parquet", tmp_path / "benchmark.parquet")
+    out = p.run(spark, str(tmp_path))
+    assert out.columns == ["doc_id", "start", "n_tokens", "ids_crc32"] and out.count() == 0
+
+
+def test_first_tier_answers(spark, texts, library):
+    """After the pass that counts, a worker's encoder answers frequent pre-tokens from the broadcast table alone, whatever other encoders the worker has."""
+    df = spark.createDataFrame([(k, t) for k, t in texts.items()], "doc_id long, text string")
+    binary.round_trip(df, VOCAB).count()
+    ready = token_counts.frequent(df, VOCAB)
+    top = collections.Counter(w for t in texts.values() for w in t.lower().split() if w.isalpha()).most_common(20)
+    enc = tokens.encoder(VOCAB, "test", ready)
+    held = enc.words
+    assert held == len(ready[0]) > 1000
+    assert enc.counts(pa.array([" ".join(w for w, _ in top)])).tolist() == [len(library.encode(" ".join(w for w, _ in top), add_special_tokens=False).ids)] and enc.words == held
+    assert tokens.encoder(VOCAB, "test", None) is enc and tokens.encoder(VOCAB, "vocabulary", None) is not enc
+
+    from pyspark.sql import functions as F
+
+    def told(batches):
+        for batch in batches:
+            for name, enc in list(tokens._encoders.values()):
+                yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([enc.ready is not None])], names=["name", "ready"])
+
+    out = token_counts.token_counts(df, VOCAB)
+    assert out.agg(F.sum("n_tokens")).first()[0] == sum(len(library.encode(t, add_special_tokens=False).ids) for t in texts.values())
+    seen = {(r.name, r.ready) for r in common.map_arrow(df, told, "name string, ready boolean").collect()}
+    assert any(ready and name != "vocabulary" for name, ready in seen)
+
+
 def plain_clean(text, grams):
     """The text with spans of words of any item's window cut out; None where more than half of its words are hit."""
     first = True
