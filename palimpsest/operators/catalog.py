@@ -41,20 +41,3 @@ def write_events(events: DataFrame, place: str, mode: str = "append") -> None:
     """Adds event rows in commit order: ranges of it are files, whose statistics tell readers what to skip."""
     events.repartitionByRange("committed_ms", "crawl_result_id").sortWithinPartitions("committed_ms", "crawl_result_id").write.mode(mode).parquet(place)
 
-
-def publish(state: dict[str, DataFrame], completed: DataFrame, now: int) -> dict[str, DataFrame]:
-    """state (head, queue, pages, latest, registry) after a batch of completed fetches: new event rows, the claims' end, the pages' last captures, feeds and links found.
-
-    completed: captures with feed_type, links (array of page_id) and retry_ms. All tables of the result are to be written as one commit.
-    """
-    from . import frontier
-
-    plain = completed.drop("feed_type", "links", "retry_ms")
-    rows = append(state["head"], plain)
-    queue = frontier.complete(state["queue"], completed.select("page_id", "retry_ms"))
-    latest = state["latest"].union(completed.groupBy("page_id").agg(F.max("crawl_result_id").alias("latest_crawl_result_id"))).groupBy("page_id").agg(F.max("latest_crawl_result_id").alias("latest_crawl_result_id"))
-    found = frontier.discover(completed.select(F.explode("links").alias("page_id")), state["pages"], latest)
-    asked = found.select("page_id", F.lit(0).cast("long").alias("host_id"), F.lit(1).cast("long").alias("reason"), F.lit(now).alias("ready_at_ms"))
-    judged = completed.groupBy("page_id").agg(F.max_by(F.struct("feed_type", "committed_ms", "status_code"), "crawl_result_id").alias("e")).select("page_id", "e.*")
-    feeds = frontier.upsert_registry(state["registry"], judged)
-    return {"events": rows, "head": heads(state["head"].unionByName(rows.select(state["head"].columns))), "queue": frontier.merge_into(queue, asked), "latest": latest, "registry": feeds}

@@ -27,12 +27,14 @@ def query(sql: str | None = None, prelude: bool = True):
     return add
 
 
-_tables: dict[tuple[str, str], str] = {}
+_tables: dict[tuple, str] = {}
 
 
 def _events(s: SparkSession, d: str) -> DataFrame:
-    """The event table, which is written in commit order once for an application: feeds are ranges of it."""
-    at = (s.sparkContext.applicationId, d)
+    """The event table, which is written in commit order, once for an application and state of the captures' files: feeds are ranges of it."""
+    path = s.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{d}/events.parquet")
+    files = path.getFileSystem(s.sparkContext._jsc.hadoopConfiguration()).listStatus(path)
+    at = (s.sparkContext.applicationId, d, tuple(sorted((str(f.getPath()), f.getLen(), f.getModificationTime()) for f in files)))
     if at not in _tables:
         place = new_place(s, "events")
         catalog.write_events(history.with_events(src.captures(s, d)), place)

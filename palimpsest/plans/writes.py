@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import formats, gemtext, urls
-from ..operators import catalog, clients, frontier, history, objects, render
+from ..operators import catalog, clients, frontier, history, objects, publish, render
 from ..operators import feed as feeds
 from ..sources import captures as src
 from .queries import AT, FEED_SQL, GEM, PARTS, REG, SINCE, SLIM, SLIM_SQL, USE, _events, _gem, _queue, _registry, _seen_last, query
@@ -27,39 +27,127 @@ def append_events(s, d):
     return catalog.append(catalog.heads(c.where(F.col("committed_ms") <= AT)), c.where(F.col("committed_ms") > AT)).select(SLIM)
 
 
-DONE = f"done AS (SELECT page_id, max(crawl_result_id) AS crawl_result_id FROM captures WHERE committed_ms > {AT} AND page_id % 3 = 0 GROUP BY page_id)"
+# A batch: the last new capture of each claimed page, with what its body told, and each host's robots file.
+_URL = "concat('gemini://h', CAST({0} % 10 AS STRING), '.test/', CAST({0} AS STRING))"
+_CRAWLS = f"""SELECT c.crawl_result_id AS seq, {_URL.format("c.page_id")} AS url, concat('h', CAST(c.host_id AS STRING), '.test:1965') AS authority, CASE WHEN redirected_to_page_id IS NOT NULL THEN {_URL.format("redirected_to_page_id")} END AS redirect_url,
+  CASE WHEN redirected_to_page_id IS NOT NULL THEN concat('h', CAST(redirected_to_page_id % 10 AS STRING), '.test:1965') END AS redirect_authority, redirect_count, certificate_id, started_ms, ended_ms, status_code, robots_bitfield, object_id, raw_bytes, meta, c.page_id AS queue_page_id,
+  c.crawl_result_id % 11 = 0 AS retire, c.crawl_result_id % 4 > 0 AS evaluated, c.crawl_result_id % 3 AS targets, {AT} + c.page_id AS next_enqueue_ms, CASE WHEN c.crawl_result_id % 2 = 0 THEN 'atom' END AS feed_type, c.page_id % 4 < 2 AS security_evaluated, c.crawl_result_id % 3 = 0 AS has_security,
+  CASE WHEN c.page_id % 4 = 1 THEN concat('p', CAST(c.page_id % 20 AS STRING), '.test') END AS probed, CASE WHEN redirected_to_page_id IS NOT NULL THEN redirected_to_page_id * 2 ELSE 100000 + c.page_id % 70 END AS link, CASE WHEN c.page_id % 2 = 1 THEN {AT + 30000} END AS retry_ms
+FROM captures c JOIN done USING (crawl_result_id)"""
+_DONE = f"SELECT max(crawl_result_id) AS crawl_result_id FROM captures WHERE committed_ms > {AT} AND page_id % 3 = 0 GROUP BY page_id"
+_FEEDS = f"SELECT page_id, 'rss' AS feed_type, min(committed_ms) AS first_recognized_ms, max(committed_ms) AS last_recognized_ms FROM captures WHERE committed_ms <= {AT} AND page_id % 2 = 0 GROUP BY page_id"
+_AUTOMATIC = f"SELECT page_id, CAST(1 AS BIGINT) AS target_bitfield, min(committed_ms) AS first_recognized_ms, max(committed_ms) AS last_recognized_ms, {AT} + 5 * page_id AS next_enqueue_ms FROM captures WHERE committed_ms <= {AT} AND page_id % 2 = 0 GROUP BY page_id"
+_SECURITY = f"SELECT page_id, min(committed_ms) AS first_seen_ms, max(committed_ms) AS last_seen_ms FROM captures WHERE committed_ms <= {AT} AND page_id % 5 < 3 GROUP BY page_id"
 
 
-def _published(s: SparkSession, d: str) -> dict[str, DataFrame]:
+def _batch(s: SparkSession, d: str):
+    """The archive's tables up to a time, and the fetches, robots captures and bodies that come after it."""
     c = src.captures(s, d)
-    old, new = c.where(F.col("committed_ms") <= AT), c.where((F.col("committed_ms") > AT) & (F.col("page_id") % 3 == 0))
-    done = new.join(new.groupBy("page_id").agg(F.max("crawl_result_id").alias("crawl_result_id")), ["page_id", "crawl_result_id"]).select(c.columns)
-    done = done.withColumns({"feed_type": F.expr("CASE WHEN crawl_result_id % 2 = 0 THEN 'atom' END"), "links": F.expr("CASE WHEN redirected_to_page_id IS NOT NULL THEN array(redirected_to_page_id * 2) END"), "retry_ms": F.expr(f"CASE WHEN page_id % 2 = 1 THEN {AT + 30000} END")})
-    known = old.groupBy("page_id").agg(F.min("committed_ms").alias("first_recognized_ms"), F.max("committed_ms").alias("last_recognized_ms")).where("page_id % 2 = 0").selectExpr("page_id", "'rss' AS feed_type", "first_recognized_ms", "last_recognized_ms")
-    state = {"head": catalog.heads(old), "queue": _claimed(s, d), "pages": src.pages(s, d), "latest": history.latest(old), "registry": known}
-    return catalog.publish(state, done, AT)
+    old = c.where(F.col("committed_ms") <= AT)
+    sql = lambda q, **k: s.sql(q.replace("FROM captures", "FROM {c}").replace("JOIN done", "JOIN {done}"), c=c, **k)
+    digest = lambda col, kind: F.when(F.col(col).isNotNull(), F.unhex(F.sha2(F.concat(F.lit(kind), F.col(col).cast("string")), 256)))
+    rows = sql(_CRAWLS, done=sql(_DONE))
+    address = lambda url, authority: F.struct(F.lit(url) if isinstance(url, str) else url.alias("url"), authority.alias("authority"))
+    link = F.expr(_URL.format("link"))
+    crawls = rows.withColumns({
+        "cert_digest": digest("certificate_id", "cert"), "certificate": F.when(F.col("certificate_id").isNotNull(), F.encode(F.concat(F.lit("cert-"), "certificate_id"), "UTF-8")), "cert_verified": F.col("certificate_id") % 4 == 1, "object_digest": digest("object_id", "body"),
+        "probes": F.when(F.col("probed").isNotNull(), F.array(address(F.concat(F.lit("gemini://"), "probed", F.lit("/.well-known/security.txt")), F.concat("probed", F.lit(":1965"))))),
+        "links": F.array(address(link, F.concat(F.lit("h"), (F.col("link") % 10).cast("string"), F.lit(".test:1965")))),
+    })
+    host = src.hosts(s, d).where("host_id < 8")
+    robots = host.select(
+        F.col("host_id").alias("seq"), F.concat(F.lit("gemini://h"), F.col("host_id").cast("string"), F.lit(".test/robots.txt")).alias("url"), "authority", *[F.lit(None).cast("string").alias(x) for x in ("redirect_url", "redirect_authority")], F.lit(0).cast("long").alias("redirect_count"), F.lit(None).cast("binary").alias("cert_digest"),
+        F.lit(None).cast("binary").alias("certificate"), F.lit(None).cast("boolean").alias("cert_verified"), F.lit(AT - 9).alias("started_ms"), F.lit(AT - 1).alias("ended_ms"), F.lit(20).cast("long").alias("status_code"), F.lit(31).cast("long").alias("robots_bitfield"), F.lit(None).cast("binary").alias("object_digest"),
+        F.lit("text/plain").alias("meta"), F.concat(F.lit("Disallow: /"), F.col("host_id").cast("string")).alias("policy"), (F.col("host_id") % 3 > 0).alias("cache"), F.lit(AT).alias("checked_ms"), F.lit(AT + 86_400_000).alias("expires_ms"),
+    )
+    objects = crawls.where("object_digest IS NOT NULL").select(F.col("object_digest").alias("blake2b_256"), F.col("raw_bytes").cast("long").alias("raw_bytes")).distinct()
+    seen = history.latest(old)
+    state = publish.empty_state(s) | {
+        "hosts": src.hosts(s, d),
+        "pages": src.pages(s, d).drop("latest_crawl_result_id").join(seen, "page_id", "left").select("page_id", "url", "host_id", "first_seen_ms", "latest_crawl_result_id"),
+        "objects": old.where("object_id IS NOT NULL").groupBy("object_id").agg(F.max("raw_bytes").cast("long").alias("raw_bytes")).select("object_id", digest("object_id", "body").alias("blake2b_256"), "raw_bytes", F.lit(0).cast("long").alias("created_ms")),
+        "certificates": src.certificates(s, d).select("certificate_id", digest("certificate_id", "cert").alias("blake2b_256"), F.encode("fp", "UTF-8").alias("certificate"), "pkix_verified"),
+        "heads": catalog.heads(old), "queue": _claimed(s, d).select("page_id", "host_id", "state_code", "reason", "ready_at_ms"), "automatic": sql(_AUTOMATIC), "feeds": sql(_FEEDS), "security": sql(_SECURITY),
+    }
+    last_id = old.agg(F.max("crawl_result_id")).first()[0] or 0
+    return state, crawls, robots, objects, last_id
+
+
+def _published(s: SparkSession, d: str) -> dict[str, DataFrame]:
+    state, crawls, robots, objects, last_id = _batch(s, d)
+    return publish.applied(state, publish.changes(state, crawls, robots, objects, AT, last_id))
+
+
+BATCH_SQL = f"""done AS ({_DONE}), crawls AS ({_CRAWLS}), old AS (SELECT page_id, max(crawl_result_id) AS latest FROM captures WHERE committed_ms <= {AT} GROUP BY page_id),
+links AS (SELECT seq, {_URL.format("link")} AS url, link AS id FROM crawls), probes AS (SELECT seq, concat('gemini://', probed, '/.well-known/security.txt') AS url, probed, ended_ms FROM crawls WHERE probed IS NOT NULL),
+named AS (SELECT url, host AS authority FROM (SELECT url, concat('h', CAST(id % 10 AS STRING), '.test:1965') AS host FROM links UNION SELECT url, concat(probed, ':1965') FROM probes UNION SELECT concat('gemini://h', CAST(host_id AS STRING), '.test/robots.txt'), authority FROM hosts WHERE host_id < 8)),
+new_pages AS (SELECT url, authority, (SELECT max(page_id) FROM cap_pages) + row_number() OVER (ORDER BY url) AS page_id FROM named WHERE url NOT IN (SELECT url FROM cap_pages)),
+every AS (SELECT page_id, url, authority, FALSE AS fresh FROM cap_pages JOIN hosts USING (host_id) UNION ALL SELECT page_id, url, authority, TRUE FROM new_pages),
+inserted AS (SELECT kind, seq, url, robots_bitfield, (SELECT coalesce(max(crawl_result_id), 0) FROM captures WHERE committed_ms <= {AT}) + row_number() OVER (ORDER BY kind, seq) AS crawl_result_id FROM (SELECT 0 AS kind, seq, url, robots_bitfield FROM crawls UNION ALL SELECT 1, host_id, concat('gemini://h', CAST(host_id AS STRING), '.test/robots.txt'), 31 FROM hosts WHERE host_id < 8))"""
 
 
 @query(
-    f"""WITH {CQ}, {DONE}, f AS (SELECT DISTINCT redirected_to_page_id * 2 AS page_id FROM captures JOIN done USING (crawl_result_id) WHERE redirected_to_page_id IS NOT NULL),
-new AS (SELECT page_id FROM f WHERE page_id NOT IN (SELECT page_id FROM captures WHERE committed_ms <= {AT}) AND page_id NOT IN (SELECT page_id FROM done)),
-kept AS (SELECT q.page_id, CASE WHEN d.page_id IS NULL THEN reason ELSE reason | 8 END AS reason, CASE WHEN d.page_id IS NULL THEN ready_at_ms ELSE {AT + 30000} END AS ready_at_ms, CASE WHEN d.page_id IS NULL THEN state_code ELSE 0 END AS state_code
-  FROM cq q LEFT JOIN done d USING (page_id) WHERE d.page_id IS NULL OR q.page_id % 2 = 1)
-SELECT coalesce(k.page_id, n.page_id) AS page_id, CAST(coalesce(reason, 0) | CASE WHEN n.page_id IS NULL THEN 0 ELSE 1 END AS BIGINT) AS reason,
-  CASE WHEN n.page_id IS NULL OR state_code = 1 THEN ready_at_ms ELSE least(coalesce(ready_at_ms, {AT}), {AT}) END AS ready_at_ms, CAST(coalesce(state_code, 0) AS BIGINT) AS state_code
-FROM kept k FULL JOIN new n ON k.page_id = n.page_id"""
+    f"""WITH {CQ}, {BATCH_SQL}, lk AS (SELECT DISTINCT l.url FROM links l LEFT JOIN crawls c ON c.url = l.url WHERE (c.seq IS NULL OR l.seq < c.seq) AND l.url NOT IN (SELECT url FROM cap_pages JOIN old USING (page_id))),
+pb AS (SELECT url, arg_min(ended_ms, seq) AS t FROM probes GROUP BY url),
+x AS (SELECT e.url, e.page_id, e.authority, q.reason AS r, q.ready_at_ms AS t, q.state_code AS s, c.seq IS NOT NULL AS ended, c.retry_ms, lk.url IS NOT NULL AS linked, pb.t AS pt
+  FROM every e LEFT JOIN cq q USING (page_id) LEFT JOIN crawls c ON c.url = e.url LEFT JOIN lk ON lk.url = e.url LEFT JOIN pb ON pb.url = e.url)
+SELECT page_id, url, authority, CAST(coalesce(r, 0) | CASE WHEN linked THEN 1 ELSE 0 END | CASE WHEN pt IS NULL THEN 0 ELSE 4 END | CASE WHEN ended THEN 8 ELSE 0 END AS BIGINT) AS reason, CASE WHEN ended THEN retry_ms ELSE coalesce(t, pt, {AT}) END AS ready_at_ms, CAST(CASE WHEN ended THEN 0 ELSE coalesce(s, 0) END AS BIGINT) AS state_code
+FROM x WHERE CASE WHEN ended THEN retry_ms IS NOT NULL ELSE r IS NOT NULL OR linked OR pt IS NOT NULL END"""
 )
 def publish_queue(s, d):
-    return _published(s, d)["queue"].select(QUEUE)
+    """Claims end or are put back, links and probes of new pages are queued with their own hosts, a page that is queued already gains the reason alone."""
+    t = _published(s, d)
+    return t["queue"].join(t["pages"].select("page_id", "url"), "page_id").join(t["hosts"], "host_id").select("page_id", "url", "authority", "reason", "ready_at_ms", "state_code")
 
 
 @query(
-    f"""WITH {DONE}, j AS (SELECT c.* FROM captures c JOIN done USING (crawl_result_id)), k AS (SELECT page_id, min(committed_ms) AS a, max(committed_ms) AS b FROM captures WHERE committed_ms <= {AT} AND page_id % 2 = 0 GROUP BY page_id)
-SELECT page_id, CASE WHEN crawl_result_id IS NULL THEN 'rss' ELSE 'atom' END AS feed_type, coalesce(a, committed_ms) AS first_recognized_ms, coalesce(committed_ms, b) AS last_recognized_ms
-FROM k FULL JOIN (SELECT page_id, crawl_result_id, committed_ms, status_code FROM j) USING (page_id) WHERE crawl_result_id IS NULL OR (crawl_result_id % 2 = 0 AND status_code NOT BETWEEN 50 AND 59)"""
+    f"""WITH {BATCH_SQL}, k AS ({_FEEDS}), j AS (SELECT queue_page_id AS page_id, ended_ms, CASE WHEN NOT retire AND evaluated THEN feed_type END AS kind FROM crawls WHERE retire OR evaluated)
+SELECT page_id, CASE WHEN j.page_id IS NULL THEN feed_type ELSE kind END AS feed_type, coalesce(first_recognized_ms, ended_ms) AS first_recognized_ms, CASE WHEN j.page_id IS NULL THEN last_recognized_ms ELSE ended_ms END AS last_recognized_ms FROM k FULL JOIN j USING (page_id) WHERE j.page_id IS NULL OR kind IS NOT NULL"""
 )
 def publish_registry(s, d):
-    return _published(s, d)["registry"]
+    return _published(s, d)["feeds"]
+
+
+@query(f"WITH {BATCH_SQL} SELECT e.page_id, e.url, e.authority, CASE WHEN fresh THEN {AT} ELSE first_seen_ms END AS first_seen_ms, coalesce(i.crawl_result_id, latest) AS latest_crawl_result_id FROM every e LEFT JOIN inserted i USING (url) LEFT JOIN (SELECT page_id, first_seen_ms FROM cap_pages) USING (page_id) LEFT JOIN old USING (page_id)")
+def publish_pages(s, d):
+    """Old pages and the ones that links, probes and robots files are on, with their last captures."""
+    t = _published(s, d)
+    return t["pages"].join(t["hosts"], "host_id").select("page_id", "url", "authority", "first_seen_ms", "latest_crawl_result_id")
+
+
+@query(
+    f"""WITH {BATCH_SQL}, h AS (SELECT * FROM captures WHERE committed_ms <= {AT} QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY committed_ms DESC, crawl_result_id DESC) = 1)
+SELECT i.crawl_result_id, e.page_id, i.robots_bitfield, CAST(CASE WHEN h.page_id IS NULL THEN i.robots_bitfield ELSE xor(i.robots_bitfield, h.robots_bitfield) | CASE WHEN h.status_code IS NOT DISTINCT FROM c.status_code AND h.redirect_count = c.redirect_count AND h.object_id IS NOT DISTINCT FROM c.object_id AND h.meta IS NOT DISTINCT FROM c.meta
+  AND h.redirected_to_page_id IS NOT DISTINCT FROM (SELECT page_id FROM cap_pages p WHERE p.url = c.redirect_url) THEN 0 ELSE i.robots_bitfield & h.robots_bitfield END END AS BIGINT) AS update_bitfield
+FROM inserted i JOIN every e USING (url) LEFT JOIN crawls c ON c.url = i.url LEFT JOIN h ON h.page_id = e.page_id"""
+)
+def publish_events(s, d):
+    """The batch's captures with their change events: numbered on, committed by a clock that doesn't run back."""
+    state, crawls, robots, objects, last_id = _batch(s, d)
+    return publish.changes(state, crawls, robots, objects, AT, last_id)["events"].rows.select("crawl_result_id", "page_id", "robots_bitfield", "update_bitfield")
+
+
+@query(
+    f"""WITH {BATCH_SQL}, k AS ({_AUTOMATIC}), j AS (SELECT queue_page_id AS page_id, ended_ms, retire OR targets = 0 AS out, targets, next_enqueue_ms AS n FROM crawls WHERE retire OR evaluated)
+SELECT page_id, CASE WHEN j.page_id IS NULL THEN target_bitfield ELSE targets END AS target_bitfield, coalesce(first_recognized_ms, ended_ms) AS first_recognized_ms, CASE WHEN j.page_id IS NULL THEN last_recognized_ms ELSE ended_ms END AS last_recognized_ms, coalesce(next_enqueue_ms, n) AS next_enqueue_ms FROM k FULL JOIN j USING (page_id) WHERE j.page_id IS NULL OR NOT out
+UNION ALL SELECT page_id, 8, t, t, t FROM (SELECT url, arg_min(ended_ms, seq) AS t FROM probes GROUP BY url) JOIN new_pages USING (url)"""
+)
+def publish_automatic(s, d):
+    """Pages that are fetched again by themselves: as their fetches judged them, and one security.txt for each authority that was probed first."""
+    return _published(s, d)["automatic"]
+
+
+@query(
+    f"""WITH {BATCH_SQL}, k AS ({_SECURITY}), j AS (SELECT queue_page_id AS page_id, ended_ms, has_security FROM crawls WHERE security_evaluated)
+SELECT page_id, coalesce(first_seen_ms, ended_ms) AS first_seen_ms, coalesce(ended_ms, last_seen_ms) AS last_seen_ms FROM k FULL JOIN j USING (page_id) WHERE j.page_id IS NULL OR has_security"""
+)
+def publish_security(s, d):
+    return _published(s, d)["security"]
+
+
+@query(f"WITH {BATCH_SQL} SELECT host_id, page_id AS robots_page_id, i.crawl_result_id AS robots_crawl_result_id, concat('Disallow: /', host_id) AS compiled_rules FROM hosts JOIN inserted i ON i.kind = 1 AND i.seq = host_id JOIN every USING (url) WHERE host_id % 3 > 0")
+def publish_robots(s, d):
+    return _published(s, d)["robots"].select("host_id", "robots_page_id", "robots_crawl_result_id", "compiled_rules")
 
 
 @query(f"WITH {CQ} SELECT page_id, reason, CASE WHEN page_id % 6 = 0 THEN {AT} + page_id ELSE ready_at_ms END AS ready_at_ms, CAST(CASE WHEN page_id % 6 = 0 THEN 0 ELSE state_code END AS BIGINT) AS state_code FROM cq")
