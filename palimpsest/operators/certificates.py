@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .frontier import numbered
+from .history import beside
+
 
 def state(captures: DataFrame) -> DataFrame:
     """Each host's last certificate, by insertion."""
@@ -15,11 +18,9 @@ def state(captures: DataFrame) -> DataFrame:
 
 def changes(captures: DataFrame, certificates: DataFrame, alerts: bool = True) -> DataFrame:
     """A row for each capture whose host showed another certificate before, but for a move from one verified certificate to another. alerts=False: those moves."""
-    w = Window.partitionBy("host_id").orderBy("crawl_result_id")
-    rows = captures.where("certificate_id IS NOT NULL").select(
-        "host_id", "crawl_result_id", "certificate_id", F.col("ended_ms").alias("observed_ms"), F.lag("crawl_result_id").over(w).alias("previous_crawl_result_id"), F.lag("certificate_id").over(w).alias("previous_certificate_id")
-    )
-    moved = rows.where("previous_certificate_id <> certificate_id")
+    shown = captures.where("certificate_id IS NOT NULL").select("host_id", "crawl_result_id", "certificate_id", F.col("ended_ms").alias("observed_ms"))
+    rows = beside(shown, "host_id", ["crawl_result_id"], ["crawl_result_id", "certificate_id"])
+    moved = rows.select("*", F.col("_before.crawl_result_id").alias("previous_crawl_result_id"), F.col("_before.certificate_id").alias("previous_certificate_id")).drop("_before").where("previous_certificate_id <> certificate_id")
     now = certificates.select("certificate_id", F.col("fp"), F.col("pkix_verified").alias("_now"))
     then = certificates.select(F.col("certificate_id").alias("previous_certificate_id"), F.col("fp").alias("previous_fp"), F.col("pkix_verified").alias("_then"))
     both = moved.join(now, "certificate_id").join(then, "previous_certificate_id")
@@ -30,9 +31,10 @@ def changes(captures: DataFrame, certificates: DataFrame, alerts: bool = True) -
 def report(changed: DataFrame, hosts: DataFrame) -> DataFrame:
     """Lines of the report, newest first, under a heading for each year."""
     time = F.timestamp_millis("observed_ms")
-    w = Window.partitionBy("year").orderBy(F.desc("observed_ms"), F.desc("crawl_result_id"))
     rows = changed.join(hosts, "host_id").withColumns({"year": F.date_format(time, "yyyy"), "month": F.date_format(time, "yyyy-MM")})
-    return rows.select("year", F.row_number().over(w).cast("long").alias("position"), F.concat_ws(" ", "month", "authority", F.substring("previous_fp", 1, 16), F.lit("->"), F.substring("fp", 1, 16)).alias("line"))
+    rows = numbered(rows.withColumn("_order", F.struct("year", (-F.col("observed_ms")).alias("t"), (-F.col("crawl_result_id")).alias("i"))), "_order", "_place")
+    first = rows.groupBy("year").agg(F.min("_place").alias("_first"))  # a row for each year
+    return rows.join(F.broadcast(first), "year").select("year", (F.col("_place") - F.col("_first") + 1).cast("long").alias("position"), F.concat_ws(" ", "month", "authority", F.substring("previous_fp", 1, 16), F.lit("->"), F.substring("fp", 1, 16)).alias("line"))
 
 
 def name_matches(pattern, host):

@@ -19,22 +19,34 @@ def as_of_join(left: DataFrame, captures: DataFrame, use: int, at: int | None, o
 def chains(captures: DataFrame, roots: DataFrame, use: int, at: int, hops: int = DEFAULT_HOPS) -> DataFrame:
     """root, depth, page_id, crawl_result_id, status_code, next_page: from each root capture, target by target, while they redirect (30, 31).
 
-    Depth 0 is the target's capture. Cycles run to the hop limit. roots: root (a capture's id) and page_id (its target). The as-of table is
-    written once. Walks are made for each distinct target, hop by hop in one plan whose joins share one exchange of the table by page, and given to the roots at the end.
+    Depth 0 is the target's capture. Cycles run to the hop limit. roots: root (a capture's id) and page_id (its target). Walks are made for each page that redirects, by doubling: what lies 1, 2, 4, 8
+    hops ahead is joined with itself, so 16 hops take four joins; a walk that has ended isn't joined again. The as-of table and each doubling are written.
     """
     hops = max(1, min(MOST_HOPS, hops))
     top = kept(as_of(captures, use, at).select("page_id", "crawl_result_id", "status_code", F.col("redirected_to_page_id").alias("next_page")), "asof")
-    node = F.struct("page_id", "crawl_result_id", "status_code", "next_page")
-    nodes = top.select(F.col("page_id").alias("_at"), node.alias("_node"))
-    walk = roots.select(F.col("page_id").alias("_start")).distinct().join(nodes, F.col("_start") == F.col("_at")).select("_start", F.array("_node").alias("_path"), F.when(F.col("_node.status_code").isin(30, 31), F.col("_node.next_page")).alias("_go"))
-    for _ in range(hops - 1):
-        step = walk.join(nodes, F.col("_go") == F.col("_at"), "left")
-        path = F.when(F.col("_node").isNull(), F.col("_path")).otherwise(F.array_append("_path", F.col("_node")))
-        walk = step.select("_start", path.alias("_path"), F.when(F.col("_node.status_code").isin(30, 31), F.col("_node.next_page")).alias("_go"))
-    out = roots.select("root", F.col("page_id").alias("_start")).join(walk, "_start")
+    nodes = top.select(F.col("page_id").alias("_at"), F.struct("page_id", "crawl_result_id", "status_code", "next_page").alias("_node"), (F.col("status_code").isin(30, 31) & F.col("next_page").isNotNull()).alias("_moves"))
+    ahead = nodes.select(F.col("_at").alias("_go"), F.col("_node").alias("_next"), F.col("_moves").alias("_on"))
+    first = nodes.where("_moves").withColumn("_go", F.col("_node.next_page")).join(ahead, "_go", "left")
+    # a walk ends with the page that doesn't redirect, or where a target has no capture
+    walk = kept(first.select("_at", F.when(F.col("_on") | F.col("_next").isNull(), F.array("_node")).otherwise(F.array("_node", "_next")).alias("_path"), F.when(F.col("_on"), F.col("_go")).alias("_go")), "walk")
+    reach = 1
+    while reach < hops:
+        walk = doubled(walk)
+        reach *= 2
+        walk = kept(walk, "walk") if reach < hops else walk
+    starts = roots.select(F.col("page_id").alias("_at")).distinct().join(nodes, "_at").join(walk.drop("_go"), "_at", "left")
+    paths = starts.select(F.col("_at").alias("_start"), F.slice(F.coalesce("_path", F.array("_node")), 1, hops).alias("_path"))
+    out = roots.select("root", F.col("page_id").alias("_start")).join(paths, "_start")
     return out.select("root", F.posexplode("_path").alias("depth", "_n")).select("root", F.col("depth").cast("long").alias("depth"), "_n.*")
 
 
+def doubled(walk: DataFrame) -> DataFrame:
+    """Walks (_at, _path, and _go: where they go on, or null) twice as long: each with the walk from where it goes on."""
+    more = walk.select(F.col("_at").alias("_go"), F.col("_path").alias("_rest"), F.col("_go").alias("_then"))
+    on = walk.where("_go IS NOT NULL").join(more, "_go").select("_at", F.concat("_path", "_rest").alias("_path"), F.col("_then").alias("_go"))
+    return walk.where("_go IS NULL").unionByName(on)
+
+
 def verdicts(roots: DataFrame, walk: DataFrame, hops: int = DEFAULT_HOPS) -> DataFrame:
     """root, resolution (complete, cycle, unresolved_target, depth_limit), verdict, n_hops and final_page of each root capture.
 

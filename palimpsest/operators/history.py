@@ -6,7 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import ALL_MODES, MOST_ROWS
+from ..session import kept
 
+#: Rows of a key beyond which its order is cut in slices, of a quarter of that.
+HOT_ROWS = 1 << 18
 VERSION = ("object_id", "redirected_to_page_id", "redirect_count", "status_code", "meta")
 
 
@@ -19,23 +22,64 @@ def eligible(captures: DataFrame, use: int) -> DataFrame:
     return captures.where(F.col("robots_bitfield").bitwiseAND(use) != 0)
 
 
-def _same(w, columns=VERSION) -> Column:
+def beside(df: DataFrame, key: str, order: list[str], before: list[str] = (), after: list[str] = (), valid: str | None = None) -> DataFrame:
+    """df with _before and _after: those columns of the row before and after each in its key's order, as structs, null where there is none. valid: a boolean column; only rows that have it count.
+
+    One window by key, but for keys of more than HOT_ROWS rows. Their rows are dealt by ranges of (key, order), so that each task has a slice of a key's order, and written. Rows are compared
+    within their slice; each slice's last and first rows go to the slices beside it by a table of a row for each slice. So no task has all rows of a frequent key. Keys aren't null.
+    """
+
+    def over(rows: DataFrame, w, last, first) -> dict[str, Column]:
+        take = lambda cols: F.struct(*cols) if valid is None else F.when(F.col(valid), F.struct(*cols))
+        back, on = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(1, Window.unboundedFollowing)
+        out = {}
+        if before:
+            out[last] = F.lag(take(before)).over(w) if valid is None else F.last(take(before), ignorenulls=True).over(back)
+        if after:
+            out[first] = F.lead(take(after)).over(w) if valid is None else F.first(take(after), ignorenulls=True).over(on)
+        return out
+
+    hot = df.groupBy(key).count().where(F.col("count") > HOT_ROWS).collect()  # a row for HOT_ROWS rows, at most
+    plain = lambda rows: rows.withColumns(over(rows, Window.partitionBy(key).orderBy(*order), "_before", "_after"))
+    if not hot:
+        return plain(df)
+    keys = F.broadcast(df.sparkSession.createDataFrame([(r[0],) for r in hot], df.select(key).schema))
+    slices = -(-4 * sum(r[1] for r in hot) // HOT_ROWS)
+    rows = kept(df.join(keys, key, "left_semi").repartitionByRange(slices, key, *order).withColumn("_slice", F.spark_partition_id()), "slices")
+    within = rows.withColumns(over(rows, Window.partitionBy(key, "_slice").orderBy(*order), "_before", "_after"))
+    counted = F.lit(True) if valid is None else F.col(valid)
+    place = F.when(counted, F.struct(*order))
+    ends = rows.groupBy(key, "_slice").agg(*[x for x in ([F.max_by(F.struct(*before), place).alias("_last")] if before else []) + ([F.min_by(F.struct(*after), place).alias("_first")] if after else [])])
+    chain = Window.partitionBy(key).orderBy("_slice")  # a row for each slice
+    carried = ends.select(key, "_slice", *([F.last("_last", ignorenulls=True).over(chain.rowsBetween(Window.unboundedPreceding, -1)).alias("_from")] if before else []), *([F.first("_first", ignorenulls=True).over(chain.rowsBetween(1, Window.unboundedFollowing)).alias("_to")] if after else []))
+    both = within.join(carried, [key, "_slice"])
+    joined = both.withColumns(({"_before": F.coalesce("_before", "_from")} if before else {}) | ({"_after": F.coalesce("_after", "_to")} if after else {}))
+    cold = plain(df.join(keys, key, "left_anti"))
+    return cold.unionByName(joined.select(cold.columns)).select(*df.columns, *(["_before"] if before else []), *(["_after"] if after else []))
+
+
+def _same(columns=VERSION) -> Column:
+    """Whether a row has the content of the row before it."""
     out = F.lit(True)
     for c in columns:
-        out &= F.col(c).eqNullSafe(F.lag(c).over(w))
+        out &= F.col(c).eqNullSafe(F.col(f"_before.{c}"))
     return out
 
 
+def event_bits() -> Column:
+    """update_bitfield of a row beside _before (robots_bitfield and VERSION)."""
+    old, new = F.coalesce("_before.robots_bitfield", F.lit(0)), F.col("robots_bitfield")
+    changed = F.when(_same(), F.lit(0)).otherwise(new.bitwiseAND(old))
+    return new.bitwiseXOR(old).bitwiseOR(changed).bitwiseAND(ALL_MODES).cast("long")
+
+
 def with_events(captures: DataFrame) -> DataFrame:
     """Adds update_bitfield: for each audience, whether this capture is news against the page's previous one, which it may see or not.
 
-    A bit is set where permission changed, or where it stayed and the content did not. One shuffle, by page.
+    A bit is set where permission changed, or where it stayed and the content did not. One shuffle, by page, unless a page has very many captures.
     """
-    w = Window.partitionBy("page_id").orderBy("committed_ms", "crawl_result_id")
-    old = F.lag("robots_bitfield", 1, 0).over(w)
-    new = F.col("robots_bitfield")
-    changed = F.when(_same(w), F.lit(0)).otherwise(new.bitwiseAND(old))
-    return captures.withColumn("update_bitfield", new.bitwiseXOR(old).bitwiseOR(changed).bitwiseAND(ALL_MODES).cast("long"))
+    rows = beside(captures, "page_id", ["committed_ms", "crawl_result_id"], ["robots_bitfield", *VERSION])
+    return rows.withColumn("update_bitfield", event_bits()).drop("_before")
 
 
 def as_of(captures: DataFrame, use: int, at: int | None = None) -> DataFrame:
@@ -61,15 +105,15 @@ def capture(captures: DataFrame, page_id: int, crawl_result_id: int, use: int) -
 
 def with_neighbors(captures: DataFrame, use: int) -> DataFrame:
     """Visible captures with previous_id and next_id by start time."""
-    w = Window.partitionBy("page_id").orderBy("started_ms", "crawl_result_id")
-    return eligible(captures, use).withColumns({"previous_id": F.lag("crawl_result_id").over(w), "next_id": F.lead("crawl_result_id").over(w)})
+    one = ["crawl_result_id"]
+    rows = beside(eligible(captures, use), "page_id", ["started_ms", "crawl_result_id"], one, one)
+    return rows.withColumns({"previous_id": F.col("_before.crawl_result_id"), "next_id": F.col("_after.crawl_result_id")}).drop("_before", "_after")
 
 
 def timeline(captures: DataFrame, use: int) -> DataFrame:
     """Visible captures that differ from the one before: the first of each unchanged run."""
-    w = Window.partitionBy("page_id").orderBy("started_ms", "crawl_result_id")
-    first = F.lag("crawl_result_id").over(w).isNull()
-    return eligible(captures, use).withColumn("_keep", first | ~_same(w)).where("_keep").drop("_keep")
+    rows = beside(eligible(captures, use), "page_id", ["started_ms", "crawl_result_id"], list(VERSION))
+    return rows.where(F.col("_before").isNull() | ~_same()).drop("_before")
 
 
 def latest(captures: DataFrame) -> DataFrame:

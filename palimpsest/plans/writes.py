@@ -27,6 +27,14 @@ def append_events(s, d):
     return catalog.append(catalog.heads(c.where(F.col("committed_ms") <= AT)), c.where(F.col("committed_ms") > AT)).select(SLIM)
 
 
+@query(f"SELECT {SLIM_SQL} FROM ev WHERE crawl_result_id % 5 = 0")
+def late_events(s, d):
+    """Captures that come after later ones of their pages were committed: each against its true predecessor."""
+    c = src.captures(s, d)
+    old = history.with_events(c.where("crawl_result_id % 5 <> 0"))
+    return catalog.append(catalog.heads(old), c.where("crawl_result_id % 5 = 0"), old).select(SLIM)
+
+
 # A batch: the last new capture of each claimed page, with what its body told, and each host's robots file.
 _URL = "concat('gemini://h', CAST({0} % 10 AS STRING), '.test/', CAST({0} AS STRING))"
 _CRAWLS = f"""SELECT c.crawl_result_id AS seq, {_URL.format("c.page_id")} AS url, concat('h', CAST(c.host_id AS STRING), '.test:1965') AS authority, CASE WHEN redirected_to_page_id IS NOT NULL THEN {_URL.format("redirected_to_page_id")} END AS redirect_url,

@@ -40,6 +40,67 @@ def test_appending_equals_rebuilding(captures, events, cut):
     assert got == {r.crawl_result_id: r.update_bitfield for r in events.where(f"committed_ms > {cut}").collect()}
 
 
+def test_late_captures(spark, captures, events):
+    """A capture that is dated back is compared with its true predecessor; without the table it is refused, and none of the rows after it changes."""
+    late = spark.createDataFrame([(21, 5, 2, None, 0, 7, 440, 445, 450, 20, 2, 31, 500, "text/plain"), (22, 5, 2, None, 0, 7, 90, 95, 100, 20, 4, 31, 500, "text/plain"), (23, 5, 2, 6, 1, 7, 910, 930, 950, 31, 6, None, None, "/6"), (24, 7, 2, None, 0, 7, 1, 2, 3, 20, 1, 31, 500, "x")], COLS)
+    got = {r.crawl_result_id: r.update_bitfield for r in catalog.append(catalog.heads(captures), late, events).collect()}
+    assert got == {21: 0, 22: 4, 23: 0, 24: 1}
+    with pytest.raises(Exception, match="late capture"):
+        catalog.append(catalog.heads(captures), late.where("crawl_result_id = 21")).collect()
+    assert catalog.append(catalog.heads(captures), late.limit(0), events).count() == 0
+
+
+@pytest.mark.parametrize("hot", [100, 7])
+def test_hot_keys(spark, monkeypatch, hot):
+    """A page (and host) with half of all captures: its order is cut in slices, no slice has more than twice its share, and every result is that of a plain window."""
+    import random
+
+    rng = random.Random(3)
+    rows = []
+    for i in range(1200):
+        page = 1 if i % 2 else rng.randrange(2, 60)
+        t = rng.randrange(3000)
+        rows.append((i, page, 1 if page == 1 else page % 9, rng.choice([None, 3, 4]), rng.randrange(2), rng.choice([None, 1, 2]), t, t + 5, t + rng.randrange(40), rng.choice([20, 31]), rng.randrange(8), rng.choice([None, 5]), 10, rng.choice(["a", "b"])))
+    df = spark.createDataFrame(rows, COLS).repartition(5)
+    certs = spark.createDataFrame([(1, "a", False), (2, "b", True)], "certificate_id long, fp string, pkix_verified boolean")
+    results = {
+        "events": lambda: history.with_events(df),
+        "timeline": lambda: history.timeline(df, 6).select("crawl_result_id"),
+        "neighbours": lambda: history.with_neighbors(df, 4).select("crawl_result_id", "previous_id", "next_id"),
+        "certificates": lambda: certificates.changes(df, certs),
+        "late": lambda: catalog.append(catalog.heads(history.with_events(df.where("crawl_result_id % 3 > 0"))), df.where("crawl_result_id % 3 = 0"), history.with_events(df.where("crawl_result_id % 3 > 0"))),
+    }
+    plain = {k: sorted(map(str, f().collect())) for k, f in results.items()}
+    monkeypatch.setattr(history, "HOT_ROWS", hot)
+    seen, keep = [], history.kept
+    monkeypatch.setattr(history, "kept", lambda d, name: seen.append(keep(d, name)) or seen[-1])
+    for k, f in results.items():
+        seen.clear()
+        assert sorted(map(str, f().collect())) == plain[k], k
+        sizes = [r["count"] for s in seen for r in s.groupBy("page_id" if "page_id" in s.columns else "host_id", "_slice").count().collect()]
+        assert seen and max(sizes) <= max(2 * hot / 4, 8), (k, max(sizes))
+
+
+def test_doubling_joins(spark, captures):
+    """Sixteen hops take the joins of four doublings, and long walks are whole: 40 pages in a row, a circle, a dead end."""
+    rows = [(i, i, 1, i + 1, 1, None, i, i, i, 31, 4, None, None, "/") for i in range(1, 40)] + [(40, 40, 1, None, 0, None, 40, 40, 40, 20, 4, 1, 1, "x")]
+    rows += [(50 + i, 50 + i, 1, 50 + (i + 1) % 3, 1, None, 1, 1, 50 + i, 30, 4, None, None, "/") for i in range(3)] + [(60, 60, 1, 99, 1, None, 1, 1, 60, 31, 4, None, None, "/")]
+    df = spark.createDataFrame(rows, COLS)
+    roots = spark.createDataFrame([(k, k) for k in (1, 30, 40, 50, 60, 99)], "root long, page_id long")
+    for hops in (1, 2, 5, 16, 64):
+        by = {}
+        for r in graph.chains(df, roots, 4, 100, hops).orderBy("root", "depth").collect():
+            by.setdefault(r.root, []).append(r.page_id)
+        assert by == {1: list(range(1, 41))[:hops], 30: list(range(30, 41))[:hops], 40: [40], 50: [50 + i % 3 for i in range(hops)], 60: [60]}
+    calls, double = [], graph.doubled
+    graph.doubled = lambda w: calls.append(1) or double(w)
+    try:
+        graph.chains(df, roots, 4, 100)
+    finally:
+        graph.doubled = double
+    assert len(calls) == 4
+
+
 def test_append_refuses(captures):
     with pytest.raises(Exception, match="ended_before_started"):
         catalog.append(catalog.heads(captures), captures.where("crawl_result_id = 15").selectExpr(*[c if c != "ended_ms" else "1 AS ended_ms" for c in captures.columns])).collect()
