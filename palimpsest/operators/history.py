@@ -152,6 +152,34 @@ def statistics(captures: DataFrame) -> DataFrame:
     )
 
 
+#: What the statistics count the distinct members of.
+KINDS = ("page", "host", "object")
+
+
+def members_of(captures: DataFrame) -> DataFrame:
+    """kind, id and raw_bytes (of pages' rows alone, so that a capture's bytes count once) of the captures that are for archiving."""
+    kinds = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(f"{k}_id").cast("long").alias("id"), (F.coalesce("raw_bytes", F.lit(0)) if k == "page" else F.lit(0)).cast("long").alias("raw_bytes")) for k in KINDS])
+    return eligible(captures, 4).select(F.explode(kinds).alias("x")).select("x.*").where("id IS NOT NULL")
+
+
+def totals_delta(known: DataFrame, captures: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Members (kind, id) that captures bring beyond those known, and what they add to the totals: kind, members, raw_bytes.
+
+    Deltas of batches one after another add up (merged_totals), each against the members after the one before. Rows are summed by member before they are shuffled.
+    """
+    by = members_of(captures).groupBy("kind", "id").agg(F.sum("raw_bytes").alias("raw_bytes"))
+    rows = kept(by.join(known.select("kind", "id", F.lit(True).alias("_known")), ["kind", "id"], "left").select("kind", "id", "raw_bytes", F.col("_known").isNull().alias("is_new")), "members")
+    return rows.where("is_new").select("kind", "id"), rows.groupBy("kind").agg(F.count_if("is_new").alias("members"), F.sum("raw_bytes").alias("raw_bytes"))
+
+
+def merged_totals(*totals: DataFrame) -> DataFrame:
+    """Totals or deltas (kind, members, raw_bytes) added up."""
+    out = totals[0]
+    for more in totals[1:]:
+        out = out.unionByName(more)
+    return out.groupBy("kind").agg(F.sum("members").alias("members"), F.sum("raw_bytes").alias("raw_bytes"))
+
+
 def cut_bytes(c: Column, most: int) -> Column:
     head = F.make_valid_utf8(F.substring(c.cast("binary"), 1, most).cast("string"))
     return F.when(F.octet_length(c) <= most, c).otherwise(F.regexp_replace(head, "\uFFFD+$", ""))

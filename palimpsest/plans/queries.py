@@ -191,6 +191,18 @@ def archived_members(s, d):
     return c.select(F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(f"{k}_id").alias("id")) for k in ("page", "host", "object")])).alias("x")).select("x.*").where("id IS NOT NULL").distinct()
 
 
+@query(f"SELECT 'page' AS kind, count(DISTINCT page_id) AS members, CAST(sum(coalesce(raw_bytes, 0)) AS BIGINT) AS raw_bytes FROM captures WHERE {VIS} UNION ALL SELECT 'host', count(DISTINCT host_id), 0 FROM captures WHERE {VIS} UNION ALL SELECT 'object', count(DISTINCT object_id), 0 FROM captures WHERE {VIS}")
+def running_totals(s, d):
+    """Totals kept from batch to batch, by what was new in each, are those of a rebuild."""
+    c = src.captures(s, d)
+    members, deltas = s.createDataFrame([], "kind string, id long"), []
+    for lo, hi in ((0, SINCE), (SINCE, AT), (AT, 1 << 62)):
+        new, delta = history.totals_delta(members, c.where((F.col("committed_ms") > lo) & (F.col("committed_ms") <= hi)))
+        members = members.unionByName(new)
+        deltas.append(delta)
+    return history.merged_totals(*deltas)
+
+
 @query("SELECT (SELECT count(*) FROM cap_pages) AS pages, (SELECT count(*) FROM hosts) AS hosts, (SELECT count(*) FROM captures) AS crawl_results, (SELECT count(DISTINCT object_id) FROM captures) AS objects, (SELECT count(*) FROM certs) AS certificates")
 def catalog_stats(s, d):
     return src.captures(s, d).agg(F.countDistinct("page_id").alias("pages"), F.countDistinct("host_id").alias("hosts"), F.count("*").alias("crawl_results"), F.countDistinct("object_id").alias("objects"), F.countDistinct("certificate_id").alias("certificates"))

@@ -79,9 +79,3 @@ def write_batches(stream: DataFrame, place: str, checkpoint: str):
 
     return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
-
-def totals(captures: DataFrame) -> DataFrame:
-    """Running statistics of a stream, for update mode: distinct members are kept by Spark's own state."""
-    rows = captures.where(F.col("robots_bitfield").bitwiseAND(4) != 0)
-    kinds = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(f"{k}_id").alias("id")) for k in ("page", "host", "object")])
-    return rows.select(F.explode(kinds).alias("x")).select("x.*").where("id IS NOT NULL").dropDuplicates(["kind", "id"])
