@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .mime import ascii_lower
@@ -156,13 +157,31 @@ PREFIXES = (
 )
 
 
-def reasons() -> list[tuple[str, str]]:
-    """Rule names and SQL conditions over url, host, port, path, lpath (ASCII lower case) and param, in order; Spark and DuckDB read them alike.
+def starts_with_any(text: Column, prefixes: tuple[str, ...]) -> Column:
+    """Whether a text starts with one of the prefixes: a binary search in their sorted list.
 
-    {starts} and {any} stand for the engines' own prefix test and shared-element test.
+    Of prefixes that start with others only the others are kept. Then a text that starts with one has that one as the greatest that isn't above the text, as whatever lies between the two starts with
+    it. So a few comparisons find the only candidate, as one expression, however many prefixes there are.
     """
+    kept: list[str] = []
+    for p in sorted(prefixes, key=lambda p: p.encode()):
+        if not kept or not p.startswith(kept[-1]):
+            kept.append(p)
+
+    def search(lo: int, hi: int) -> Column:
+        if hi - lo == 1:
+            return text.startswith(kept[lo])
+        mid = (lo + hi) // 2
+        return F.when(text < kept[mid], search(lo, mid)).otherwise(search(mid, hi))
+
+    return search(0, len(kept)) if kept else F.lit(False)
+
+
+def _conditions() -> list[tuple[str, str]]:
+    """Rule names and SQL conditions over url, host, port, path, lpath (ASCII lower case), param and _prefixed, in order."""
     quoted = lambda xs: ", ".join(f"'{x}'" for x in xs)
     ends = lambda c, xs: " OR ".join(f"{c} LIKE '%{x}'" for x in xs)
+    has = lambda xs: f"arrays_overlap(split(path, '/'), array({quoted(xs)}))"
     git = " OR ".join(f"contains(param, 'a={r}')" for r in GIT_ROUTES if r != "raw")
     return [
         ("port-443", "port = 443"),
@@ -170,9 +189,9 @@ def reasons() -> list[tuple[str, str]]:
         ("hidden-service", "host LIKE '%.onion'"),
         ("host", f"host IN ({quoted(HOSTS + DEAD_HOSTS)})"),
         ("tarpit", "host = 'buffering.party' AND (path = '/tarpit' OR path LIKE '/tarpit/%')"),
-        ("known-unbounded-or-mirror", "{prefixed}"),
-        ("git", f"path LIKE '/git/%' OR host LIKE 'git.%' OR contains(url, '.git/') OR {{git_route}} OR {git} OR url LIKE '%/git.sh'"),
-        ("svn", "contains(url, '/.svn/') OR {svn_route} OR contains(param, 'pathrev=') OR contains(param, 'peg=')"),
+        ("known-unbounded-or-mirror", "_prefixed"),
+        ("git", f"path LIKE '/git/%' OR host LIKE 'git.%' OR contains(url, '.git/') OR {has(GIT_ROUTES)} OR {git} OR url LIKE '%/git.sh'"),
+        ("svn", f"contains(url, '/.svn/') OR {has(SVN_ROUTES)} OR contains(param, 'pathrev=') OR contains(param, 'peg=')"),
         ("xkcd-archive", "contains(url, '/~xkcd/') OR contains(url, '/xkcd/')"),
         ("maze-generator", "host = 'gem.pwarren.id.au' AND lpath = '/cgi-bin/maze.cgi'"),
         ("archive-cached-view", "lpath LIKE '%/archive/cached' AND param <> ''"),
@@ -182,36 +201,19 @@ def reasons() -> list[tuple[str, str]]:
         ("search-query", "lpath IN ('/search', '/search/') AND param <> ''"),
         ("webring-navigation", ends("path", WEBRING)),
         ("proxy-or-mirror", "contains(url, 'gopher:/:/') OR contains(url, 'rfc-mirror')"),
-        ("control-character", "{control}"),
-        ("repeated-path-component", "{repeated}"),
-        ("commit-history", "{commits}"),
+        ("control-character", "url RLIKE '[\\\\x01-\\\\x1f]'"),
+        ("repeated-path-component", "exists(split(path, '/'), x -> x <> '' AND size(filter(split(path, '/'), y -> y = x)) >= 3)"),
+        ("commit-history", "url RLIKE '^((?!commits/).)*commits/[0-9A-Za-z]*/.'"),
     ]
 
 
-def condition_sql(duckdb: bool = False) -> str:
-    """The whole list as one CASE, for either engine."""
-    quoted = lambda xs: ", ".join(f"'{x}'" for x in xs)
-    prefixed = " OR ".join(f"{'starts_with' if duckdb else 'startswith'}(url, '{p}')" for p in PREFIXES)
-    if duckdb:
-        own = {
-            "git_route": f"list_has_any(string_split(path, '/'), [{quoted(GIT_ROUTES)}])",
-            "svn_route": f"list_has_any(string_split(path, '/'), [{quoted(SVN_ROUTES)}])",
-            "control": "regexp_matches(url, '[\\x01-\\x1f]')",
-            "repeated": "len(list_filter(string_split(path, '/'), lambda x: x <> '' AND len(list_filter(string_split(path, '/'), lambda y: y = x)) >= 3)) > 0",
-            "commits": "contains(url, 'commits/') AND regexp_matches(substr(url, strpos(url, 'commits/') + 8), '^[0-9A-Za-z]*/.')",
-        }
-    else:
-        own = {
-            "git_route": f"arrays_overlap(split(path, '/'), array({quoted(GIT_ROUTES)}))",
-            "svn_route": f"arrays_overlap(split(path, '/'), array({quoted(SVN_ROUTES)}))",
-            "control": "url RLIKE '[\\\\x01-\\\\x1f]'",
-            "repeated": "exists(split(path, '/'), x -> x <> '' AND size(filter(split(path, '/'), y -> y = x)) >= 3)",
-            "commits": "url RLIKE '^((?!commits/).)*commits/[0-9A-Za-z]*/.'",
-        }
-    out = " ".join(f"WHEN {c.format(prefixed=prefixed, **own)} THEN '{name}'" for name, c in reasons())
-    return f"CASE {out} END"
+def reasons() -> list[str]:
+    """All reasons, in the order in which they are tried."""
+    return [name for name, _ in _conditions()]
 
 
 def with_exclusion(df):
     """df (url, host, port, path, param) with exclusion: the reason, null where the page may be fetched."""
-    return df.withColumn("lpath", ascii_lower(F.col("path"))).withColumn("exclusion", F.expr(condition_sql())).drop("lpath")
+    rows = df.withColumns({"lpath": ascii_lower(F.col("path")), "_prefixed": starts_with_any(F.col("url"), PREFIXES)})
+    case = " ".join(f"WHEN {c} THEN '{name}'" for name, c in _conditions())
+    return rows.withColumn("exclusion", F.expr(f"CASE {case} END")).drop("lpath", "_prefixed")

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import MODES
+from ..session import kept
 
 OWN_AGENT = "palimpsest"
 
@@ -58,9 +59,62 @@ def path_blocked(path: Column, rules: Column) -> Column:
     return F.aggregate(rules, F.struct(F.lit(0).alias("n"), F.lit(False).alias("blocked")), step, lambda acc: acc["blocked"])
 
 
+def compiled(source: Column, own: str = OWN_AGENT) -> Column:
+    """A robots file's rules for all audiences at once, ready to be matched, the longest first and of equal ones those that allow.
+
+    Each has mask (the audiences that it is for), allow, n (its length), head (what a path must start with), rest (what must follow, piece by piece) and ends (whether the last piece ends
+    the path). A rule without letters is left out, as it forbids nothing.
+    """
+    uses = [(bit, F.array(*map(F.lit, sorted(agents(use, own))))) for use, bit in MODES.items()]
+
+    def ready(mask: Column, r: Column) -> Column:
+        bare = F.regexp_replace(r["pattern"], "[$]$", "")
+        pieces = F.split(bare, "[*]+")
+        return F.struct(mask.alias("mask"), r["allow"].alias("allow"), F.length(F.replace(bare, F.lit("*"), F.lit(""))).alias("n"), F.get(pieces, 0).alias("head"), F.slice(pieces, F.lit(2), F.greatest(F.size(pieces) - 1, F.lit(0))).alias("rest"), r["pattern"].endswith("$").alias("ends"))
+
+    mask = lambda g: sum((F.when(F.arrays_overlap(g["names"], mine), bit).otherwise(0) for bit, mine in uses), F.lit(0)).cast("int")
+    groups = F.transform(segments(F.coalesce(source, F.lit(""))), lambda g: F.struct(mask(g).alias("mask"), g["rules"].alias("rules")))
+    rules = F.flatten(F.transform(F.filter(groups, lambda g: g["mask"] != 0), lambda g: F.transform(g["rules"], lambda r: ready(g["mask"], r))))
+    longest = lambda x, y: F.when(x["n"] != y["n"], F.when(x["n"] > y["n"], -1).otherwise(1)).when(x["allow"] == y["allow"], 0).when(x["allow"], -1).otherwise(1)
+    return F.array_sort(F.filter(rules, lambda r: r["n"] > 0), longest)
+
+
+def _matches(path: Column, r: Column) -> Column:
+    """Whether a path starts with a rule's head and has the pieces of its rest one after another, each as early as can be; the last at the end, where the rule ends there."""
+    after = F.length(r["head"]) + 1
+    body, last = F.slice(r["rest"], F.lit(1), F.greatest(F.size(r["rest"]) - 1, F.lit(0))), F.element_at(r["rest"], -1)
+
+    def step(at: Column, piece: Column) -> Column:
+        found = F.position(piece, path, F.greatest(at, F.lit(1)))
+        return F.when((at == 0) | (found == 0), 0).otherwise(found + F.length(piece))
+
+    found = F.aggregate(F.when(r["ends"], body).otherwise(r["rest"]), after, step)
+    tail = F.when(~r["ends"], found > 0).when(F.size(r["rest"]) == 0, F.length(path) == F.length(r["head"])).otherwise((found > 0) & path.endswith(last) & (F.length(path) - F.length(last) + 1 >= found))
+    return path.startswith(r["head"]) & F.when((F.size(r["rest"]) == 0) & ~r["ends"], True).otherwise(tail)
+
+
+def mask_by(path: Column, rules: Column) -> Column:
+    """The audiences that compiled rules let see a path: for each the first rule that is for it and matches decides; all where none does, for the robots file itself, and where there are no rules."""
+
+    def step(acc: Column, r: Column) -> Column:
+        new = r["mask"].bitwiseAND(F.bitwise_not(acc["decided"]))
+        return F.when((new != 0) & _matches(path, r), F.struct(acc["decided"].bitwiseOR(new).alias("decided"), F.when(r["allow"], acc["blocked"]).otherwise(acc["blocked"].bitwiseOR(new)).alias("blocked"))).otherwise(acc)
+
+    zero = F.lit(0).cast("int")
+    blocked = F.aggregate(rules, F.struct(zero.alias("decided"), zero.alias("blocked")), step, lambda acc: acc["blocked"])
+    return F.when(path == "/robots.txt", 31).otherwise(31 - F.coalesce(blocked, zero)).cast("long")
+
+
 def robots_mask(path: Column, source: Column, own: str = OWN_AGENT) -> Column:
-    """The audiences that may see a path; all for the robots file itself."""
-    out = F.lit(0)
-    for use, bit in MODES.items():
-        out = out + F.when(path_blocked(path, robots_rules(source, use, own)), 0).otherwise(bit)
-    return F.when(path == "/robots.txt", 31).otherwise(out).cast("long")
+    """The audiences that may see a path by a robots file."""
+    return mask_by(path, compiled(source, own))
+
+
+def rule_table(files: DataFrame, own: str = OWN_AGENT) -> DataFrame:
+    """authority and rules of robots files (authority, source; one each): each file is parsed here, once, however many pages are judged by it. The table is written."""
+    return kept(files.select("authority", compiled(F.col("source"), own).alias("rules")), "robots-rules")
+
+
+def permitted(pages: DataFrame, table: DataFrame) -> DataFrame:
+    """pages (authority, path, ..) with mask: the audiences that may see each, by the rules of its authority; all where there are none."""
+    return pages.join(table, "authority", "left").withColumn("mask", mask_by(F.col("path"), F.col("rules"))).drop("rules")

@@ -505,9 +505,14 @@ def security_txt_url(s, d):
     return urls.parts(_gem(s, d)).select("page_id", urls.security_txt(F.col("scheme"), F.col("host"), F.col("port")).alias("security_txt"))
 
 
-@query(f"WITH {GEM}, {PARTS} SELECT page_id, CAST(param = '' AND regexp_matches(path, '^/(~[^/]+)?$') AS BIGINT) AS kind FROM full_parts", prelude=False)
+_HOMES = ["url", "root", "root || '?q'", "root || '~u' || page_id", "root || '~u' || page_id || '/'", "root || '~'", "root || '~u/x'", "replace(root, 'gemini:', 'https:')"]
+
+
+@query(f"WITH {GEM}, h AS (SELECT page_id, unnest([{', '.join(_HOMES)}]) AS u, unnest(range(1, {len(_HOMES) + 1})) AS variant FROM (SELECT page_id, url, concat(regexp_extract(url, '^gemini://[^/?#]*', 0), '/') AS root FROM g)) SELECT page_id, variant, CAST(CASE WHEN regexp_matches(regexp_extract(u, '^gemini://[^/]+(/[^#]*)', 1), '^/(~[^/?]+)?$') THEN 1 ELSE 0 END AS BIGINT) AS kind FROM h", prelude=False)
 def page_kind(s, d):
-    return urls.parts(_gem(s, d)).select("page_id", urls.page_kind(F.col("scheme"), F.col("path"), F.col("param")).alias("kind"))
+    """Home pages of capsules and of users among addresses on the pages' hosts."""
+    rows = _gem(s, d).withColumn("root", F.concat(F.regexp_extract("url", "^gemini://[^/?#]*", 0), F.lit("/"))).select("page_id", F.posexplode(F.expr(f"array({', '.join(_HOMES)})")).alias("variant", "url"))
+    return urls.parts(rows).select("page_id", (F.col("variant") + 1).cast("long").alias("variant"), urls.page_kind(F.col("scheme"), F.col("path"), F.col("param")).alias("kind"))
 
 
 @query(f"""WITH {GEM}, {PARTS} SELECT page_id, concat('/archive/gemini/x/', replace(url_encode(regexp_extract(canonical, '^[a-z]+://([^?]*)', 1)), '*', '%2A'), CASE WHEN param = '' THEN '' ELSE concat('/param/', url_encode(param)) END) AS link FROM (SELECT *, concat('gemini://', host, path, CASE WHEN param = '' THEN '' ELSE concat('?', param) END) AS canonical FROM full_parts)""", prelude=False)
@@ -533,9 +538,54 @@ def resolve_links(s, d):
     return urls.resolve(rows, "url", "ref").select("page_id", (F.col("i") + 1).cast("long").alias("position"), "resolved")
 
 
-@query(f"WITH {GEM}, {PARTS}, p AS (SELECT *, translate(path, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS lpath FROM full_parts) SELECT page_id, {policy.condition_sql(duckdb=True)} AS exclusion FROM p", prelude=False)
+# Addresses made of each page's host (h), path (p) and number (n), of every kind that the exclusion policy tells, with near misses; one text for both engines.
+_MADE = [
+    "h || p", "h || ':443' || p", "h || ':4430' || p", "'127.0.0.' || n || p", "'127.0.1.1/'", "'box' || n || '.local/'", "'a.localhost/x'", "'localhost' || p", "'b.localdomain/'", "'mylocal' || n || '/'", "'v' || n || '.onion/'", "'onion/'",
+    "'example.net' || p", "'www.example.net/' || n", "'gus.guru/'", "'buffering.party/tarpit'", "'buffering.party/tarpit/' || n", "'buffering.party/tarpits'", "substr(prefix, 10) || 'x' || n", "substr(prefix, 10, length(prefix) - 10) || '~'", "substr(prefix, 10, length(prefix) - 11)",
+    "h || '/git/x' || n", "'git.' || h || '/'", "h || '/p.git/x'", "h || '/r' || n || '/commits/main'", "h || '/gitweb?a=blobdiff;n=' || n", "h || '/bin/git.sh'", "h || '/github/' || n", "h || '/treehouse/logs'", "h || '/w/trunk/x'", "h || '/.svn/entries'", "h || '/v?pathrev=' || n", "h || '/trunks'",
+    "h || '/xkcd/' || n", "h || '/my~xkcd/1'", "'gem.pwarren.id.au/cgi-bin/MAZE.cgi?' || n", "h || '/cgi-bin/maze.cgi?' || n", "h || '/my/Archive/cached?u=' || n", "h || '/my/archive/cached'", "h || '/bin/TEST_' || n || '.py'", "h || '/bin/test_' || n || '.txt'", "h || '/ski/play' || n", "h || '/Gemski/play'", "h || '/skis/play'",
+    "'sava.rocks/fun-stuff/x' || n || '-countdown/'", "'sava.rocks/fun/x-countdown/'", "h || '/search?q=' || n", "h || '/Search/?q=' || n", "h || '/search'", "h || '/ring/prev.cgi'", "h || '/ring/rand'", "h || '/ring/prevs'", "h || '/a/rfc-mirror' || n", "h || '/x/gopher:/:/y'", "h || '/a' || chr(9) || n", "h || '/a' || n || '/b/a' || n || '/c/a' || n", "h || '/a/b/a/c/aa'",
+    "h || '/mycommits/abc' || n || '/file'", "h || '/mycommits/a-b/file'", "h || '/mycommits/abc' || n || '/'",
+]
+_MADE_SQL = ", ".join(f"'gemini://' || {x}" for x in _MADE)
+_PREFIX_LIST = ", ".join(f"'{p}'" for p in policy.PREFIXES)
+_LISTED = ", ".join(f"'{x}'" for x in policy.HOSTS + policy.DEAD_HOSTS)
+
+
+@query(
+    f"""WITH {GEM}, {PARTS}, b AS (SELECT page_id, host AS h, path AS p, CAST(page_id AS VARCHAR) AS n, [{_PREFIX_LIST}][1 + page_id % {len(policy.PREFIXES)}] AS prefix FROM full_parts),
+m AS (SELECT page_id, unnest([{_MADE_SQL}]) AS url, unnest(range(1, {len(_MADE) + 1})) AS variant FROM b),
+u AS (SELECT *, regexp_extract(url, '^gemini://([^:/]+)', 1) AS host, regexp_extract(url, '^gemini://[^/]*(/[^?]*)?', 1) AS q, regexp_extract(url, '[?](.*)$', 1) AS arg, regexp_extract(url, '^gemini://[^:/]+:([0-9]+)', 1) AS port FROM m),
+c AS (SELECT *, CASE WHEN q = '' THEN '/' ELSE q END AS path, string_split(CASE WHEN q = '' THEN '/' ELSE q END, '/') AS names FROM u)
+SELECT page_id, variant, CASE
+  WHEN port = '443' THEN 'port-443'
+  WHEN regexp_matches(host, '^(localhost|localhost[.]localdomain|127[.]0[.]0[.].*|.*[.](local|localhost|localdomain))$') THEN 'local-address'
+  WHEN ends_with(host, '.onion') THEN 'hidden-service'
+  WHEN list_contains([{_LISTED}], host) THEN 'host'
+  WHEN regexp_matches(url, '^gemini://buffering[.]party(:[0-9]+)?/tarpit(/|$)') THEN 'tarpit'
+  WHEN len(list_filter([{_PREFIX_LIST}], lambda x: starts_with(CASE WHEN q = '' THEN concat(url, '/') ELSE url END, x))) > 0 THEN 'known-unbounded-or-mirror'
+  WHEN starts_with(path, '/git/') OR starts_with(host, 'git.') OR contains(url, '.git/') OR regexp_matches(path, '/(commits?|tree|blob|blame|log|patch|diff|raw)(/|$)') OR regexp_matches(arg, 'a=(commits?|tree|blob|blame|log|patch|diff)') OR ends_with(url, '/git.sh') THEN 'git'
+  WHEN contains(url, '/.svn/') OR regexp_matches(path, '/(svn|svnroot|viewvc|viewcvs|svnweb|changeset|trunk|branches)(/|$)') OR regexp_matches(arg, '(pathrev|peg)=') THEN 'svn'
+  WHEN regexp_matches(url, '/~?xkcd/') THEN 'xkcd-archive'
+  WHEN host = 'gem.pwarren.id.au' AND lower(path) = '/cgi-bin/maze.cgi' THEN 'maze-generator'
+  WHEN regexp_matches(lower(path), '/archive/cached$') AND arg <> '' THEN 'archive-cached-view'
+  WHEN regexp_matches(lower(path), 'test_') AND regexp_matches(lower(path), '[.](py|cgi)') THEN 'test-script'
+  WHEN regexp_matches(lower(path), '^/(gem)?ski/play') THEN 'gemski-generator'
+  WHEN host = 'sava.rocks' AND regexp_matches(lower(path), '^/fun-stuff/.*-countdown/') THEN 'countdown-generator'
+  WHEN regexp_matches(lower(path), '^/search/?$') AND arg <> '' THEN 'search-query'
+  WHEN regexp_matches(path, '/(next|prev|rand)([.](cgi|gmi))?$') THEN 'webring-navigation'
+  WHEN contains(url, 'gopher:/:/') OR contains(url, 'rfc-mirror') THEN 'proxy-or-mirror'
+  WHEN contains(url, chr(9)) THEN 'control-character'
+  WHEN len(list_filter(names, lambda x: x <> '' AND len(list_filter(names, lambda y: y = x)) > 2)) > 0 THEN 'repeated-path-component'
+  WHEN regexp_matches(url, 'commits/[0-9A-Za-z]*/.') THEN 'commit-history' END AS exclusion FROM c""",
+    prelude=False,
+)
 def exclusion_reason(s, d):
-    return policy.with_exclusion(urls.parts(_gem(s, d))).select("page_id", "exclusion")
+    """Why addresses aren't fetched: made of the pages' own, some for each of the twenty rules and some that just miss one."""
+    base = urls.parts(_gem(s, d)).select("page_id", F.col("host").alias("h"), F.col("path").alias("p"), F.col("page_id").cast("string").alias("n"), F.expr(f"element_at(array({_PREFIX_LIST}), CAST(1 + page_id % {len(policy.PREFIXES)} AS INT))").alias("prefix"))
+    made = base.select("page_id", F.posexplode(F.expr(f"array({_MADE_SQL})")).alias("variant", "url"))
+    rows = urls.parts(urls.canonical(made).select("page_id", "variant", F.col("canonical").alias("url")))
+    return policy.with_exclusion(rows).select("page_id", (F.col("variant") + 1).cast("long").alias("variant"), "exclusion")
 
 
 @query("SELECT crawl_result_id, CASE WHEN event_type = 'view' THEN 'text/gemini' WHEN event_type = 'click' THEN 'text/plain' END AS media FROM (SELECT event_id + 1 AS crawl_result_id, event_type FROM events)", prelude=False)
@@ -613,18 +663,44 @@ def robots_blocked(s, d):
     return urls.parts(_gem(s, d)).select("page_id", robots.path_blocked(F.col("path"), rules).alias("blocked"))
 
 
-ROBOTS_TXT = "User-agent: *\nDisallow: /fr\n\nUser-agent: archiver\nDisallow: /en\n"
+# A robots file for each authority of the pages, but for a third of them, written of its own pages' paths: a and z are the first and last.
+_FILES = "SELECT host, min(path) AS a, max(path) AS z FROM {0} GROUP BY host HAVING length(host) % 3 > 0"
 
 
-@query(f"WITH {GEM}, {PARTS} SELECT page_id, CAST(CASE WHEN path LIKE '/fr%' THEN 0 WHEN path LIKE '/en%' THEN 27 ELSE 31 END AS BIGINT) AS mask FROM full_parts", prelude=False)
+def _robots_files(s: SparkSession, d: str) -> DataFrame:
+    p = urls.parts(_gem(s, d))
+    made = s.sql(_FILES.format("{p}"), p=p.select("host", "path"))
+    text = F.concat(
+        F.lit("# of "), "host", F.lit("\nUser-Agent: *\nDisallow: "), "a", F.lit(" # the first\nAllow: "), "a", F.lit("$\nDisallow: /fr/*9\n\nUser-agent: archiver\nUSER-AGENT: researcher\ndisallow: /*/"), F.regexp_extract("z", "([0-9])[^0-9]*$", 1), F.lit("\nAllow: "), "z",
+        F.lit("\nNoise: x\nUser-agent: webproxy\nDisallow: /\nAllow: /en\nDisallow: /en/*/\n"),
+    )
+    return made.select(F.concat("host", F.lit(":1965")).alias("authority"), text.alias("source"))
+
+
+# The same as rows, by regular expressions: audiences (legacy 1, indexer 2, archiver 4, researcher 8, webproxy 16), pattern, its length.
+_QUOTED = "regexp_replace({0}, '([.+?^$(){{}}|\\[\\]*\\\\])', '\\\\\\1', 'g')"
+ROBOT_RULES = f"""files AS ({_FILES.format("full_parts")}), rules AS (
+  SELECT host, 31 AS uses, FALSE AS allow, concat('^', {_QUOTED.format("a")}) AS rx, length(a) AS n, a AS pattern, 0 AS position FROM files UNION ALL SELECT host, 31, TRUE, concat('^', {_QUOTED.format("a")}, '$'), length(a), concat(a, '$'), 1 FROM files UNION ALL SELECT host, 31, FALSE, '^/fr/.*9', 5, '/fr/*9', 2 FROM files
+  UNION ALL SELECT host, 12, FALSE, concat('^/.*/', regexp_extract(z, '([0-9])[^0-9]*$', 1)), 2 + length(regexp_extract(z, '([0-9])[^0-9]*$', 1)), concat('/*/', regexp_extract(z, '([0-9])[^0-9]*$', 1)), 3 FROM files UNION ALL SELECT host, 12, TRUE, concat('^', {_QUOTED.format("z")}), length(z), z, 4 FROM files
+  UNION ALL SELECT host, 16, FALSE, '^/', 1, '/', 5 FROM files UNION ALL SELECT host, 16, TRUE, '^/en', 3, '/en', 6 FROM files UNION ALL SELECT host, 16, FALSE, '^/en/.*/', 5, '/en/*/', 7 FROM files)"""
+
+
+@query(
+    f"""WITH {GEM}, {PARTS}, {ROBOT_RULES}, v AS (SELECT page_id, host, u, coalesce(NOT arg_max(allow, n * 2 + CAST(allow AS INT)), FALSE) AS blocked FROM full_parts JOIN (VALUES (1), (2), (4), (8), (16)) t(u) ON TRUE LEFT JOIN rules USING (host) WHERE rules.host IS NOT NULL AND (uses & u) <> 0 AND regexp_matches(path, rx) GROUP BY page_id, host, u)
+SELECT page_id, CAST(31 - coalesce(sum(CASE WHEN blocked THEN u ELSE 0 END), 0) AS BIGINT) AS mask FROM full_parts LEFT JOIN v USING (page_id) GROUP BY page_id""",
+    prelude=False,
+)
 def robots_mask(s, d):
-    return urls.parts(_gem(s, d)).select("page_id", robots.robots_mask(F.col("path"), F.lit(ROBOTS_TXT)).alias("mask"))
+    """Who may see each page, by its authority's robots file: files are parsed once, and joined to pages as ready rules."""
+    pages = urls.parts(_gem(s, d)).select("page_id", urls.authority(F.col("host"), F.col("port")).alias("authority"), "path")
+    return robots.permitted(pages, robots.rule_table(_robots_files(s, d))).select("page_id", "mask")
 
 
-@query("SELECT * FROM (VALUES (0, FALSE, '/fr'), (1, FALSE, '/en')) v(position, allow, pattern)", prelude=False)
+@query(f"WITH {GEM}, {PARTS}, {ROBOT_RULES} SELECT concat(host, ':1965') AS authority, row_number() OVER (PARTITION BY host ORDER BY position) - 1 AS position, allow, pattern FROM rules WHERE (uses & 4) <> 0", prelude=False)
 def robots_rules(s, d):
-    rules = s.createDataFrame([(ROBOTS_TXT,)], "t string").select(F.posexplode(robots.robots_rules("t", "archiver")).alias("position", "r"))
-    return rules.select(F.col("position").cast("long").alias("position"), "r.allow", "r.pattern")
+    """The rules of each authority's robots file for archivers, in order."""
+    rules = _robots_files(s, d).select("authority", F.posexplode(robots.robots_rules("source", "archiver")).alias("position", "r"))
+    return rules.select("authority", F.col("position").cast("long").alias("position"), "r.allow", "r.pattern")
 
 
 @query("WITH c AS (SELECT conv_id, turn, role = 'user' AS f, turn - row_number() OVER (PARTITION BY conv_id, role = 'user' ORDER BY turn) AS island FROM conversations) SELECT conv_id, CAST(coalesce(max(n), 0) AS BIGINT) AS longest_run FROM (SELECT DISTINCT conv_id FROM conversations) LEFT JOIN (SELECT conv_id, island, count(*) AS n FROM c WHERE f GROUP BY conv_id, island) USING (conv_id) GROUP BY conv_id", prelude=False)
