@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import json
 import uuid
 from collections.abc import Iterator
 from datetime import UTC, datetime
@@ -13,10 +12,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, IntegerType, StructField, StructType
 
-from ..schema import BATCH_BYTES
 from ..session import ship
 
 PLAIN, ZSTD = 0, 1
+#: The address of a batch's manifest record.
+MANIFEST = "urn:batch:manifest"
 
 
 @F.pandas_udf(BinaryType())
@@ -55,10 +55,19 @@ def decode(fmt: pd.Series, data: pd.Series, raw_bytes: pd.Series) -> pd.Series:
 
 
 def put(store: DataFrame, bodies: DataFrame) -> DataFrame:
-    """The store with new bodies (a column body): each digest once."""
+    """The store with new bodies (a column body): each digest once. Bodies of one digest that aren't equal, among the new ones or with one that is stored, are an error.
+
+    New bodies are shuffled once, by digest; equal ones meet there, and what the store has of that digest.
+    """
     ship(bodies.sparkSession)
-    keyed = bodies.select(blake2b_256("body").alias("blake2b_256"), F.length("body").cast("long").alias("raw_bytes"), "body").dropDuplicates(["blake2b_256"])
-    new = keyed.join(store.select("blake2b_256"), "blake2b_256", "left_anti").withColumn("e", encode("body"))
+    keyed = bodies.select(blake2b_256("body").alias("blake2b_256"), "body").withColumn("_sum", F.sha2("body", 256))
+    once = keyed.groupBy("blake2b_256").agg(F.min_by("body", "_sum").alias("body"), (F.min("_sum") != F.max("_sum")).alias("_differ"))
+    both = once.join(store.select("blake2b_256", F.col("raw_bytes").alias("_n"), F.col("format").alias("_format"), F.col("data").alias("_data")), "blake2b_256", "left")
+    known = F.col("_n").isNotNull()
+    both = both.withColumn("_stored", F.when(known, decode(F.coalesce("_format", F.lit(PLAIN)), F.coalesce("_data", F.lit(b"")), F.coalesce("_n", F.lit(0)))))
+    clash = F.col("_differ") | (known & (F.col("_stored") != F.col("body")))
+    new = both.where(F.when(clash, F.raise_error(F.concat(F.lit("digest collision: "), F.lower(F.hex("blake2b_256")))).cast("boolean")).otherwise(~known))
+    new = new.select("blake2b_256", F.length("body").cast("long").alias("raw_bytes"), encode("body").alias("e"))
     return store.unionByName(new.select("blake2b_256", "raw_bytes", "e.format", "e.data"))
 
 
@@ -85,6 +94,7 @@ def exists(store: DataFrame, wanted: DataFrame, digest: str = "blake2b_256") ->
     """wanted with present: whether the store has the digest."""
     return wanted.join(store.select(digest).distinct().withColumn("_in", F.lit(True)), digest, "left").withColumn("present", F.coalesce("_in", F.lit(False))).drop("_in")
 
+
 def warc_record(target: str, body: bytes, millis: int, record: uuid.UUID | None = None) -> bytes:
     """A WARC/1.0 resource record. A target with a line break is refused."""
     if "\r" in target or "\n" in target:
@@ -94,32 +104,28 @@ def warc_record(target: str, body: bytes, millis: int, record: uuid.UUID | None
     return b"WARC/1.0\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head.items()).encode() + b"\r\n" + body + b"\r\n\r\n"
 
 
-def warc_parts(rows: DataFrame, manifest: dict | None = None) -> DataFrame:
-    """part and piece (numbers) and data: the rows' records (url, body, committed_ms) as zstd streams of at most BATCH_BYTES of bodies (or one larger body), the manifest first in each."""
+def warc_batch(rows: DataFrame, document: DataFrame) -> DataFrame:
+    """One row: data, a batch as one zstd stream: its manifest, dated by the final row, then the bodies that it includes, in their order.
+
+    rows: a batch's rows (url, body, body_state, committed_ms, crawl_result_id), whose bodies are BATCH_BYTES at most; document: its manifest (feed.batch_document).
+    """
     ship(rows.sparkSession)
+    bodies = rows.where("body_state = 'included'").select(F.lit(1).alias("place"), "committed_ms", "crawl_result_id", "url", "body")
+    first = document.select(F.lit(0).alias("place"), "committed_ms", F.lit(0).cast("long").alias("crawl_result_id"), F.lit(MANIFEST).alias("url"), F.encode("json", "UTF-8").alias("body"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import zstandard
-        from pyspark import TaskContext
 
-        part, piece, held, made = TaskContext.get().partitionId(), 0, 0, []
+        stream, some = _Stream(zstandard.ZstdCompressor(level=3).compressobj()), False
         for pdf in batches:
             for u, b, t in zip(pdf.url, pdf.body, pdf.committed_ms, strict=True):
-                if b is None:
-                    continue
-                if held and held + len(b) > BATCH_BYTES:
-                    yield pd.DataFrame({"part": [part], "piece": [piece], "data": [stream.flush()]})
-                    piece, held = piece + 1, 0
-                if not held:
-                    stream = _Stream(zstandard.ZstdCompressor(level=3).compressobj())
-                    if manifest is not None:
-                        stream.write(warc_record("urn:batch:manifest", json.dumps(manifest).encode(), int(t)))
                 stream.write(warc_record(u.split("#")[0], bytes(b), int(t)))
-                held += max(len(b), 1)
-        if held:
-            yield pd.DataFrame({"part": [part], "piece": [piece], "data": [stream.flush()]})
+                some = True
+        if some:
+            yield pd.DataFrame({"data": [stream.flush()]})
 
-    return rows.select("url", "body", "committed_ms").mapInPandas(run, "part long, piece long, data binary")
+    ordered = first.unionByName(bodies).repartition(1).sortWithinPartitions("place", "committed_ms", "crawl_result_id")  # a batch: bounded rows and bytes
+    return ordered.select("url", "body", "committed_ms").mapInPandas(run, "data binary")
 
 
 class _Stream:

@@ -120,9 +120,52 @@ def batch_budget(s, d):
     return feeds.budget(feeds.page(feeds.feed(_events(s, d), USE, (SINCE, 0))), 300_000).select("crawl_result_id", "total_bytes")
 
 
-@query(f"WITH {BATCH} SELECT crawl_result_id, CASE WHEN removal THEN 'removed' WHEN object_id IS NULL THEN 'unavailable' WHEN lower(split_part(meta, ';', 1)) LIKE 'text/gemini' THEN 'included' ELSE 'excluded_by_body_mime' END AS body_state FROM batch")
+RESULT_BYTES = 400_000
+
+
+def _results(s: SparkSession, d: str, rows: DataFrame) -> DataFrame:
+    """Feed rows with all that a result tells."""
+    digest = lambda c, kind: F.when(F.col(c).isNotNull(), F.sha2(F.concat(F.lit(kind), F.col(c).cast("string")), 256))
+    p = src.pages(s, d)
+    target = p.select(F.col("page_id").alias("redirected_to_page_id"), F.col("url").alias("redirect_url"))
+    return rows.join(p.select("page_id", "url"), "page_id").join(target, "redirected_to_page_id", "left").withColumns({"body_digest": digest("object_id", "body"), "certificate_digest": digest("certificate_id", "cert")})
+
+
+_RESULT_ROWS = "r AS (SELECT b.*, p.url, t.url AS redirect_url FROM {0} b JOIN (SELECT page_id, url FROM cap_pages) p USING (page_id) LEFT JOIN (SELECT page_id AS redirected_to_page_id, url FROM cap_pages) t USING (redirected_to_page_id))"
+_RESULT_JSON = """concat('{"action":"', CASE WHEN removal THEN 'remove"' ELSE concat('upsert"', CASE WHEN object_id IS NULL THEN '' ELSE concat(',"body_blake2b_256":"', sha256(concat('body', object_id)), '","body_bytes":', raw_bytes) END) END, {state},
+  CASE WHEN removal OR certificate_id IS NULL THEN '' ELSE concat(',"certificate_blake2b_256":"', sha256(concat('cert', certificate_id)), '"') END, ',"committed_at_unix_millis":', committed_ms, ',"crawl_result_id":', crawl_result_id,
+  CASE WHEN removal THEN '' ELSE concat(',"ended_at_unix_millis":', ended_ms, CASE WHEN meta IS NULL THEN '' ELSE concat(',"meta":"', meta, '"') END, ',"redirect_count":', redirect_count, CASE WHEN redirect_url IS NULL THEN '' ELSE concat(',"redirected_to":"', coalesce(meta, redirect_url), '"') END,
+    ',"started_at_unix_millis":', started_ms, ',"status_code":', status_code) END, ',"url":"', url, '"', {target}, '}')"""
+
+
+@query(f"WITH {BATCH}, {_RESULT_ROWS.format('batch')} SELECT crawl_result_id, {_RESULT_JSON.replace('{state}', chr(39) * 2).replace('{target}', chr(39) * 2)} AS json FROM r")
+def feed_json(s, d):
+    return feeds.as_json(_results(s, d, feeds.page(feeds.feed(_events(s, d), USE, (SINCE, 0)))))
+
+
+_ITEM = _RESULT_JSON.replace("{state}", """',"body_state":"', body_state, '"'""").replace("{target}", """CASE WHEN body_state = 'included' THEN concat(',"warc_target_uri":"', url, '"') ELSE '' END""")
+_FILTER_ID = formats.filter_id([], ["text/gemini"], None)
+_TOKEN = f"b0.{SINCE}.{AT}.archive.{_FILTER_ID}.-.{'text/gemini'.encode().hex()}.-."
+
+
+@query(
+    f"""WITH batch AS (SELECT *, {VIS.replace('<>', '=')} AS removal {FEED_SQL} AND committed_ms <= {AT} ORDER BY committed_ms, crawl_result_id LIMIT 1001), ends AS (SELECT max(committed_ms) AS c, arg_max(crawl_result_id, (committed_ms, crawl_result_id)) AS i FROM batch),
+s AS (SELECT *, CASE WHEN removal THEN 'removed' WHEN object_id IS NULL THEN 'unavailable' WHEN lower(split_part(meta, ';', 1)) = 'text/gemini' THEN 'included' ELSE 'excluded_by_body_mime' END AS body_state FROM batch),
+f AS (SELECT * FROM (SELECT *, sum(CASE WHEN body_state = 'included' THEN raw_bytes ELSE 0 END) OVER w AS held, row_number() OVER w AS n FROM s WINDOW w AS (ORDER BY committed_ms, crawl_result_id ROWS UNBOUNDED PRECEDING)) WHERE held <= {RESULT_BYTES} OR n = 1), {_RESULT_ROWS.format("f")},
+z AS (SELECT string_agg({_ITEM}, ',' ORDER BY committed_ms, crawl_result_id) AS items, max(committed_ms) AS committed_ms, arg_max(crawl_result_id, (committed_ms, crawl_result_id)) AS final_id FROM r)
+SELECT concat('{{"batch_token":"{_TOKEN}{SINCE}.0.', c, '.', i, '","format":"palimpsest-warc-batch-1","mode":"archive","next_batch_token":', CASE WHEN (committed_ms, final_id) < (c, i) THEN concat('"{_TOKEN}', committed_ms, '.', final_id, '.', c, '.', i, '"') ELSE 'null' END, ',"results":[', items, ']}}') AS json,
+  committed_ms, final_id, (committed_ms, final_id) < (c, i) AS has_more FROM z, ends WHERE items IS NOT NULL"""
+)
 def batch_manifest(s, d):
-    return feeds.manifest(feeds.page(feeds.feed(_events(s, d), USE, (SINCE, 0))), ["text/gemini"]).select("crawl_result_id", "body_state")
+    """A batch's whole manifest: tokens, results in full, what becomes of each body, and the time of its final row."""
+    filters = ["text/gemini"]
+    page = feeds.page(feeds.feed(_events(s, d), USE, (SINCE, 0), AT), 1001)
+    last = page.agg(F.max(F.struct("committed_ms", "crawl_result_id")).alias("e")).select("e.*").first()  # one row
+    last = (last[0] or 0, last[1] or 0)
+    rows = _results(s, d, feeds.manifest(feeds.budget(page, RESULT_BYTES, filters), filters))
+    end = (F.lit(last[0]), F.lit(last[1]))
+    token = lambda first: formats.batch_token(F.lit(SINCE), F.lit(AT), F.lit("archive"), [], filters, None, first, end)
+    return feeds.batch_document(rows, filters, "archive", token((F.lit(SINCE), F.lit(0))), token((F.col("c"), F.col("i"))), last)
 
 
 @query("SELECT crawl_result_id, coalesce(lower(split_part(meta, ';', 1)) LIKE 'text/%' AND contains(meta, '/') AND meta NOT LIKE '/%', FALSE) AS body_match FROM captures")
@@ -130,11 +173,6 @@ def body_match(s, d):
     return src.captures(s, d).select("crawl_result_id", mime.body_matches("meta", ["text/*"]).alias("body_match"))
 
 
-@query(f"WITH {BATCH} SELECT crawl_result_id, concat('{{\"action\":\"', CASE WHEN removal THEN 'remove' ELSE 'upsert' END, '\",\"id\":', crawl_result_id, ',\"url\":\"', url, '\",\"committed_ms\":', committed_ms, CASE WHEN removal THEN '' ELSE concat(',\"status_code\":', status_code, ',\"meta\":\"', meta, '\"', CASE WHEN raw_bytes IS NULL THEN '' ELSE concat(',\"raw_bytes\":', raw_bytes) END) END, '}}') AS json FROM batch JOIN (SELECT page_id, url FROM cap_pages) USING (page_id)")
-def feed_json(s, d):
-    return feeds.as_json(feeds.page(feeds.feed(_events(s, d), USE, (SINCE, 0))).join(src.pages(s, d).select("page_id", "url"), "page_id"))
-
-
 TOP = f"top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY committed_ms DESC, crawl_result_id DESC) AS rn FROM captures WHERE {VIS} AND committed_ms <= {AT}) WHERE rn = 1)"
 
 

@@ -3,6 +3,7 @@ import uuid
 import pytest
 
 from palimpsest.operators import objects
+from palimpsest.sources import warc
 
 
 WANTED = "position long, blake2b_256 binary, raw_bytes long"
@@ -43,7 +44,74 @@ def test_warc(spark):
     )
     with pytest.raises(ValueError):
         objects.warc_record("a\nb", b"", 0)
-    rows = spark.createDataFrame([("gemini://h/#x", b"one", 1000), ("gemini://h/2", None, 2000)], "url string, body binary, committed_ms long").coalesce(1)
-    parts = objects.warc_parts(rows, {"mode": "archive"}).collect()
-    raw = zstandard.ZstdDecompressor().decompressobj().decompress(bytes(parts[0].data))
-    assert raw.count(b"WARC/1.0") == 2 and b"urn:batch:manifest" in raw and b"gemini://h/\r\n" in raw and parts[0].piece == 0
+
+
+def unpacked(*files):
+    import io
+
+    import zstandard
+
+    data = b"".join(files)
+    with zstandard.ZstdDecompressor().stream_reader(io.BytesIO(data), read_across_frames=True) as z:
+        return list(warc.records(io.BufferedReader(z)))
+
+
+def test_batch_is_one_stream(spark):
+    """The manifest first, dated by the final row, then what is included, in order."""
+    rows = spark.createDataFrame([("gemini://h/#x", b"one", "included", 1_704_067_201_999, 4), ("gemini://h/2", b"no", "excluded_by_body_mime", 1_704_067_203_000, 6), ("gemini://h/0", b"zero", "included", 1_704_067_200_000, 9)], "url string, body binary, body_state string, committed_ms long, crawl_result_id long")
+    document = spark.createDataFrame([('{"results":[]}', 1_704_067_203_000)], "json string, committed_ms long")
+    (row,) = objects.warc_batch(rows, document).collect()
+    got = [(h["WARC-Target-URI"], h["WARC-Date"], b) for h, b in unpacked(bytes(row.data))]
+    assert got == [(objects.MANIFEST, "2024-01-01T00:00:03Z", b'{"results":[]}'), ("gemini://h/0", "2024-01-01T00:00:00Z", b"zero"), ("gemini://h/", "2024-01-01T00:00:01Z", b"one")]
+    assert objects.warc_batch(rows.limit(0), document.limit(0)).count() == 0
+
+
+def exported(spark, n):
+    return spark.range(n).selectExpr("concat('gemini://h/', id) AS url", "CASE WHEN id % 7 > 0 THEN encode(repeat(concat('line ', id, '\n'), cast(id % 50 AS int)), 'UTF-8') END AS body", "1704067200000 + id * 1000 AS committed_ms", "id AS crawl_result_id")
+
+
+def test_export(spark, tmp_path):
+    """Bytes come back equal, the manifest tells all parts and is dated by the final row, which may have no body; empty tasks write nothing."""
+    import json
+
+    warc.register(spark)
+    place, df = str(tmp_path / "out"), exported(spark, 500).repartition(6)
+    df.write.format("warc").option("mode", "researcher").mode("append").save(place)
+    back = spark.read.format("warc").load(place)
+    assert sorted(map(tuple, back.select("url", "body", "committed_ms").collect())) == sorted(map(tuple, df.where("body IS NOT NULL").select("url", "body", "committed_ms").collect()))
+    names = sorted(p.name for p in (tmp_path / "out").iterdir())
+    assert names[0].startswith("manifest-") and all(n.endswith(warc.END) for n in names)
+    whole = unpacked(*[(tmp_path / "out" / n).read_bytes() for n in names])
+    told = json.loads(whole[0][1])
+    assert whole[0][0]["WARC-Date"] == "2024-01-01T00:08:19Z" and len(whole) == 1 + told["records"] == 1 + df.where("body IS NOT NULL").count()
+    assert [p["name"] for p in told["parts"]] == names[1:] and told["mode"] == "researcher" and max(p["last"]["crawl_result_id"] for p in told["parts"]) <= 499
+    df.where("crawl_result_id = 1").repartition(3).write.format("warc").mode("overwrite").save(place)
+    assert spark.read.format("warc").load(place).count() == 1 and len(list((tmp_path / "out").iterdir())) == 2
+
+
+def test_export_that_fails_leaves_no_file(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    warc.register(spark)
+    place = tmp_path / "out"
+    bad = exported(spark, 300).repartition(4).withColumn("url", F.when(F.col("crawl_result_id") == 255, "two\nlines").otherwise(F.col("url")))
+    with pytest.raises(Exception, match="invalid WARC target"):
+        bad.write.format("warc").mode("append").save(str(place))
+    assert not list(place.rglob("*"))
+
+
+def test_digest_collisions(spark, monkeypatch):
+    """Bodies of one digest are compared: among the new ones, and with what is stored."""
+    none = spark.createDataFrame([], "blake2b_256 binary, raw_bytes long, format int, data binary")
+    body = lambda *b: spark.createDataFrame([(x,) for x in b], "body binary")
+    store = objects.put(none, body(b"first"))
+    from pyspark.sql import functions as F
+
+    alike = lambda c: F.encode(F.lit("0" * 32), "UTF-8")
+    monkeypatch.setattr(objects, "blake2b_256", alike)
+    with pytest.raises(Exception, match="digest collision"):
+        objects.put(none, body(b"first", b"second")).collect()
+    same = store.withColumn("blake2b_256", alike("x"))
+    assert objects.put(same, body(b"first", b"first")).count() == 1
+    with pytest.raises(Exception, match="digest collision"):
+        objects.put(same, body(b"other")).collect()
