@@ -196,11 +196,9 @@ def upsert_registry(known: DataFrame, judged: DataFrame) -> DataFrame:
 def registry(evaluations: DataFrame) -> DataFrame:
     """Pages that are feeds by their last evaluation: page_id, feed_type, first and last recognised. A type of null or a status of 5x takes a page out.
 
-    First is since it was last taken out.
+    First is since it was last taken out. Sums by page before any shuffle, and what is joined back has a row for each page that was ever taken out, so a page of many evaluations is no burden.
     """
-    w = Window.partitionBy("page_id").orderBy("crawl_result_id")
-    gone = F.col("feed_type").isNull() | F.col("status_code").between(50, 59)
-    rows = evaluations.withColumn("_era", F.sum(F.when(gone, 1).otherwise(0)).over(w)).withColumn("_gone", gone)
-    last = rows.groupBy("page_id").agg(F.max("_era").alias("_era"))
-    kept = rows.where(~F.col("_gone")).join(last, ["page_id", "_era"])
+    gone = F.col("feed_type").isNull() | F.coalesce(F.col("status_code").between(50, 59), F.lit(False))
+    out = evaluations.where(gone).groupBy("page_id").agg(F.max("crawl_result_id").alias("_gone"))
+    kept = evaluations.where(~gone).join(out, "page_id", "left").where(F.col("_gone").isNull() | (F.col("crawl_result_id") > F.col("_gone")))
     return kept.groupBy("page_id").agg(F.max_by("feed_type", "crawl_result_id").alias("feed_type"), F.min("committed_ms").alias("first_recognized_ms"), F.max("committed_ms").alias("last_recognized_ms"))

@@ -36,6 +36,8 @@ TABLES = {
     "robots": "host_id long, robots_page_id long, robots_crawl_result_id long, checked_ms long, expires_ms long, parser_version long, compiled_rules string",
 }
 KEYS = {"hosts": "authority", "pages": "url", "objects": "blake2b_256", "certificates": "blake2b_256", "heads": "page_id", "queue": "page_id", "automatic": "page_id", "feeds": "page_id", "security": "page_id", "robots": "host_id"}
+#: Tables that rows are looked up in by more than their key.
+BLOOMS = {"pages": ("page_id",), "objects": ("object_id",), "certificates": ("certificate_id",), "captures": ("crawl_result_id",)}
 MOST_META, MOST_POLICY = 1024, 64 << 10
 
 
@@ -228,13 +230,17 @@ def applied(state: dict[str, DataFrame], made: dict[str, Append | Merge]) -> dic
 
 
 def publish(store: Store, crawls: DataFrame, robots: DataFrame, objects: DataFrame, now: int, writer: str | None = None, batch: int | None = None) -> int:
-    """Commits a batch to a store's tables as one version: all of it, once, or nothing. A store without tables gets them."""
+    """Commits a batch to a store's tables as one version: all of it, once, or nothing. A store without tables gets them.
+
+    Events are kept twice: in commit order, for feeds, and in buckets by page (captures), for a page's history.
+    """
     old = store.manifest()
     if batch is not None and batch <= old["writers"].get(writer, -1):
         return old["version"]
     state = empty_state(store.spark) | {t: store.read(t, manifest=old) for t in old["tables"] if t in TABLES}
     last_id, last_ms = old["facts"].get("crawl_result_id", 0), old["facts"].get("committed_ms", 0)
     made = changes(state, crawls, robots, objects, now, last_id, last_ms)
+    made["captures"] = Append(made["events"].rows, ("page_id", "committed_ms", "crawl_result_id"), "page_id")
     facts = {"crawl_result_id": last_id + made["events"].rows.count(), "committed_ms": max(now, last_ms)}
     return store.commit(made, writer, batch, facts, old["version"])
 
@@ -243,10 +249,11 @@ def open_store(spark: SparkSession, place: str, buckets: int = 64) -> Store:
     """The archive's tables at a place, made where there are none; claims that a writer left are free again."""
     from . import frontier
 
-    store = Store(spark, place, KEYS, buckets)
+    store = Store(spark, place, KEYS, buckets, BLOOMS)
     m = store.manifest()
     if not m["tables"]:
-        store.commit({name: Merge(rows) if name in KEYS else Append(rows) for name, rows in empty_state(spark).items()}, base=0)
+        empty = empty_state(spark)
+        store.commit({name: Merge(rows) if name in KEYS else Append(rows) for name, rows in empty.items()} | {"captures": Append(empty["events"], ("page_id",), "page_id")}, base=0)
     elif (left := store.read("queue", manifest=m).where("state_code = 1")).head(1):
         store.commit({"queue": Merge(frontier.recover(left))}, base=m["version"])
     return store

@@ -62,6 +62,20 @@ def statistics(stats: DataFrame) -> DataFrame:
     )
 
 
+def status(progress: DataFrame, run: dict[str, int], snapshot: str) -> DataFrame:
+    """One row: json, the state of a crawl: what the archive holds (progress: pages, queued, claimed, crawl_results, objects) and what this run has done (claimed, processed, completed, failed, blocked, workers)."""
+    counts = {f"{k}_this_run": F.lit(run.get(k, 0)) for k in ("claimed", "processed", "completed", "failed", "blocked")} | {"workers_alive": F.lit(run.get("workers", 0)), "snapshot": F.lit(snapshot)}
+    fields = counts | {c: F.col(c) for c in ("pages", "crawl_results", "objects")} | {"queue": F.struct("claimed", "queued")}
+    return progress.select(F.to_json(F.struct(*[fields[k].alias(k) for k in sorted(fields)])).alias("json"))
+
+
+def retrieved(results: DataFrame, mode: str) -> DataFrame:
+    """crawl_result_id and json of retrieved captures: the result (json, as feed.result_json gives it) with the mode, and body and certificate in base64 where there are any."""
+    part = lambda name, c: F.when(F.col(c).isNotNull(), F.concat(F.lit(f',"{name}":"'), F.regexp_replace(F.base64(c), "[\\r\\n]", ""), F.lit('"'))).otherwise("")
+    text = F.concat(F.expr("left(json, length(json) - 1)"), part("body_base64", "body"), part("certificate_der_base64", "certificate"), F.lit(f',"mode":"{mode}"}}'))
+    return results.select("crawl_result_id", text.alias("json"))
+
+
 def profile(samples: DataFrame, top: int = 20) -> DataFrame:
     """sql (on one line), steps, rows, total_ms, mean_ms and max_ms of the statements that took longest, and position. samples: sql, row (whether the step gave one), ms."""
     from pyspark.sql import Window

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import formats, gemtext, mime, policy, robots, urls
-from ..operators import catalog, frontier, graph, history
+from ..operators import catalog, frontier, graph, history, render
 from ..operators import certificates as certs
 from ..operators import feed as feeds
 from ..session import new_place
@@ -181,6 +181,18 @@ def retrieve_asof(s, d):
     return history.as_of(src.captures(s, d), USE, AT).select("page_id", "crawl_result_id", "committed_ms", "status_code")
 
 
+_PLAIN_JSON = _RESULT_JSON.replace("'{\"action\":\"', CASE WHEN removal THEN 'remove\"' ELSE concat('upsert\"', CASE WHEN object_id IS NULL THEN '' ELSE concat(',\"body_blake2b_256\"", "'{', CASE WHEN removal THEN '' ELSE concat('', CASE WHEN object_id IS NULL THEN '' ELSE concat('\"body_blake2b_256\"").replace(", raw_bytes) END) END, {state}", ", raw_bytes, ',') END) END").replace("concat(',\"certificate_blake2b_256\":\"', sha256(concat('cert', certificate_id)), '\"')", "concat('\"certificate_blake2b_256\":\"', sha256(concat('cert', certificate_id)), '\",')").replace("',\"committed_at", "'\"committed_at")
+
+
+@query(f"WITH {TOP}, t2 AS (SELECT *, FALSE AS removal FROM top), {_RESULT_ROWS.format('t2')}, j AS (SELECT crawl_result_id, certificate_id, page_id, status_code, {_PLAIN_JSON.replace('{target}', chr(39) * 2)} AS json FROM r) SELECT crawl_result_id, concat(json[1 : len(json) - 1], CASE WHEN status_code = 20 THEN concat(',\"body_base64\":\"', to_base64(encode(concat('body of ', page_id, repeat(' and more', 20)))), '\"') ELSE '' END, CASE WHEN certificate_id IS NULL THEN '' ELSE concat(',\"certificate_der_base64\":\"', to_base64(encode(concat('cert-', certificate_id))), '\"') END, ',\"mode\":\"archive\"}}') AS json FROM j")
+def retrieve_json(s, d):
+    """Each page's capture at a time, with its body and certificate in base64."""
+    rows = _results(s, d, history.as_of(src.captures(s, d), USE, AT)).withColumns({
+        "body": F.when(F.col("status_code") == 20, F.encode(F.concat(F.lit("body of "), "page_id", F.lit(" and more" * 20)), "UTF-8")), "certificate": F.when(F.col("certificate_id").isNotNull(), F.encode(F.concat(F.lit("cert-"), "certificate_id"), "UTF-8")),
+    })
+    return render.retrieved(feeds.result_json(rows).join(rows.select("crawl_result_id", "body", "certificate"), "crawl_result_id"), "archive")
+
+
 @query(f"SELECT crawl_result_id, started_ms, row_number() OVER (ORDER BY started_ms DESC, crawl_result_id DESC) AS position FROM captures WHERE {VIS} AND page_id = 3 AND started_ms < {AT} ORDER BY started_ms DESC, crawl_result_id DESC LIMIT 100")
 def archive_page(s, d):
     rows = history.archive(src.captures(s, d), 3, USE, (AT, 1)).select("crawl_result_id", "started_ms")
@@ -246,6 +258,12 @@ def catalog_stats(s, d):
     return src.captures(s, d).agg(F.countDistinct("page_id").alias("pages"), F.countDistinct("host_id").alias("hosts"), F.count("*").alias("crawl_results"), F.countDistinct("object_id").alias("objects"), F.countDistinct("certificate_id").alias("certificates"))
 
 
+@query("SELECT concat('{\"blocked_this_run\":0,\"claimed_this_run\":0,\"completed_this_run\":7,\"crawl_results\":', (SELECT count(*) FROM captures), ',\"failed_this_run\":0,\"objects\":', (SELECT count(DISTINCT object_id) FROM captures), ',\"pages\":', (SELECT count(*) FROM cap_pages), ',\"processed_this_run\":9,\"queue\":{\"claimed\":', count(*) FILTER (state_code = 1), ',\"queued\":', count(*) FILTER (state_code = 0), '},\"snapshot\":\"here\",\"workers_alive\":2}') AS json FROM queue")
+def status_json(s, d):
+    both = catalog_stats(s, d).crossJoin(progress_stats(s, d))  # a row each
+    return render.status(both, {"processed": 9, "completed": 7, "workers": 2}, "here")
+
+
 @query("SELECT count(*) FILTER (state_code = 0) AS queued, count(*) FILTER (state_code = 1) AS claimed FROM queue")
 def progress_stats(s, d):
     return _queue(s, d).agg(F.count_if(F.col("state_code") == 0).alias("queued"), F.count_if(F.col("state_code") == 1).alias("claimed"))
@@ -473,9 +491,10 @@ def known_feeds(s, d):
     return top.select("feed_type", "url", "authority", "last_recognized_ms", F.row_number().over(Window.orderBy("feed_type", "url")).cast("long").alias("position"))
 
 
-@query(f"SELECT p.url, row_number() OVER (ORDER BY p.url) AS position FROM cap_pages p JOIN captures c ON c.crawl_result_id = p.latest_crawl_result_id WHERE p.page_id % 3 = 0 AND c.{VIS} ORDER BY p.url LIMIT 1000")
+@query(f"SELECT p.url, row_number() OVER (ORDER BY p.url) AS position FROM cap_pages p JOIN captures c ON c.crawl_result_id = p.latest_crawl_result_id WHERE c.{VIS} AND lower(c.meta) = 'text/plain' ORDER BY p.url LIMIT 1000")
 def known_security_txt(s, d):
-    rows = src.pages(s, d).where("page_id % 3 = 0").join(_seen_last(s, d).select("page_id"), "page_id", "left_semi").select("url").orderBy("url").limit(1000)
+    """Registered are pages whose last capture is plain text."""
+    rows = src.pages(s, d).join(_seen_last(s, d).where(mime.media_type("meta") == "text/plain").select("page_id"), "page_id", "left_semi").select("url").orderBy("url").limit(1000)
     return rows.withColumn("position", F.row_number().over(Window.orderBy("url")).cast("long"))
 
 

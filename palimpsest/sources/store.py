@@ -27,10 +27,12 @@ class Conflict(RuntimeError):
 
 @dataclass
 class Append:
-    """Rows to add to a table that only grows; order: columns by whose ranges files are made, so that their statistics tell readers what to skip."""
+    """Rows to add to a table that only grows; order: columns by whose ranges files are made, so that their statistics tell readers what to skip. by: a column by whose hash rows are
+    dealt to buckets instead, in that order within each, so that the rows of one value are found in one bucket (``Store.look_up``)."""
 
     rows: DataFrame
     order: tuple[str, ...] = ()
+    by: str | None = None
 
 
 @dataclass
@@ -42,9 +44,9 @@ class Merge:
 
 
 class Store:
-    def __init__(self, spark: SparkSession, place: str, keys: dict[str, str], buckets: int = BUCKETS):
-        """keys: the key column of each keyed table; any other table only grows."""
-        self.spark, self.place, self.keys, self.buckets = spark, place.rstrip("/"), keys, buckets
+    def __init__(self, spark: SparkSession, place: str, keys: dict[str, str], buckets: int = BUCKETS, blooms: dict[str, tuple[str, ...]] | None = None, row_group_bytes: int = 16 << 20):
+        """keys: the key column of each keyed table; any other table only grows. blooms: columns of tables that rows are looked up by besides, which get a Bloom filter for each row group."""
+        self.spark, self.place, self.keys, self.buckets, self.blooms, self.row_group_bytes = spark, place.rstrip("/"), keys, buckets, blooms or {}, row_group_bytes
         jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.place).getFileSystem(conf)
@@ -107,11 +109,11 @@ class Store:
         m = self.manifest(version)
         return {t: self.read(t, manifest=m) for t in m["tables"]}
 
-    def look_up(self, table: str, key) -> DataFrame:
-        """The row of a key of a keyed table, from its one bucket."""
+    def look_up(self, table: str, value) -> DataFrame:
+        """The rows of a key (or of a value of the column that a growing table's buckets go by), from their one bucket. Files are in that order, so few row groups are read."""
         m = self.manifest()
-        column = self.keys[table]
-        lit = F.lit(key).cast(StructType.fromJson(m["tables"][table]["schema"])[column].dataType)
+        column = self.keys.get(table) or m["tables"][table]["by"]
+        lit = F.lit(value).cast(StructType.fromJson(m["tables"][table]["schema"])[column].dataType)
         bucket = self.spark.range(1).select(self._bucket(lit)).first()[0]
         return self.read(table, of=[bucket], manifest=m).where(F.col(column) == lit)
 
@@ -139,35 +141,56 @@ class Store:
     def _new_folder(self, name: str) -> str:
         return f"data/{name}/{uuid.uuid4().hex}"
 
+    def _writer(self, name: str, rows: DataFrame):
+        out = rows.write.option("parquet.block.size", self.row_group_bytes)
+        for c in self.blooms.get(name, ()):
+            out = out.option(f"parquet.bloom.filter.enabled#{c}", "true")
+        return out
+
+    def _dealt(self, name: str, folder: str, rows: DataFrame, by: str, order: tuple[str, ...], buckets: list[int]) -> dict[str, str]:
+        """Writes rows by buckets of a column; each bucket's folder. One that has no rows has none."""
+        self._writer(name, rows.withColumn("_bucket", self._bucket(F.col(by))).repartition(max(1, len(buckets)), "_bucket").sortWithinPartitions("_bucket", *order)).partitionBy("_bucket").parquet(f"{self.place}/{folder}")
+        return {str(b): f"{folder}/_bucket={b}" for b in buckets if self._fs.exists(self._path(f"{self.place}/{folder}/_bucket={b}"))}
+
+    def _touched(self, keys: DataFrame, column: str) -> list[int]:
+        return sorted(r[0] for r in keys.select(self._bucket(F.col(column)).alias("b")).distinct().collect())  # as many as there are buckets, at most
+
     def _appended(self, name: str, change: Append, old: dict) -> dict:
         entry, folder = old["tables"].get(name), self._new_folder(name)
         rows = change.rows if entry is None else change.rows.select([f.name for f in StructType.fromJson(entry["schema"])])
-        if change.order:
-            rows = rows.repartitionByRange(*change.order).sortWithinPartitions(*change.order)
-        rows.write.parquet(f"{self.place}/{folder}")
-        before = entry["parts"][""] if entry else []
-        return {"schema": entry["schema"] if entry else rows.schema.jsonValue(), "parts": {"": [*before, folder]}}
+        parts = {b: list(ps) for b, ps in entry["parts"].items()} if entry else {}
+        if change.by:
+            for b, p in self._dealt(name, folder, rows, change.by, change.order, self._touched(rows, change.by)).items():
+                parts[b] = [*parts.get(b, []), p]
+        else:
+            if change.order:
+                rows = rows.repartitionByRange(*change.order).sortWithinPartitions(*change.order)
+            self._writer(name, rows).parquet(f"{self.place}/{folder}")
+            parts[""] = [*parts.get("", []), folder]
+        return {"schema": entry["schema"] if entry else rows.schema.jsonValue(), "parts": parts, "by": change.by}
 
     def _merged(self, name: str, change: Merge, old: dict) -> dict:
         entry, folder, key = old["tables"].get(name), self._new_folder(name), self.keys[name]
         rows = change.rows if entry is None else change.rows.select([f.name for f in StructType.fromJson(entry["schema"])])
         asked = rows.select(key) if change.gone is None else rows.select(key).union(change.gone.select(key))
-        bucket = self._bucket(F.col(key))
-        touched = sorted(r[0] for r in asked.select(bucket.alias("b")).distinct().collect())  # as many as there are buckets, at most
+        touched = self._touched(asked, key)
         stays = self.read(name, of=touched, manifest=old)
         if stays is not None:
             rows = stays.join(asked, key, "left_anti").select(rows.columns).unionByName(rows)
-        rows.withColumn("_bucket", bucket).repartition(max(1, len(touched)), "_bucket").sortWithinPartitions(key).write.partitionBy("_bucket").parquet(f"{self.place}/{folder}")
-        written = {b for b in touched if self._fs.exists(self._path(f"{self.place}/{folder}/_bucket={b}"))}  # one that became empty has no folder
+        written = self._dealt(name, folder, rows, key, (key,), touched)
         kept = {b: p for b, p in (entry["parts"] if entry else {}).items() if int(b) not in touched}
-        return {"schema": entry["schema"] if entry else change.rows.schema.jsonValue(), "parts": kept | {str(b): [f"{folder}/_bucket={b}"] for b in sorted(written)}}
+        return {"schema": entry["schema"] if entry else change.rows.schema.jsonValue(), "parts": kept | {b: [p] for b, p in written.items()}}
 
     def compact(self, name: str, order: tuple[str, ...] = ()) -> int:
-        """A growing table's folders as one, as a version of its own."""
+        """A growing table's folders as one (for each bucket, where it has them), as a version of its own."""
         old = self.manifest()
-        folder, rows = self._new_folder(name), self.read(name, manifest=old)
-        (rows.repartitionByRange(*order).sortWithinPartitions(*order) if order else rows).write.parquet(f"{self.place}/{folder}")
-        tables = old["tables"] | {name: old["tables"][name] | {"parts": {"": [folder]}}}
+        folder, rows, by = self._new_folder(name), self.read(name, manifest=old), old["tables"][name].get("by")
+        if by:
+            parts = {b: [p] for b, p in self._dealt(name, folder, rows, by, order or (by,), sorted(map(int, old["tables"][name]["parts"]))).items()}
+        else:
+            self._writer(name, rows.repartitionByRange(*order).sortWithinPartitions(*order) if order else rows).parquet(f"{self.place}/{folder}")
+            parts = {"": [folder]}
+        tables = old["tables"] | {name: old["tables"][name] | {"parts": parts}}
         self._publish(old | {"version": old["version"] + 1, "tables": tables})
         return old["version"] + 1
 

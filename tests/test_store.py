@@ -65,3 +65,32 @@ def test_one_of_two_writers_wins(spark, store):
     with pytest.raises(Conflict):
         store.commit({"log": Append(spark.range(2, 3))}, base=1)
     assert rows(store.read("log")) == [(0,), (1,)] and store.versions() == [1, 2]
+
+
+def scanned(df):
+    """Rows that a query's scans have given, after row groups were skipped."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan()
+    leaves = plan.collectLeaves()
+    return sum(leaves.apply(i).metrics().apply("numOutputRows").value() for i in range(leaves.size()))
+
+
+def test_look_ups_read_few_row_groups(spark, tmp_path):
+    """By the key, by a column with a Bloom filter, and by the column that a growing table's buckets go by; its folders add up and can be made one."""
+    pages = spark.range(40_000).selectExpr("concat('gemini://h', id % 97, '/', sha2(cast(id AS string), 256)) AS url", "xxhash64(id) AS page_id", "repeat(sha2(cast(id AS string), 512), 2) AS pad")
+    store = Store(spark, f"file://{tmp_path}/p", {"pages": "url"}, 4, {"pages": ("page_id",)}, row_group_bytes=64 << 10)
+    store.commit({"pages": Merge(pages)})
+    row = pages.where("page_id = xxhash64(777L)").first()
+    by_url = store.look_up("pages", row.url)
+    assert by_url.first() == row and scanned(by_url) < 1500
+    by_id = store.read("pages").where(F.col("page_id") == row.page_id)
+    assert by_id.first() == row and scanned(by_id) < 4000
+    assert scanned(store.read("pages").where(F.col("pad") == row.pad)) > 10_000  # what has neither order nor filter
+
+    captures = lambda lo: spark.range(lo, lo + 20_000).selectExpr("id % 500 AS page_id", "id AS crawl_result_id", "repeat(sha2(cast(id AS string), 512), 2) AS pad")
+    for lo in (0, 20_000):
+        store.commit({"captures": Append(captures(lo), ("page_id", "crawl_result_id"), "page_id")})
+    for _ in range(2):
+        found = store.look_up("captures", 123)
+        assert sorted(r.crawl_result_id for r in found.collect()) == list(range(123, 40_000, 500)) and scanned(found) < 6000
+        store.compact("captures", ("page_id", "crawl_result_id"))
