@@ -62,11 +62,22 @@ def is_atom(body: pd.Series) -> pd.Series:
     return body.map(one)
 
 
+def feed_signs(meta: str | Column, path: Column, gemsub: Column, atom: Column) -> dict[str, Column]:
+    """By which signs a body is a feed, the strongest first."""
+    kind = F.coalesce(media_type(meta), F.lit(""))
+    return {"twtxt": path.endswith("/twtxt.txt") & kind.isin("text/plain", "text/markdown", "text/x-rst"), "rss": kind == "application/rss+xml", "atom": atom, "gemsub": gemsub}
+
+
+def first_sign(signs: dict[str, Column]) -> Column:
+    out = None
+    for name, sign in signs.items():
+        out = F.when(sign, name) if out is None else out.when(sign, name)
+    return out
+
+
 def feed_type(meta: Column, path: Column, gemsub: Column, atom: Column) -> Column:
     """twtxt before rss before atom before gemsub; null for none."""
-    kind = media_type(meta)
-    twtxt = path.endswith("/twtxt.txt") & kind.isin("text/plain", "text/markdown", "text/x-rst")
-    return F.when(twtxt, "twtxt").when(kind == "application/rss+xml", "rss").when(atom, "atom").when(gemsub, "gemsub")
+    return first_sign(feed_signs(meta, path, gemsub, atom))
 
 
 def rewritten(df: DataFrame, key: str, body: str, url: str) -> DataFrame:

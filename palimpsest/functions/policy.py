@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -177,43 +180,53 @@ def starts_with_any(text: Column, prefixes: tuple[str, ...]) -> Column:
     return search(0, len(kept)) if kept else F.lit(False)
 
 
-def _conditions() -> list[tuple[str, str]]:
-    """Rule names and SQL conditions over url, host, port, path, lpath (ASCII lower case), param and _prefixed, in order."""
-    quoted = lambda xs: ", ".join(f"'{x}'" for x in xs)
-    ends = lambda c, xs: " OR ".join(f"{c} LIKE '%{x}'" for x in xs)
-    has = lambda xs: f"arrays_overlap(split(path, '/'), array({quoted(xs)}))"
-    git = " OR ".join(f"contains(param, 'a={r}')" for r in GIT_ROUTES if r != "raw")
+def _rules(r: Column) -> list[tuple[str, Column]]:
+    """Reasons and their conditions over an address r (url, host, port, path, lpath in ASCII lower case, param), in order."""
+    url, host, path, lpath, param = (r[c] for c in ("url", "host", "path", "lpath", "param"))
+    ends = lambda c, xs: reduce(or_, [c.endswith(x) for x in xs])
+    has = lambda c, xs: reduce(or_, [c.contains(x) for x in xs])
+    on_route = lambda names: F.arrays_overlap(F.split(path, "/"), F.array(*map(F.lit, names)))
+    action = [f"a={x}" for x in GIT_ROUTES if x != "raw"]
+    thrice = F.exists(F.split(path, "/"), lambda x: (x != "") & (F.size(F.filter(F.split(path, "/"), lambda y: y == x)) >= 3))
     return [
-        ("port-443", "port = 443"),
-        ("local-address", f"host IN ({quoted(LOCAL_HOSTS)}) OR host LIKE '127.0.0.%' OR {ends('host', LOCAL_ENDS)}"),
-        ("hidden-service", "host LIKE '%.onion'"),
-        ("host", f"host IN ({quoted(HOSTS + DEAD_HOSTS)})"),
-        ("tarpit", "host = 'buffering.party' AND (path = '/tarpit' OR path LIKE '/tarpit/%')"),
-        ("known-unbounded-or-mirror", "_prefixed"),
-        ("git", f"path LIKE '/git/%' OR host LIKE 'git.%' OR contains(url, '.git/') OR {has(GIT_ROUTES)} OR {git} OR url LIKE '%/git.sh'"),
-        ("svn", f"contains(url, '/.svn/') OR {has(SVN_ROUTES)} OR contains(param, 'pathrev=') OR contains(param, 'peg=')"),
-        ("xkcd-archive", "contains(url, '/~xkcd/') OR contains(url, '/xkcd/')"),
-        ("maze-generator", "host = 'gem.pwarren.id.au' AND lpath = '/cgi-bin/maze.cgi'"),
-        ("archive-cached-view", "lpath LIKE '%/archive/cached' AND param <> ''"),
-        ("test-script", "contains(lpath, 'test_') AND (contains(lpath, '.py') OR contains(lpath, '.cgi'))"),
-        ("gemski-generator", "lpath LIKE '/gemski/play%' OR lpath LIKE '/ski/play%'"),
-        ("countdown-generator", "host = 'sava.rocks' AND lpath LIKE '/fun-stuff/%' AND contains(lpath, '-countdown/')"),
-        ("search-query", "lpath IN ('/search', '/search/') AND param <> ''"),
-        ("webring-navigation", ends("path", WEBRING)),
-        ("proxy-or-mirror", "contains(url, 'gopher:/:/') OR contains(url, 'rfc-mirror')"),
-        ("control-character", "url RLIKE '[\\\\x01-\\\\x1f]'"),
-        ("repeated-path-component", "exists(split(path, '/'), x -> x <> '' AND size(filter(split(path, '/'), y -> y = x)) >= 3)"),
-        ("commit-history", "url RLIKE '^((?!commits/).)*commits/[0-9A-Za-z]*/.'"),
+        ("port-443", r["port"] == 443),
+        ("local-address", host.isin(*LOCAL_HOSTS) | host.startswith("127.0.0.") | ends(host, LOCAL_ENDS)),
+        ("hidden-service", host.endswith(".onion")),
+        ("host", host.isin(*HOSTS, *DEAD_HOSTS)),
+        ("tarpit", (host == "buffering.party") & ((path == "/tarpit") | path.startswith("/tarpit/"))),
+        ("known-unbounded-or-mirror", starts_with_any(url, PREFIXES)),
+        ("git", path.startswith("/git/") | host.startswith("git.") | url.contains(".git/") | on_route(GIT_ROUTES) | has(param, action) | url.endswith("/git.sh")),
+        ("svn", url.contains("/.svn/") | on_route(SVN_ROUTES) | has(param, ("pathrev=", "peg="))),
+        ("xkcd-archive", has(url, ("/~xkcd/", "/xkcd/"))),
+        ("maze-generator", (host == "gem.pwarren.id.au") & (lpath == "/cgi-bin/maze.cgi")),
+        ("archive-cached-view", lpath.endswith("/archive/cached") & (param != "")),
+        ("test-script", lpath.contains("test_") & has(lpath, (".py", ".cgi"))),
+        ("gemski-generator", lpath.startswith("/gemski/play") | lpath.startswith("/ski/play")),
+        ("countdown-generator", (host == "sava.rocks") & lpath.startswith("/fun-stuff/") & lpath.contains("-countdown/")),
+        ("search-query", lpath.isin("/search", "/search/") & (param != "")),
+        ("webring-navigation", ends(path, WEBRING)),
+        ("proxy-or-mirror", has(url, ("gopher:/:/", "rfc-mirror"))),
+        ("control-character", url.rlike("[\\x01-\\x1f]")),
+        ("repeated-path-component", thrice),
+        ("commit-history", url.rlike("^((?!commits/).)*commits/[0-9A-Za-z]*/.")),
     ]
 
 
-def reasons() -> list[str]:
-    """All reasons, in the order in which they are tried."""
-    return [name for name, _ in _conditions()]
+#: All reasons, in the order in which they are tried.
+REASONS = (
+    "port-443", "local-address", "hidden-service", "host", "tarpit", "known-unbounded-or-mirror", "git", "svn", "xkcd-archive", "maze-generator", "archive-cached-view", "test-script", "gemski-generator", "countdown-generator", "search-query", "webring-navigation", "proxy-or-mirror",
+    "control-character", "repeated-path-component", "commit-history",
+)
 
 
 def with_exclusion(df):
-    """df (url, host, port, path, param) with exclusion: the reason, null where the page may be fetched."""
-    rows = df.withColumns({"lpath": ascii_lower(F.col("path")), "_prefixed": starts_with_any(F.col("url"), PREFIXES)})
-    case = " ".join(f"WHEN {c} THEN '{name}'" for name, c in _conditions())
-    return rows.withColumn("exclusion", F.expr(f"CASE {case} END")).drop("lpath", "_prefixed")
+    """df (url, host, port, path, param) with exclusion: the reason, null where the page may be fetched.
+
+    The parts are bound once, as the variable of a function over an array of one, so that no optimiser puts their expressions into each of the rules.
+    """
+    one = F.struct(*[F.col(c).alias(c) for c in ("url", "host", "port", "path", "param")], ascii_lower(F.col("path")).alias("lpath"))
+
+    def first(r: Column) -> Column:
+        return reduce(lambda out, rule: out.when(rule[1], rule[0]), _rules(r), F)
+
+    return df.withColumn("exclusion", F.get(F.transform(F.array(one), first), 0))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import formats, gemtext, urls
-from ..operators import catalog, clients, frontier, history, objects, publish, render
+from ..operators import catalog, clients, frontier, history, judge, objects, publish, render
 from ..operators import feed as feeds
 from ..sources import captures as src
 from .queries import AT, FEED_SQL, GEM, PARTS, REG, SINCE, SLIM, SLIM_SQL, USE, _events, _gem, _queue, _registry, _seen_last, query
@@ -362,3 +362,27 @@ def feed_kind(s, d):
     meta = F.when(F.col("page_id") % 7 == 0, "application/rss+xml").otherwise("text/plain; charset=utf-8")
     path = F.when(F.col("page_id") % 4 == 0, "/a/twtxt.txt").otherwise("/a")
     return rows.select("page_id", gemtext.feed_type(meta, path, F.col("is_feed"), gemtext.is_atom("body")).alias("feed_type"))
+
+
+# What fetches tell, of six kinds by k: a page of gemtext, a redirect, a failure, a twtxt feed, a security.txt (a third of them missing), a site's RSS feed.
+_FETCHED = f"""SELECT page_id, page_id % 6 AS k, host, CASE page_id % 6 WHEN 3 THEN concat('gemini://', host, '/~u/twtxt.txt') WHEN 4 THEN concat('gemini://', host, '/.well-known/security.txt') WHEN 5 THEN concat('gemini://', host, '/') ELSE concat('gemini://', host, path) END AS url,
+  CASE WHEN page_id % 6 = 1 THEN 31 WHEN page_id % 6 = 2 OR page_id % 18 = 4 THEN 51 ELSE 20 END AS status_code, CASE page_id % 6 WHEN 0 THEN 'text/gemini; lang=en' WHEN 5 THEN 'application/rss+xml' ELSE 'text/plain' END AS meta,
+  CASE WHEN page_id % 6 = 0 THEN concat('# Log', chr(10), '=> /a', CAST(page_id AS VARCHAR(20)), ' 2024-01-02 one', chr(10), '=> /b 2024-01-03', chr(10), '=> /a', CAST(page_id AS VARCHAR(20)), ' 2024-01-04 again', chr(10), '=> gemini://example.net/no', chr(10), '=> gemini://tuxmachines.org/t', chr(10), '=> gemini://Far', CAST(page_id % 4 AS VARCHAR(20)), '.test:7070/x?y#z', chr(10), '=> https://web.test/') ELSE 'x' END AS body,
+  page_id % 36 = 8 AS failed, CASE WHEN page_id % 6 = 1 THEN CASE WHEN page_id % 12 = 1 THEN concat('gemini://far.test/r', CAST(page_id AS VARCHAR(20))) ELSE 'gemini://git.far.test/' END END AS redirected_to"""
+
+
+@query(
+    f"""WITH {GEM}, {PARTS}, f AS ({_FETCHED} FROM full_parts),
+l AS (SELECT page_id, CASE k WHEN 0 THEN list_concat([concat('gemini://', host, '/a', page_id), concat('gemini://', host, '/b')], ['gemini://gemini.tuxmachines.org/t', concat('gemini://far', page_id % 4, '.test:7070/x?y')]) WHEN 1 THEN CASE WHEN page_id % 12 = 1 THEN [redirected_to] ELSE [] END ELSE [] END AS links FROM f)
+SELECT page_id, k IN (0, 3, 4, 5) AS evaluated, k = 2 AND NOT failed AS retire, CAST(CASE k WHEN 0 THEN 2 + CASE WHEN regexp_matches(url, '^gemini://[^/]*/$') THEN 1 ELSE 0 END WHEN 3 THEN 4 WHEN 4 THEN 8 WHEN 5 THEN 5 ELSE 0 END AS BIGINT) AS targets, CASE k WHEN 0 THEN 'gemsub' WHEN 3 THEN 'twtxt' WHEN 5 THEN 'rss' END AS feed_type,
+  k = 4 AS security_evaluated, k = 4 AND status_code = 20 AS has_security, array_to_string(links, ' ') AS links,
+  array_to_string(list_prepend(concat('gemini://', host, '/.well-known/security.txt'), list_filter(list_distinct(list_transform(links, lambda x: concat(regexp_extract(x, '^gemini://[^/]*'), '/.well-known/security.txt'))), lambda y: y <> concat('gemini://', host, '/.well-known/security.txt'))).list_sort(), ' ') AS probes
+FROM f JOIN l USING (page_id)""",
+    prelude=False,
+)
+def judge_fetches(s, d):
+    """Each fetch with why its page is fetched again, which feed it is, the pages that it leads to (aliases followed, excluded ones left out) and where to look for a security.txt."""
+    fetched = s.sql(f"{_FETCHED.replace('VARCHAR(20)', 'STRING')} FROM {{p}}", p=urls.parts(_gem(s, d)))
+    rows = judge.judged(fetched.select("page_id", "url", "status_code", "meta", "body", "failed", "redirected_to"), "page_id")
+    listed = lambda c: F.transform(c, lambda x: x["url"])
+    return rows.select("page_id", "evaluated", "retire", "targets", "feed_type", "security_evaluated", "has_security", F.array_join(listed("links"), " ").alias("links"), F.array_join(F.array_sort(listed("probes")), " ").alias("probes"))

@@ -50,25 +50,29 @@ def stream_events(captures: DataFrame) -> DataFrame:
     return captures.select(COLUMNS).groupBy("page_id").applyInPandasWithState(step, CAPTURE + ", update_bitfield long", "robots long, version string", "append", GroupStateTimeout.NoTimeout)
 
 
-def stream_certificate_changes(captures: DataFrame, verified: set[int] = frozenset()) -> DataFrame:
-    """Alerts of a stream: host, capture, its certificate and the one before; none between two verified ones."""
+def stream_certificate_changes(captures: DataFrame, certificates: DataFrame | None = None) -> DataFrame:
+    """Alerts of a stream: host, capture, its certificate and the one before; none between two that certificates (certificate_id, pkix_verified; a table, joined as it is at each batch) has as verified."""
     ship(captures.sparkSession)
 
     def step(key, frames, state):
-        last = state.get if state.exists else None
-        out = []
         pdf = pd.concat(list(frames)).sort_values("crawl_result_id")
-        for row in pdf.itertuples():
-            cert = int(row.certificate_id)
-            if last and last[1] != cert and not (cert in verified and last[1] in verified):
-                out.append((key[0], int(row.crawl_result_id), cert, last[0], last[1], int(row.ended_ms)))
-            last = (int(row.crawl_result_id), cert)
-        state.update(last)
-        yield pd.DataFrame(out, columns=["host_id", "crawl_result_id", "certificate_id", "previous_crawl_result_id", "previous_certificate_id", "observed_ms"])
+        last = state.get if state.exists else (None, None)
+        ids, shown = pdf["crawl_result_id"].astype("Int64"), pdf["certificate_id"].astype("Int64")
+        out = pd.DataFrame({"host_id": key[0], "crawl_result_id": ids, "certificate_id": shown, "previous_crawl_result_id": ids.shift(1), "previous_certificate_id": shown.shift(1), "observed_ms": pdf["ended_ms"].astype("Int64")})
+        if last[0] is not None:
+            out.iloc[0, 3], out.iloc[0, 4] = last
+        state.update((int(ids.iloc[-1]), int(shown.iloc[-1])))
+        yield out[(out["previous_certificate_id"] != out["certificate_id"]).fillna(False)]
 
     schema = "host_id long, crawl_result_id long, certificate_id long, previous_crawl_result_id long, previous_certificate_id long, observed_ms long"
     rows = captures.where("certificate_id IS NOT NULL").select("host_id", "crawl_result_id", "certificate_id", "ended_ms")
-    return rows.groupBy("host_id").applyInPandasWithState(step, schema, "crawl_result_id long, certificate_id long", "append", GroupStateTimeout.NoTimeout)
+    moved = rows.groupBy("host_id").applyInPandasWithState(step, schema, "crawl_result_id long, certificate_id long", "append", GroupStateTimeout.NoTimeout)
+    if certificates is None:
+        return moved
+    now = certificates.select("certificate_id", F.col("pkix_verified").alias("_now"))
+    then = certificates.select(F.col("certificate_id").alias("previous_certificate_id"), F.col("pkix_verified").alias("_then"))
+    both = moved.join(now, "certificate_id", "left").join(then, "previous_certificate_id", "left")
+    return both.where(~(F.coalesce("_now", F.lit(False)) & F.coalesce("_then", F.lit(False)))).select(moved.columns)
 
 
 def write_batches(stream: DataFrame, place: str, checkpoint: str):

@@ -201,7 +201,7 @@ EXCLUDED = {
 
 def test_exclusion(spark):
     rows = policy.with_exclusion(urls.parts(spark.createDataFrame([(u,) for u in EXCLUDED], "url string"))).collect()
-    assert {r.url: r.exclusion for r in rows} == EXCLUDED and {x for x in EXCLUDED.values() if x} == set(policy.reasons())
+    assert {r.url: r.exclusion for r in rows} == EXCLUDED and {x for x in EXCLUDED.values() if x} == set(policy.REASONS)
 
 
 def test_prefix_search(spark):

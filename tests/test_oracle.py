@@ -14,7 +14,7 @@ def test_rules_are_reached(duck):
     """Queries over rules have rows for each of them."""
     from palimpsest.functions import policy
 
-    assert {r[0] for r in duck.sql(plans.SQL["exclusion_reason"]).project("exclusion").fetchall()} == {*policy.reasons(), None}
+    assert {r[0] for r in duck.sql(plans.SQL["exclusion_reason"]).project("exclusion").fetchall()} == {*policy.REASONS, None}
     assert {r[0] for r in duck.sql(plans.SQL["page_kind"]).project("kind").fetchall()} == {0, 1}
     assert len({r[0] for r in duck.sql(plans.SQL["robots_mask"]).project("mask").fetchall()}) > 2
 

@@ -262,3 +262,27 @@ def test_empty_batch_and_recovery(spark, tmp_path):
     store.commit({"queue": P.Merge(spark.createDataFrame([(1, 1, 1, 4, 7), (2, 1, 0, 4, 7)], P.TABLES["queue"]))})
     assert sorted(map(tuple, P.open_store(spark, place, 2).read("queue").collect())) == [(1, 1, 0, 4, 7), (2, 1, 0, 4, 7)]
     assert isinstance(Store(spark, place, P.KEYS).manifest()["facts"], dict)
+
+
+def test_stream_of_batches(spark, seeded, tmp_path):
+    """Micro-batches are published one by one, each once, also when the query starts anew without knowing what it had done."""
+    from palimpsest.streaming.publishing import publish_stream
+
+    store, plain = seeded
+    ids = claim_all(store, plain, random.Random(5))
+    urls = sorted(u for u, q in plain.queue.items() if q[0] == 1)[:2]
+    version = store.manifest()["version"]
+
+    def prepare(df):
+        rows = [result(random.Random(k), k, u, 1000, queue_page_id=ids[u], retire=False, evaluated=False, targets=0, next_enqueue_ms=None, feed_type=None, security_evaluated=False, has_security=False, probes=None, links=None, retry_ms=None) for k, u in enumerate(r.url for r in df.orderBy("url").collect())]
+        return *frames(spark, (rows, [], [(b"o1", 11), (b"o2", 22)])), 1000
+
+    for n, u in enumerate(urls):
+        spark.createDataFrame([(u,)], "url string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema("url string").parquet(str(tmp_path / "in"))
+        publish_stream(stream, store, str(tmp_path / "cp"), prepare).awaitTermination()
+        assert store.manifest()["version"] == version + n + 1 and store.read("events").count() == n + 1
+    assert store.read("captures").count() == 2
+    again = spark.readStream.schema("url string").parquet(str(tmp_path / "in"))
+    publish_stream(again, store, str(tmp_path / "cp2"), prepare).awaitTermination()
+    assert store.manifest()["version"] == version + 2

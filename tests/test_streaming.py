@@ -16,5 +16,10 @@ def test_stream_equals_batch(spark, sf, tmp_path):
         q.awaitTermination()
     got = {r.crawl_result_id: r.update_bitfield for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got == {r.crawl_result_id: r.update_bitfield for r in history.with_events(batch).collect()}
+    verified = src.certificates(spark, sf)
+    q = events.stream_certificate_changes(stream, verified).writeStream.format("memory").queryName("alerts").outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination()
+    columns = ["host_id", "crawl_result_id", "previous_crawl_result_id", "certificate_id", "previous_certificate_id", "observed_ms"]
+    assert sorted(map(tuple, spark.table("alerts").select(columns).collect())) == sorted(map(tuple, certificates.changes(batch, verified).select(columns).collect()))
     none = src.certificates(spark, sf).selectExpr("certificate_id", "fp", "false AS pkix_verified")
     assert spark.table("changes").count() == certificates.changes(batch, none).count()
