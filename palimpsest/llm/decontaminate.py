@@ -214,20 +214,27 @@ MATCHES = T.StructType(
 
 
 def _passes(docs: DataFrame, benchmark: DataFrame, window: int, shard_words: int) -> Iterator:
-    for shard in _shards(benchmark, window, shard_words):
-        yield uuid.uuid4().hex, docs.sparkSession.sparkContext.broadcast(shard)
+    """The shards as broadcast, one at a time, and whether there is only one. A shard goes when the next is asked for, so what is found with it is to be written by then."""
+    shards = _shards(benchmark, window, shard_words)
+    shard, following = next(shards), next(shards, None)
+    only = following is None
+    while shard is not None:
+        sent = docs.sparkSession.sparkContext.broadcast(shard)
+        yield (uuid.uuid4().hex, sent), only
+        if not only:
+            sent.unpersist()
+        shard, following = following, next(shards, None)
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, window: int = 10, shard_words: int = SHARD_WORDS, key: str = "doc_id") -> DataFrame:
     """key, n_words, longest match, items (sorted, no null) and words (hit intervals) of each document."""
     slim = docs.select(F.lit(0).cast("long").alias("row"), F.col(key).alias("doc_id"), F.col("text").cast("binary").alias("text"))
     kind = dict(slim.dtypes)["doc_id"]
-    shards = list(_passes(docs, benchmark, window, shard_words))
-    if len(shards) > 1:  # written, so that a row has the same number in every pass
-        slim = C.staged(slim.withColumn("row", F.monotonically_increasing_id()), "rows")
     schema = T.StructType([slim.schema["row"], slim.schema["doc_id"], *MATCHES.fields])
     out = None
-    for shared in shards:
+    for shared, only in _passes(docs, benchmark, window, shard_words):
+        if not only and out is None:  # written, so that a row has the same number in every pass
+            slim = C.staged(slim.withColumn("row", F.monotonically_increasing_id()), "rows")
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             auto = _load(shared)
@@ -246,6 +253,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = 10, shard_words
                 )
 
         one = C.map_arrow(slim, run, schema)
+        one = one if only else C.staged(one, "found")
         out = (1, one) if out is None else (out[0] + 1, out[1].unionByName(one))
     n, df = out
     if n > 1:  # every pass has each row once
@@ -276,10 +284,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_s
     neighbours; where a cut would still bring a new match about, it is cut again. More than one shard gives the same.
     """
     schema = docs.schema
-    shards = list(_passes(docs, benchmark, window, shard_words))
-    if len(shards) > 1:
-        return _cut_by_all(docs, shards, window, max_span, max_coverage)
-    for shared in shards:
+    passes = lambda: _passes(docs, benchmark, window, shard_words)
+    for shared, only in passes():
+        if not only:
+            return _cut_by_all(docs, passes, window, max_span, max_coverage)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             auto = _load(shared)
@@ -331,13 +339,13 @@ def _merged(hits: list[dict]) -> Matched:
     return m
 
 
-def _cut_by_all(docs: DataFrame, shards: list, window: int, max_span: int, max_coverage: float) -> DataFrame:
+def _cut_by_all(docs: DataFrame, passes, window: int, max_span: int, max_coverage: float) -> DataFrame:
     """decontaminate() by several shards: each round merges all shards' hits in the same texts, then cuts, until none has any. Only the first round drops."""
     docs_ = C.staged(docs.withColumn("_row_number", F.monotonically_increasing_id()), "rows")
     active, cuts = docs_.select("_row_number", "text"), None
     while True:
         found = None
-        for shared in shards:
+        for shared, _ in passes():
 
             def find(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
                 auto = _load(shared)
@@ -347,7 +355,7 @@ def _cut_by_all(docs: DataFrame, shards: list, window: int, max_span: int, max_c
                     kind = pa.list_(pa.struct([(k, pa.int64()) for k in ("p", "q", "lo", "hi")]))
                     yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.int64()), pa.array([m.n_words for _, m in out], pa.int64()), pa.array(hits, kind)], names=["_row_number", "n_words", "hits"])
 
-            one = C.map_arrow(active, find, HITS)
+            one = C.staged(C.map_arrow(active, find, HITS), "hits")
             found = one if found is None else found.union(one)
         hits = found.groupBy("_row_number").agg(F.first("n_words").alias("n_words"), F.flatten(F.collect_list("hits")).alias("hits"))
         drops = cuts is None
@@ -372,7 +380,7 @@ def _cut_by_all(docs: DataFrame, shards: list, window: int, max_span: int, max_c
     new = {"text": F.coalesce("_new", "text")}
     if "n_chars" in docs.columns and isinstance(docs.schema["n_chars"].dataType, T.IntegralType):
         new["n_chars"] = F.coalesce(F.length("_new").cast(docs.schema["n_chars"].dataType), F.col("n_chars"))
-    return out.select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns])
+    return out.select(*[new[c].alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns])
 
 
 def _cut(text: str, m: Matched, max_span: int, window: int) -> str:
