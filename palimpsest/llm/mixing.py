@@ -21,6 +21,8 @@ from . import common as C
 
 #: Documents for each slice, and the most slices.
 SLICE_ROWS, MOST_SLICES = 4_000, 1 << 20
+#: Rows of a range of the queue, at most, where there are more than the session's partitions hold.
+RANGE_ROWS = 1 << 18
 
 
 def n_blank_words(text: Column) -> Column:
@@ -74,7 +76,8 @@ def mix(docs: DataFrame, most: int = 3, seed: str = "", size: Column | None = No
     finish = F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda k: F.when(F.col("target") > 0, (k * F.col("source_size") + F.col("upto")) / F.col("target")))
     queue = dealt.where("size > 0").select("size", F.explode(finish).alias("finish"))
     # the queue is sorted by ranges of finish times; ranges that end within the budget are taken whole, and the one where it ends up to there
-    ranges = queue.repartitionByRange(slices, "finish").sortWithinPartitions("finish").withColumn("range", F.spark_partition_id())
+    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), most * rows.count() // RANGE_ROWS)
+    ranges = queue.repartitionByRange(parts, "finish").sortWithinPartitions("finish").withColumn("range", F.spark_partition_id())
     ranges = C.staged(ranges, "queue")
     ends = ranges.groupBy("range").agg(F.sum("size").alias("words"), F.min("finish").alias("first"))
     ends = ends.withColumn("upto", F.sum("words").over(Window.orderBy("first"))).where(F.col("upto") > total).orderBy("first").select("range", F.col("upto") - F.col("words")).first()
@@ -95,7 +98,7 @@ def mix(docs: DataFrame, most: int = 3, seed: str = "", size: Column | None = No
 
 def mixed(docs: DataFrame, most: int = 3, seed: str = "", key: str = "doc_id") -> DataFrame:
     """The documents as the mix takes them: a row for each copy, all columns kept, range-sorted by virtual finish time. Each row is taken by itself, whatever its key."""
-    rows = C.staged(docs.select(F.struct(*docs.columns).alias("_row"), F.col(key).alias("_key"), "source", "text").withColumn("_rid", F.monotonically_increasing_id()), "rows")
+    rows = C.staged(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(f"`{key}`").alias("_key"), "source", "text").withColumn("_rid", F.monotonically_increasing_id()), "rows")
     plan = mix(rows.select("_key", "source", n_blank_words(F.col("text")).alias("_size"), "_rid"), most, seed, F.col("_size"), "_key", ["_rid"])
     taken = plan.where("copies > 0").select("_rid", "copies", (F.col("upto") / F.col("target")).alias("_first"), (F.col("source_size") / F.col("target")).alias("_turn"))
     out = rows.select("_row", "_rid").join(taken.hint("merge"), "_rid").withColumn("_copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
