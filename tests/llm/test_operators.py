@@ -98,6 +98,25 @@ def test_shards_decide_together(spark):
     assert one == more and len(one) == 6
 
 
+def test_shards_go_one_at_a_time(spark, edges, monkeypatch):
+    """No two shards' automata are broadcast at once, and each is unpersisted before the next is sent."""
+    live, most = [], []
+    send = type(spark.sparkContext).broadcast
+
+    def broadcast(sc, value):
+        out = send(sc, value)
+        live.append(out)
+        most.append(len(live))
+        gone = out.unpersist
+        out.unpersist = lambda *a: (live.remove(out), gone(*a))
+        return out
+
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", broadcast)
+    bench = spark.createDataFrame([(i, f"one two three four w{i} x{i}") for i in range(6)], "item_id long, text string")
+    assert decontaminate.matches(edges, bench, shard_words=7).count() == edges.count()
+    assert len(most) == 6 and max(most) == 1
+
+
 # 2 quality rules
 
 
@@ -242,7 +261,8 @@ def test_mix(spark, docs, edges, nothing):
     assert {r.doc_id: r.size for r in mixing.mix(edges.drop("size")).collect()}[6] == 30_000
     out = mixing.mixed(docs)
     assert out.columns == docs.columns and out.count() == sum(r.copies for r in rows)
-    assert mixing.mixed(edges).columns == edges.columns
+    odd = edges.withColumnRenamed("node", "a.b")
+    assert mixing.mixed(odd).columns == odd.columns and mixing.mixed(odd).count() > 0
 
 
 # 5, 7 tokens
