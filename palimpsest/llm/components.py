@@ -13,7 +13,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     Each round links every node's larger neighbours, then its smaller ones, to the smallest it knows; edges never grow in
     number, and a round's state is a table in the shared folder. Only joins on keys and minima are used, so a hub with
-    many neighbours is summed before it is shuffled, and its join can be split. Loops and repeated edges don't matter; no edges, no rows.
+    many neighbours is summed before it is shuffled, and its join can be split. Loops and repeated edges don't matter, and an edge with a null end is none; no edges, no rows.
     """
     now = C.staged(edges.where(F.col(a) != F.col(b)).select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct(), "edges")
     state = _state(now)

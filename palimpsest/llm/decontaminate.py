@@ -341,8 +341,9 @@ def _merged(hits: list[dict]) -> Matched:
 
 def _cut_by_all(docs: DataFrame, passes, window: int, max_span: int, max_coverage: float) -> DataFrame:
     """decontaminate() by several shards: each round merges all shards' hits in the same texts, then cuts, until none has any. Only the first round drops."""
-    docs_ = C.staged(docs.withColumn("_row_number", F.monotonically_increasing_id()), "rows")
-    active, cuts = docs_.select("_row_number", "text"), None
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")  # whatever its columns are called
+    docs_ = C.staged(docs.select(whole, F.col("text").alias("_text"), F.monotonically_increasing_id().alias("_row_number")), "rows")
+    active, cuts = docs_.select("_row_number", F.col("_text").alias("text")), None
     while True:
         found = None
         for shared, _ in passes():
@@ -374,13 +375,14 @@ def _cut_by_all(docs: DataFrame, passes, window: int, max_span: int, max_coverag
             break
         cuts = now if cuts is None else C.staged(cuts.join(now.select("_row_number"), "_row_number", "left_anti").union(now), "cuts")
         active = now.where("NOT _gone").select("_row_number", F.col("_new").alias("text"))
+    row = {c: F.col(f"_row.`{c}`") for c in docs.columns}
     if cuts is None:
-        return docs_.select(docs.columns)
+        return docs_.select(*[v.alias(c) for c, v in row.items()])
     out = docs_.join(cuts, "_row_number", "left").where("_gone IS NULL OR NOT _gone")
-    new = {"text": F.coalesce("_new", "text")}
+    row["text"] = F.coalesce("_new", "_text")
     if "n_chars" in docs.columns and isinstance(docs.schema["n_chars"].dataType, T.IntegralType):
-        new["n_chars"] = F.coalesce(F.length("_new").cast(docs.schema["n_chars"].dataType), F.col("n_chars"))
-    return out.select(*[new[c].alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns])
+        row["n_chars"] = F.coalesce(F.length("_new").cast(docs.schema["n_chars"].dataType), row["n_chars"])
+    return out.select(*[v.alias(c) for c, v in row.items()])
 
 
 def _cut(text: str, m: Matched, max_span: int, window: int) -> str:
