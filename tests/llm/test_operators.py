@@ -98,6 +98,13 @@ def test_shards_decide_together(spark):
     assert one == more and len(one) == 6
 
 
+def test_cuts_of_several_shards_bear_any_names(spark):
+    bench = spark.createDataFrame([(1, "a b c d"), (2, "e f g h")], "item_id long, text string")
+    df = spark.createDataFrame([(1, "a b c d and a good many more words than that", 5, "x", True, 9), (2, "nothing of it", 6, "y", False, 8), (3, None, 7, "z", None, 7)], "doc_id long, text string, _row_number long, _new string, _gone boolean, `a.b` long")
+    out = sorted(map(tuple, decontaminate.decontaminate(df, bench, shard_words=4).collect()))
+    assert out == [(1, "\n and a good many more words than that", 5, "x", True, 9), (2, "nothing of it", 6, "y", False, 8), (3, None, 7, "z", None, 7)]
+
+
 def test_shards_go_one_at_a_time(spark, edges, monkeypatch):
     """No two shards' automata are broadcast at once, and each is unpersisted before the next is sent."""
     live, most = [], []
@@ -553,6 +560,12 @@ def test_scores(spark, sf, texts):
     assert sum(r.score for r in held) / sum(r.n_tokens for r in held) > -6
 
 
+def test_scores_beat_single_words(spark):
+    """On held-out texts the model is better than the counts of words alone, in a corpus of some size."""
+    r = lm.op10_context_mixing(spark, "/root/testdata/sf0.1").where("held_out").selectExpr("sum(score) / sum(n_tokens) AS s", "sum(base_score) / sum(n_tokens) AS b").first()
+    assert r.s < 0 and r.s > r.b + 0.3
+
+
 def small_model(seed=1, n=40):
     rng = np.random.default_rng(seed)
     m = mixer.Model(mixer.Codes(np.append(np.sort(rng.integers(2, 900, n))[::-1], [30, 50])), rng.integers(0, 1 << 16, (2, 1 << 10)).astype(np.uint16))
