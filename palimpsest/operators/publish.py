@@ -7,7 +7,7 @@ batch are read from the tables, and only they change. Pages, hosts, objects and
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schema import ALL_MODES, REASONS, TARGETS
@@ -59,17 +59,33 @@ def _checked(*rules: tuple[str, DataFrame]) -> None:
         raise Refused(bad[0].what)
 
 
-def refusals(rows: DataFrame) -> list[tuple[str, DataFrame]]:
-    """Rules that a capture must keep by itself, each with the rows that break it."""
-    blank = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
-    return [
-        ("a crawl result requires a page URL and authority", rows.where(blank("url") | blank("authority"))),
-        ("a redirect target requires a URL and authority", rows.where(F.col("redirect_url").isNotNull() & (blank("redirect_url") | blank("redirect_authority")))),
-        ("redirect_count cannot be negative", rows.where("redirect_count < 0")),
-        ("crawl result ends before it starts", rows.where("ended_ms < started_ms")),
-        ("robots_bitfield contains an unknown use bit", rows.where(F.col("robots_bitfield").bitwiseAND(~ALL_MODES) != 0)),
-        ("meta exceeds 1024 bytes", rows.where(F.octet_length("meta") > MOST_META)),
-    ]
+_blank = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
+#: Rules that a capture must keep by itself, and what breaks each; and those of robots captures besides.
+RULES = {
+    "a crawl result requires a page URL and authority": lambda: _blank("url") | _blank("authority"),
+    "a redirect target requires a URL and authority": lambda: F.col("redirect_url").isNotNull() & (_blank("redirect_url") | _blank("redirect_authority")),
+    "redirect_count cannot be negative": lambda: F.col("redirect_count") < 0,
+    "crawl result ends before it starts": lambda: F.col("ended_ms") < F.col("started_ms"),
+    "robots_bitfield contains an unknown use bit": lambda: F.col("robots_bitfield").bitwiseAND(~ALL_MODES) != 0,
+    "meta exceeds 1024 bytes": lambda: F.octet_length("meta") > MOST_META,
+}
+ROBOTS_RULES = {
+    "robots policy exceeds 64 KiB": lambda: F.octet_length("policy") > MOST_POLICY,
+    "robots capture cannot redirect": lambda: (F.col("redirect_count") != 0) | F.col("redirect_url").isNotNull(),
+}
+
+
+def refusals(rows: DataFrame, rules: dict = RULES) -> list[tuple[str, DataFrame]]:
+    """Each rule with the rows that break it."""
+    return [(what, rows.where(broken())) for what, broken in rules.items()]
+
+
+def violation(rules: dict) -> Column:
+    """The first rule that a row breaks, or null."""
+    out = F
+    for what, broken in rules.items():
+        out = out.when(broken(), what)
+    return out
 
 
 def _new_keys(known: DataFrame, asked: DataFrame, key: str, number: str) -> DataFrame:
@@ -88,8 +104,7 @@ def changes(state: dict[str, DataFrame], crawls: DataFrame, robots: DataFrame, o
     order = (F.col("kind") * (1 << 62) + F.col("seq")).alias("at")
     _checked(
         *refusals(results),
-        ("robots policy exceeds 64 KiB", robots.where(F.octet_length("policy") > MOST_POLICY)),
-        ("robots capture cannot redirect", robots.where("redirect_count <> 0 OR redirect_url IS NOT NULL")),
+        *refusals(robots, ROBOTS_RULES),
         ("invalid published object", objects.where("raw_bytes < 0")),
         ("automatic target has no next enqueue time", crawls.where("evaluated AND NOT retire AND targets <> 0 AND next_enqueue_ms IS NULL")),
     )

@@ -81,6 +81,20 @@ def _batch(s: SparkSession, d: str):
     return state, crawls, robots, objects, last_id
 
 
+# Robots captures with faults by i, some with more than one.
+_FAULTY = "SELECT crawl_result_id AS i, CASE WHEN crawl_result_id % 13 = 0 THEN '' ELSE 'gemini://h/robots.txt' END AS url, CASE WHEN crawl_result_id % 17 > 0 THEN 'h:1965' END AS authority, CASE WHEN crawl_result_id % 5 = 0 THEN 'gemini://h/' END AS redirect_url, CASE WHEN crawl_result_id % 10 = 0 THEN 'h:1965' END AS redirect_authority, CASE WHEN crawl_result_id % 19 = 0 THEN -1 ELSE CASE WHEN crawl_result_id % 7 = 0 THEN 1 ELSE 0 END END AS redirect_count, started_ms, CASE WHEN crawl_result_id % 11 = 0 THEN started_ms - 1 ELSE ended_ms END AS ended_ms, robots_bitfield + CASE WHEN crawl_result_id % 23 = 0 THEN 32 ELSE 0 END AS robots_bitfield, repeat('é', CAST(crawl_result_id % 29 * 19 AS INT)) AS meta, repeat('x', CAST(crawl_result_id % 31 * 2200 AS INT)) AS policy FROM captures"
+
+
+@query(
+    f"""SELECT i, why FROM (SELECT i, CASE WHEN url = '' OR authority IS NULL THEN 'a crawl result requires a page URL and authority' WHEN redirect_url IS NOT NULL AND redirect_authority IS NULL THEN 'a redirect target requires a URL and authority' WHEN redirect_count < 0 THEN 'redirect_count cannot be negative'
+  WHEN ended_ms < started_ms THEN 'crawl result ends before it starts' WHEN robots_bitfield > 31 THEN 'robots_bitfield contains an unknown use bit' WHEN strlen(meta) > 1024 THEN 'meta exceeds 1024 bytes' WHEN len(policy) > 65536 THEN 'robots policy exceeds 64 KiB' WHEN redirect_count > 0 OR redirect_url IS NOT NULL THEN 'robots capture cannot redirect' END AS why FROM ({_FAULTY})) WHERE why IS NOT NULL"""
+)
+def publish_violations(s, d):
+    """Robots captures that a publisher refuses, with the first rule that each breaks."""
+    rows = s.sql(_FAULTY.replace("FROM captures", "FROM {c}"), c=src.captures(s, d))
+    return rows.withColumn("why", publish.violation(publish.RULES | publish.ROBOTS_RULES)).where("why IS NOT NULL").select("i", "why")
+
+
 def _published(s: SparkSession, d: str) -> dict[str, DataFrame]:
     state, crawls, robots, objects, last_id = _batch(s, d)
     return publish.applied(state, publish.changes(state, crawls, robots, objects, AT, last_id))

@@ -26,25 +26,28 @@ def _in_order(frames: Iterator[pd.DataFrame]) -> pd.DataFrame:
     return pd.concat(list(frames)).sort_values(["committed_ms", "crawl_result_id"], kind="stable")
 
 
-def _value(x):
-    return None if pd.isna(x) else x
+def _versions(pdf: pd.DataFrame) -> pd.Series:
+    """What of each row is its content, as a text that is equal where that is."""
+    cols = [pdf[c].map(repr) if c == "meta" else pdf[c].astype("Int64").astype(str) for c in VERSION]
+    out = cols[0]
+    for c in cols[1:]:
+        out = out + "\x1f" + c
+    return out
 
 
 def stream_events(captures: DataFrame) -> DataFrame:
-    """captures (a stream) with update_bitfield, as the batch operator gives it."""
+    """captures (a stream) with update_bitfield, as the batch operator gives it. A page's rows of a micro-batch are compared as columns."""
     ship(captures.sparkSession)
 
     def step(key, frames, state):
-        old, version = state.get if state.exists else (0, None)
-        pdf, bits = _in_order(frames), []
-        for row in pdf[["robots_bitfield", *VERSION]].itertuples(index=False):
-            new, now = int(row[0]), repr([_value(x) if isinstance(x, str) else None if pd.isna(x) else int(x) for x in row[1:]])
-            bits.append(((new ^ old) | (0 if now == version else new & old)) & ALL_MODES)
-            old, version = new, now
-        state.update((old, version))
-        pdf["update_bitfield"] = bits
+        robots, version = state.get if state.exists else (0, None)
+        pdf = _in_order(frames)
         for c in LONGS:
             pdf[c] = pdf[c].astype("Int64")
+        new, now = pdf["robots_bitfield"].astype("int64"), _versions(pdf.assign(meta=pdf["meta"].where(pdf["meta"].notna(), None)))
+        old, before = new.shift(1, fill_value=robots), now.shift(1, fill_value=version)
+        state.update((int(new.iloc[-1]), now.iloc[-1]))
+        pdf["update_bitfield"] = ((new ^ old) | (new & old).where(now != before, 0)) & ALL_MODES
         yield pdf[[*COLUMNS, "update_bitfield"]]
 
     return captures.select(COLUMNS).groupBy("page_id").applyInPandasWithState(step, CAPTURE + ", update_bitfield long", "robots long, version string", "append", GroupStateTimeout.NoTimeout)

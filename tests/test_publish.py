@@ -251,6 +251,7 @@ def test_single_rules(spark):
     rows = [result(random.Random(k), k, "gemini://h/", 100) | change for k, change in enumerate([{}, {"authority": ""}, {"redirect_url": "gemini://x/", "redirect_authority": ""}, {"redirect_count": -1}, {"started_ms": 9999}, {"robots_bitfield": 32}, {"meta": "é" * 513}])]
     schema = P._RESULT
     df = spark.createDataFrame([tuple(r[c.split(" ")[0]] for c in _columns(schema)) for r in rows], schema)
+    assert {r.seq: r.why for r in df.withColumn("why", P.violation(P.RULES)).collect()} == dict(enumerate([None, *P.RULES]))
     assert [sorted(r.seq for r in bad.collect()) for _, bad in P.refusals(df)] == [[1], [2], [3], [4], [5], [6]]
 
 
