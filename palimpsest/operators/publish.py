@@ -114,7 +114,7 @@ def changes(state: dict[str, DataFrame], crawls: DataFrame, robots: DataFrame, o
     said = results.select(F.explode(F.array(pair("url", "authority"), pair("redirect_url", "redirect_authority"))).alias("a")).union(crawls.select(F.explode(F.concat(F.coalesce("probes", F.array()), F.coalesce("links", F.array()))).alias("a")))
     addresses = said.select("a.*").where("url IS NOT NULL").groupBy("url").agg(F.min("authority").alias("authority"))
     known_hosts = state["hosts"]
-    new_hosts = kept(_new_keys(known_hosts, addresses.select("authority").distinct(), "authority", "host_id").select("host_id", "authority"), "new-hosts")
+    new_hosts = _new_keys(known_hosts, addresses.select("authority").distinct(), "authority", "host_id").select("host_id", "authority")
     hosts = known_hosts.join(addresses.select("authority").distinct(), "authority", "left_semi").select("host_id", "authority").unionByName(new_hosts)
     placed = addresses.join(hosts, "authority").select("url", "host_id")
     known_pages = state["pages"].join(placed.select("url"), "url", "left_semi").select(state["pages"].columns)
@@ -124,9 +124,9 @@ def changes(state: dict[str, DataFrame], crawls: DataFrame, robots: DataFrame, o
 
     # objects and certificates
     bodies = objects.groupBy("blake2b_256").agg(F.min("raw_bytes").alias("raw_bytes"))
-    new_objects = kept(_new_keys(state["objects"], bodies, "blake2b_256", "object_id").select("object_id", "blake2b_256", "raw_bytes", F.lit(now).cast("long").alias("created_ms")), "new-objects")
+    new_objects = _new_keys(state["objects"], bodies, "blake2b_256", "object_id").select("object_id", "blake2b_256", "raw_bytes", F.lit(now).cast("long").alias("created_ms"))
     digests = results.select(F.col("object_digest").alias("blake2b_256")).where("blake2b_256 IS NOT NULL").distinct()
-    object_of = kept(state["objects"].join(digests, "blake2b_256", "left_semi").select(new_objects.columns).unionByName(new_objects).select(F.col("blake2b_256").alias("object_digest"), "object_id", "raw_bytes"), "objects")
+    object_of = state["objects"].join(digests, "blake2b_256", "left_semi").select(new_objects.columns).unionByName(new_objects).select(F.col("blake2b_256").alias("object_digest"), "object_id", "raw_bytes")
     shown = results.where("cert_digest IS NOT NULL").groupBy(F.col("cert_digest").alias("blake2b_256")).agg(F.min("certificate").alias("certificate"), F.max("certificate").alias("_other"), F.max(F.coalesce("cert_verified", F.lit(False))).alias("pkix_verified"))
     known_certs = state["certificates"].join(shown.select("blake2b_256", F.col("certificate").alias("_shown"), F.col("pkix_verified").alias("_ok")), "blake2b_256")
     columns = ["certificate_id", "blake2b_256", "certificate", "pkix_verified"]
