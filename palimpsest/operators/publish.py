@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schema import ALL_MODES, REASONS, TARGETS
-from ..session import kept
+from ..session import kept, scratch
 from ..sources.store import Append, Merge, Store
 from . import catalog
 from .frontier import numbered
@@ -254,10 +254,11 @@ def publish(store: Store, crawls: DataFrame, robots: DataFrame, objects: DataFra
         return old["version"]
     state = empty_state(store.spark) | {t: store.read(t, manifest=old) for t in old["tables"] if t in TABLES}
     last_id, last_ms = old["facts"].get("crawl_result_id", 0), old["facts"].get("committed_ms", 0)
-    made = changes(state, crawls, robots, objects, now, last_id, last_ms)
-    made["captures"] = Append(made["events"].rows, ("page_id", "committed_ms", "crawl_result_id"), "page_id")
-    facts = {"crawl_result_id": last_id + made["events"].rows.count(), "committed_ms": max(now, last_ms)}
-    return store.commit(made, writer, batch, facts, old["version"])
+    with scratch(store.spark):
+        made = changes(state, crawls, robots, objects, now, last_id, last_ms)
+        made["captures"] = Append(made["events"].rows, ("page_id", "committed_ms", "crawl_result_id"), "page_id")
+        facts = {"crawl_result_id": last_id + made["events"].rows.count(), "committed_ms": max(now, last_ms)}
+        return store.commit(made, writer, batch, facts, old["version"])
 
 
 def open_store(spark: SparkSession, place: str, buckets: int = 64) -> Store:

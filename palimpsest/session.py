@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
+import threading
 import uuid
 import zipfile
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
+_held = threading.local()
 
 
 def local_session(cores: int | str = "*", **conf: str) -> SparkSession:
@@ -38,9 +42,24 @@ def new_place(spark: SparkSession, name: str) -> str:
     place = f"{shared_place(spark)}/palimpsest/{name}-{uuid.uuid4().hex}"
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(place)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+    if getattr(_held, "places", None) is not None:
+        _held.places.append(place)
     return place
 
 
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end what this thread has put into new places meanwhile: for work whose result is written elsewhere by then."""
+    outer, _held.places = getattr(_held, "places", None), []
+    try:
+        yield
+    finally:
+        places, _held.places = _held.places, outer
+        for place in places:
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(place)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def kept(df: DataFrame, name: str) -> DataFrame:
     """df as a table in the shared folder."""
     spark, place = df.sparkSession, new_place(df.sparkSession, name)

@@ -1,10 +1,12 @@
 """Batches as one commit, against the same rules applied row by row in plain Python."""
 
+import os
 import random
 
 import pytest
 
 from palimpsest.operators import publish as P
+from palimpsest.session import shared_place
 from palimpsest.sources.store import Store
 
 SITES = [f"h{i}.test:1965" for i in range(4)]
@@ -255,7 +257,11 @@ def test_empty_batch_and_recovery(spark, tmp_path):
     place = f"file://{tmp_path}/b"
     store = P.open_store(spark, place, 2)
     empty = frames(spark, ([], [], []))
+    shared = f"{shared_place(spark).removeprefix('file://')}/palimpsest"
+    before = set(os.listdir(shared)) if os.path.isdir(shared) else set()
     assert P.publish(store, *empty, 5, "w", 0) == 2 and all(df.count() == 0 for df in store.state().values())
+    own = ("numbered-", "pages-", "certificates-", "captures-", "automatic-", "queue-")
+    assert {f for f in os.listdir(shared) if f.startswith(own)} <= before, "a batch leaves no scratch"
     store.commit({"queue": P.Merge(spark.createDataFrame([(1, 1, 1, 4, 7), (2, 1, 0, 4, 7)], P.TABLES["queue"]))})
     assert sorted(map(tuple, P.open_store(spark, place, 2).read("queue").collect())) == [(1, 1, 0, 4, 7), (2, 1, 0, 4, 7)]
     assert isinstance(Store(spark, place, P.KEYS).manifest()["facts"], dict)
