@@ -560,12 +560,6 @@ def test_scores(spark, sf, texts):
     assert sum(r.score for r in held) / sum(r.n_tokens for r in held) > -6
 
 
-def test_scores_beat_single_words(spark):
-    """On held-out texts the model is better than the counts of words alone, in a corpus of some size."""
-    r = lm.op10_context_mixing(spark, "/root/testdata/sf0.1").where("held_out").selectExpr("sum(score) / sum(n_tokens) AS s", "sum(base_score) / sum(n_tokens) AS b").first()
-    assert r.s < 0 and r.s > r.b + 0.3
-
-
 def small_model(seed=1, n=40):
     rng = np.random.default_rng(seed)
     m = mixer.Model(mixer.Codes(np.append(np.sort(rng.integers(2, 900, n))[::-1], [30, 50])), rng.integers(0, 1 << 16, (2, 1 << 10)).astype(np.uint16))
