@@ -19,11 +19,18 @@ ALLOWED_V6 = "2000::/3"
 DENIED_V6 = ("2001::/32", "2001:2::/48", "2001:10::/28", "2001:20::/28", "2001:db8::/32", "2002::/16", "3fff::/20")
 
 
-def iec_bytes(n: Column) -> Column:
-    """75.67 MiB, or whole bytes below a KiB."""
+def iec_bytes(n: Column, units: tuple[str, ...] = UNITS) -> Column:
+    """75.67 MiB, or whole bytes below a KiB; the last of units takes whatever is larger. Halves of a hundredth go to the even one, as C's printf has it."""
+    n = n.cast("long")
     out = F.concat(n.cast("string"), F.when(n == 1, " byte").otherwise(" bytes"))
-    for i, unit in enumerate(UNITS, 1):
-        out = F.when(n >= 1024**i, F.concat(F.format_string("%.2f", n / F.lit(float(1024**i))), F.lit(f" {unit}"))).otherwise(out)
+    for i, unit in enumerate(units, 1):
+        size = 1024**i
+        cents, whole = F.pmod(n, F.lit(size)) * 100, F.shiftright(n, 10 * i)
+        rest, even = F.pmod(cents, F.lit(size)), F.shiftright(cents, 10 * i)
+        up = (rest > size // 2) | ((rest == size // 2) & (even % 2 == 1))
+        cents = even + up.cast("long")
+        shown = F.format_string("%d.%02d", whole + (cents == 100).cast("long"), cents % 100)
+        out = F.when(n >= size, F.concat(shown, F.lit(f" {unit}"))).otherwise(out)
     return out
 
 

@@ -13,6 +13,30 @@ def test_bytes(spark, n, want):
     assert one(spark, n, formats.iec_bytes, "long") == want
 
 
+@pytest.mark.parametrize(("n", "want"), [(5 << 42, "20480.00 GiB"), (1 << 40, "1024.00 GiB"), (1152, "1.12 KiB"), (1408, "1.38 KiB"), ((1 << 20) - 1, "1024.00 KiB"), ((9 << 60) // 10, "966367641.60 GiB")])
+def test_bytes_up_to_a_unit(spark, n, want):
+    """The largest unit takes the rest; halves go to the even digit, and nothing is lost beyond 2^53."""
+    assert one(spark, n, lambda c: formats.iec_bytes(c, formats.UNITS[:3]), "long") == want
+
+
+@pytest.mark.parametrize("name", ["iec_bytes"])
+def test_sizes_of_a_larger_history(spark, duck, tmp_path, name):
+    """Numbers beyond a TiB, and sums beyond a GiB, as the SQL writes them."""
+    import duckdb
+
+    from palimpsest.plans import queries as plans
+
+    duck.sql("FROM events").create_view("one_day")
+    rows = "SELECT event_id * 997 AS event_id, event_type, user_id, ts, props FROM one_day UNION ALL SELECT event_id * 997 + 10000000 + r, event_type, user_id, ts, props FROM one_day, range(1, 90) t(r)"
+    duck.sql(rows).write_parquet(str(tmp_path / "events.parquet"))
+    c = duckdb.connect()
+    c.sql("SET timezone = 'UTC'")
+    c.sql(f"CREATE VIEW events AS FROM '{tmp_path}/events.parquet'")
+    out = c.sql(plans.SQL[name])
+    df = plans.QUERIES[name](spark, str(tmp_path))
+    assert sorted(map(tuple, df.select(out.columns).collect())) == sorted(out.fetchall())
+
+
 def test_fingerprint(spark):
     assert one(spark, "ab" * 32, formats.fingerprint) == ":".join(["AB"] * 32)
     assert one(spark, ":".join(["ab"] * 32), formats.fingerprint) == ":".join(["AB"] * 32)
