@@ -51,12 +51,12 @@ def link_list(title: str, rows: DataFrame, empty: str, limit: int = 1000) -> Dat
     return made.select(F.concat(F.lit(f"# {title}\n\n"), F.when(F.size("l") == 0, F.lit(empty)).otherwise(lines)).alias("gemtext"), F.to_json(F.transform("l", lambda x: x["url"])).alias("json"))
 
 
-def statistics(stats: DataFrame) -> DataFrame:
-    """One row: the archive's figures (history.statistics) as a document."""
+def statistics(stats: DataFrame, units: tuple[str, ...] = formats.UNITS) -> DataFrame:
+    """One row: the archive's figures (history.statistics) as a document; units: those that its size may have."""
     line = lambda name, v: F.concat(F.lit(f"{name}: "), v, F.lit("\n"))
     return stats.select(
         F.concat(
-            F.lit("# Archive statistics\n\n"), line("Total archived pages", F.col("archived_pages").cast("string")), line("Uncompressed (and non-deduplicated) archive size", formats.iec_bytes(F.col("uncompressed_bytes"))),
+            F.lit("# Archive statistics\n\n"), line("Total archived pages", F.col("archived_pages").cast("string")), line("Uncompressed (and non-deduplicated) archive size", formats.iec_bytes(F.col("uncompressed_bytes"), units)),
             line("Unique hosts", F.col("archive_hosts").cast("string")), line("Unique objects", F.col("archive_objects").cast("string")),
         ).alias("gemtext")
     )

@@ -19,7 +19,7 @@ def test_bytes_up_to_a_unit(spark, n, want):
     assert one(spark, n, lambda c: formats.iec_bytes(c, formats.UNITS[:3]), "long") == want
 
 
-@pytest.mark.parametrize("name", ["iec_bytes"])
+@pytest.mark.parametrize("name", ["iec_bytes", "statistics_document"])
 def test_sizes_of_a_larger_history(spark, duck, tmp_path, name):
     """Numbers beyond a TiB, and sums beyond a GiB, as the SQL writes them."""
     import duckdb
