@@ -8,50 +8,88 @@ from collections.abc import Iterator
 from datetime import UTC, datetime
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, IntegerType, StructField, StructType
 
-from ..session import ship
+from ..session import release_memory, ship
 
 PLAIN, ZSTD = 0, 1
 #: The address of a batch's manifest record.
 MANIFEST = "urn:batch:manifest"
 
 
-@F.pandas_udf(BinaryType())
-def blake2b_256(data: pd.Series) -> pd.Series:
+#: Bytes of bodies that a worker gives back at once.
+PIECE = 1 << 22
+
+
+def _bodies(col: pa.Array) -> Iterator[memoryview | None]:
+    """Values of a binary column, in place."""
+    for x in col:
+        yield None if not x.is_valid else memoryview(x.as_buffer())
+
+
+def _pieces(values: Iterator, size, kind: pa.DataType) -> Iterator[pa.Array]:
+    """Arrays of values, of about PIECE bytes each; size: of a value."""
+    some, held = [], 0
+    for v in values:
+        some.append(v)
+        held += size(v)
+        if held >= PIECE:
+            yield pa.array(some, kind)
+            some, held = [], 0
+    if some:
+        yield pa.array(some, kind)
+
+
+@F.arrow_udf(BinaryType())
+def blake2b_256(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     """The digest by which a body is known."""
-    return data.map(lambda b: None if b is None else hashlib.blake2b(bytes(b), digest_size=32).digest())
+    try:
+        for col in batches:
+            yield pa.array([None if b is None else hashlib.blake2b(b, digest_size=32).digest() for b in _bodies(col)], pa.binary())
+    finally:
+        release_memory()
 
 
-@F.pandas_udf(StructType([StructField("format", IntegerType()), StructField("data", BinaryType())]))
-def encode(data: pd.Series) -> pd.DataFrame:
+@F.arrow_udf(StructType([StructField("format", IntegerType()), StructField("data", BinaryType())]))
+def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     """Compressed at level 3 where that is smaller."""
     import zstandard
 
     z = zstandard.ZstdCompressor(level=3)
-    out = []
-    for b in data:
-        small = z.compress(bytes(b))
-        out.append((ZSTD, small) if len(small) < len(b) else (PLAIN, bytes(b)))
-    return pd.DataFrame(out, columns=["format", "data"])
+    kind = pa.struct([("format", pa.int32()), ("data", pa.binary())])
+
+    def one(b):
+        small = z.compress(b)
+        return {"format": ZSTD, "data": small} if len(small) < len(b) else {"format": PLAIN, "data": bytes(b)}
+
+    try:
+        for col in batches:
+            yield from _pieces(map(one, _bodies(col)), lambda v: len(v["data"]), kind)
+    finally:
+        release_memory()
 
 
-@F.pandas_udf(BinaryType())
-def decode(fmt: pd.Series, data: pd.Series, raw_bytes: pd.Series) -> pd.Series:
+@F.arrow_udf(BinaryType())
+def decode(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
     """The body again; an error if its size isn't what it should be."""
     import zstandard
 
     z = zstandard.ZstdDecompressor()
 
     def one(f, d, n):
-        out = bytes(d) if f == PLAIN else z.decompress(bytes(d), max_output_size=int(n))
+        out = bytes(d) if f == PLAIN else z.decompress(d, max_output_size=n)
         if len(out) != n:
             raise ValueError(f"stored object has {len(out)} bytes, not {n}")
         return out
 
-    return pd.Series([one(f, d, n) for f, d, n in zip(fmt, data, raw_bytes, strict=True)])
+    try:
+        for fmt, data, raw_bytes in batches:
+            yield from _pieces(map(one, fmt.to_pylist(), _bodies(data), raw_bytes.to_pylist()), len, pa.binary())
+    finally:
+        release_memory()
 
 
 def put(store: DataFrame, bodies: DataFrame) -> DataFrame:

@@ -115,3 +115,16 @@ def test_digest_collisions(spark, monkeypatch):
     assert objects.put(same, body(b"first", b"first")).count() == 1
     with pytest.raises(Exception, match="digest collision"):
         objects.put(same, body(b"other")).collect()
+
+
+def test_bodies_are_encoded_in_pieces():
+    """A worker holds one piece of what it gives back, not all of a batch."""
+    import os
+
+    import pyarrow as pa
+
+    bodies = [os.urandom(1 << 20) for _ in range(12)] + [b"", b"x" * (9 << 20)]
+    out = list(objects.encode.func(iter([pa.array(bodies, pa.binary())])))
+    assert len(out) > 2 and sum(map(len, out)) == 14
+    assert all(sum(len(r["data"]) for r in a[:-1].to_pylist()) < objects.PIECE for a in out)
+    assert [r["format"] for a in out for r in a.to_pylist()] == [objects.PLAIN] * 13 + [objects.ZSTD]
