@@ -128,3 +128,15 @@ def test_bodies_are_encoded_in_pieces():
     assert len(out) > 2 and sum(map(len, out)) == 14
     assert all(sum(len(r["data"]) for r in a[:-1].to_pylist()) < objects.PIECE for a in out)
     assert [r["format"] for a in out for r in a.to_pylist()] == [objects.PLAIN] * 13 + [objects.ZSTD]
+
+
+def test_bodies_are_decoded_in_pieces():
+    import pyarrow as pa
+    import zstandard
+
+    z = zstandard.ZstdCompressor(level=3)
+    bodies = [bytes([k]) * (1 << 20) for k in range(13)]
+    stored = pa.array([objects.ZSTD] * 13), pa.array([z.compress(b) for b in bodies], pa.binary()), pa.array([1 << 20] * 13, pa.int64())
+    out = list(objects.decode.func(iter([stored])))
+    assert len(out) > 2 and [x.as_py() for a in out for x in a] == bodies
+    assert all(a.nbytes <= objects.PIECE + (1 << 20) for a in out)
