@@ -34,13 +34,13 @@ def test_every_place_is_predicted_by_all_texts(spark, words):
     rows = [(k % 3, k, k, bool(on), bytearray(mixer.packed(ids).tobytes())) for k, (ids, on) in enumerate(zip(all_ids, learn, strict=True))]
     df = spark.createDataFrame(rows, "bucket int, h long, uid long, learn boolean, ids binary")
     told = defaultdict(dict)
-    for r in lm.matched(df, 3, 200).collect():
+    for r in lm.matched(lm.ordered(df, 3, "h", "uid"), 3, 200).collect():
         told[r.bucket, r.part][r.place] = lm._unplaned(r.data, "<u4").astype(np.int32)
     order = sorted(range(len(rows)), key=lambda k: rows[k][:3])
     got = {}
-    for bucket, part, some in lm._parts_of(((rows[k][0], all_ids[k], rows[k][3], k) for k in order), 200):
+    for some in lm._parts_of(((rows[k][0], all_ids[k], rows[k][3], k) for k in order), lambda bucket, uid, _: (bucket, uid) in told):
         ids, first = lm._laid(some)
-        flat = lm._Asked(ids, first, np.array([r[2] for r in some]), 1).predicted(len(ids), told[bucket, part])
+        flat = lm._Asked(ids, first, np.array([r[2] for r in some]), 1).predicted(len(ids), told[some[0][0], some[0][3]])
         got |= {r[3]: flat[a:b].tolist() for r, a, b in zip(some, first[:-1], first[1:], strict=True)}
     assert [x for k in range(len(rows)) for x in got[k]] == brute(all_ids, learn)
 
