@@ -49,3 +49,39 @@ def test_contexts_of_all_places():
     ids = np.arange(300, dtype=np.int32)
     h, place = lm._contexts(ids, np.array([0, 3, 100, 300]))
     assert place.tolist() == [*range(7, 100), *range(104, 300)] and len(set(h.tolist())) == len(place)
+
+
+def test_words_of_a_context_are_together():
+    """Also where their hashes share the 16 bits that contexts leave room for."""
+    r = np.random.default_rng(5)
+    context, word = r.integers(0, 3, 9000).astype(np.uint64), r.integers(0, 4000, 9000).astype(np.uint64)
+    order, c, w = lm._in_order(context, word)
+    assert (c == context[order]).all() and (w == word[order]).all() and (np.diff(c.astype(int)) >= 0).all()
+    assert 1 + int(((c[1:] != c[:-1]) | (w[1:] != w[:-1])).sum()) == len(set(zip(c.tolist(), w.tolist(), strict=True)))
+
+
+def test_counts_take_the_bytes_they_need():
+    for top in (0, 255, 256, 1 << 31, 1 << 40):
+        table = np.array([0, 1, top], np.int64)
+        assert lm._unpacked(lm._packed(table)).tolist() == table.tolist()
+
+
+def test_common_bits_are_computed_once(monkeypatch):
+    """Of words that are predicted from the same; scores are those of every word by itself."""
+    r = np.random.default_rng(6)
+    n = 300
+    m = mixer.Model(mixer.Codes(np.append(np.sort(r.integers(2, 900, n))[::-1], [30, 50])), r.integers(0, 1 << 16, (2, 1 << 10)).astype(np.uint16)).ready()
+    m.hit, m.seen = r.random((2, *m.hit.shape)).cumsum(axis=0) * 9
+    ids = r.integers(0, n + 2, 5000).astype(np.int32)
+    ids[::2] %= 3
+    ids = np.where(ids == m.escape, ids + mixer.RARE, ids).astype(np.int32)
+    guess = np.where(r.random(5000) < 0.5, ids, r.integers(0, n, 5000)).astype(np.int32)
+    guess[r.random(5000) < 0.5] = mixer.NONE
+    first, learned = np.arange(0, 5000, 50), r.integers(0, 2, 5000).astype(np.int8)
+    costs = np.full(int((ids >= mixer.RARE).sum()), -3.0, np.float32)
+    bits, inputs = [], m.inputs
+    monkeypatch.setattr(m, "inputs", lambda *a: (bits.append(int(sum(inputs(*a)[3]))), inputs(*a))[1])
+    alone = m.log10(mixer.Tokens(ids, first, guess, learned, m.escape), costs)
+    monkeypatch.setattr(mixer, "BLOCK", 700)
+    together = m.log10(mixer.Tokens(ids, first, guess, learned, m.escape, m.codes), costs)
+    assert (alone == together).all() and sum(bits[1:]) < 0.95 * bits[0]
