@@ -140,3 +140,14 @@ def test_bodies_are_decoded_in_pieces():
     out = list(objects.decode.func(iter([stored])))
     assert len(out) > 2 and [x.as_py() for a in out for x in a] == bodies
     assert all(a.nbytes <= objects.PIECE + (1 << 20) for a in out)
+
+
+def test_digests_are_computed_once(spark, tmp_path):
+    """Not again for each "is not null" that is inferred of a key: that takes one more worker, which holds a batch of bodies."""
+    spark.createDataFrame([(1, b"a"), (2, b"b")], "position long, body binary").write.parquet(str(tmp_path / "bodies"))
+    bodies = spark.read.parquet(str(tmp_path / "bodies"))
+    none = spark.createDataFrame([], "blake2b_256 binary, raw_bytes long, format int, data binary")
+    wanted = bodies.select("position", objects.blake2b_256("body").alias("blake2b_256"), bodies.body.cast("string").alias("s")).selectExpr("position", "blake2b_256", "cast(length(s) AS long) AS raw_bytes")
+    got = objects.get_many(objects.put(none, bodies.select("body")), wanted)
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython [blake2b_256(") == 4  # what is put and wanted, and what is wanted of the old store and of the new bodies
+    assert {r.position: bytes(r.body) for r in got.collect()} == {1: b"a", 2: b"b"}
