@@ -632,6 +632,39 @@ def test_counters_against_brute_force():
     assert {k: int(got[k]) for k in np.flatnonzero(got)} == dict(want)
 
 
+def test_lessons_take_common_bits_once(monkeypatch):
+    """As often as all tokens have them: what is learned is what each token teaches by itself, from fewer bits."""
+    m, rng, looked_up = small_model(), np.random.default_rng(6), []
+    ids, first = np.minimum(rng.zipf(1.5, 900), 42).astype(np.int32) - 1, np.array([0, 200, 201, 640])
+    predicted = np.where(rng.random(900) < 0.5, np.where(rng.random(900) < 0.7, ids, rng.integers(0, 42, 900)), mixer.NONE).astype(np.int32)
+    learned = np.ones(900, np.int8)
+    plain = mixer.Tokens(ids, first, predicted, learned, m.escape)
+    bit, x, gate, n = m.inputs(plain, slice(0, len(plain)))
+    times, z, rows = np.repeat(plain.times, n), m.mixed(x, gate), np.stack([*x, np.ones(len(bit))])
+    p = 1 / (1 + np.exp(-z.astype(float)))
+    inputs = m.inputs
+    monkeypatch.setattr(m, "inputs", lambda *a: looked_up.append(inputs(*a)) or looked_up[-1])
+    lesson = mixer.Lesson(m)
+    lesson.learn(mixer.Tokens(ids, first, predicted, learned, m.escape, m.codes, True))
+    assert sum(len(b) for b, *_ in looked_up) < 0.8 * len(bit)
+    for g in range(mixer.GATES):
+        on = gate == g
+        assert np.allclose(lesson.curve[g], np.eye(mixer.INPUTS) * 4 + (rows[:, on] * (p * (1 - p) * times)[on]) @ rows[:, on].T, rtol=1e-4, atol=1e-3)
+        assert math.isclose(lesson.seen.reshape(mixer.GATES, -1)[g].sum(), times[on].sum()) and math.isclose(lesson.hit.reshape(mixer.GATES, -1)[g].sum(), (bit * times)[on].sum())
+    whole = m.log10(plain, np.zeros(0))
+    monkeypatch.setattr(mixer, "BLOCK", 16)
+    assert np.allclose(m.log10(mixer.Tokens(ids, first, predicted, learned, m.escape, m.codes), np.zeros(0)), whole, atol=1e-4)
+
+
+def test_counters_of_near_nodes_are_together():
+    """A context's counters of four levels of the tree are in 16 slots beside each other, each in its own."""
+    m = small_model()
+    for symbol in range(42):
+        node = m.path(np.array([symbol]))[0]
+        slot = ((np.uint64(0x0123456789ABCDEF) ^ m.mix[node]) >> m.shift).astype(int)
+        assert all(len(set((slot[k : k + 4] // 16).tolist())) == 1 and len(set(slot[k : k + 4].tolist())) == len(slot[k : k + 4]) for k in range(0, len(slot), 4))
+
+
 def test_scores_repeat(spark):
     """More tasks than workers, and other tasks: the same scores, as all that is added are whole numbers."""
     rng = np.random.default_rng(3)
